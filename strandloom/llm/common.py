@@ -53,10 +53,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``rows`` rows."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def by_size(texts: list, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``limit`` characters or bytes; a longer text is a run of its own."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield lo, hi
+            lo, size = hi, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def same_order_hash(*columns: str) -> F.Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .op07_bpe import op7_bpe_encode
 from .op08_simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op7_bpe_encode, op8_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
