@@ -27,7 +27,7 @@ from .common import by_size, strings_of
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Outside of these ranges, letters, numbers and case depend on the Unicode version; there, the library's own
 #: normaliser and splitter are asked.
-UNSURE = regex.compile(r"[^\x00-՗֐-࠯ऀ-௿฀-๿Ḁ-⁤₠-₿←-⏿─-➿　-鿯가-힣＀-￯\U0001F300-\U0001F64F]")
+UNSURE = regex.compile(r"[^\x00-\u0557\u0590-\u082f\u0900-\u0bff\u0e00-\u0e7f\u1e00-\u2064\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3000-\u9fef\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]")
 LEXICON_WORDS = 65_536
 #: Words a worker remembers beside the lexicon before it forgets them all.
 MEMO_WORDS = 400_000

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .op07_bpe import op7_bpe_encode
 from .op08_simhash import op8_simhash_near_dedup
+from .op10_order_minhash import op10_order_minhash
 
-QUERIES = {f.__name__: f for f in (op7_bpe_encode, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op7_bpe_encode, op8_simhash_near_dedup, op10_order_minhash)}
 
 ORACLE_SQL: dict[str, str] = {}
