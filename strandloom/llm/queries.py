@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .op02_forest import op2_hash_prefix_forest
 from .op04_mixing import op4_weighted_fair_queue_mix
 from .op06_quality import op6_knn_quality
 from .op07_bpe import op6_knn_quality, op7_bpe_encode
 from .op08_simhash import op8_simhash_near_dedup
 from .op10_order_minhash import op10_order_minhash
 
-QUERIES = {f.__name__: f for f in (op4_weighted_fair_queue_mix, op6_knn_quality, op7_bpe_encode, op8_simhash_near_dedup, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op2_hash_prefix_forest, op4_weighted_fair_queue_mix, op6_knn_quality, op7_bpe_encode, op8_simhash_near_dedup, op10_order_minhash)}
 
 ORACLE_SQL: dict[str, str] = {}
