@@ -11,8 +11,9 @@ from .op05_urls import op5_path_template_tree
 from .op06_quality import op6_knn_quality
 from .op07_bpe import op7_bpe_encode
 from .op08_simhash import op8_simhash_near_dedup
+from .op09_debruijn import op9_debruijn_span_dedup
 from .op10_order_minhash import op10_order_minhash
 
-QUERIES = {f.__name__: f for f in (op1_extendible_hash_shards, op2_hash_prefix_forest, op3_pii_surrogates, op4_weighted_fair_queue_mix, op5_path_template_tree, op6_knn_quality, op7_bpe_encode, op8_simhash_near_dedup, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_extendible_hash_shards, op2_hash_prefix_forest, op3_pii_surrogates, op4_weighted_fair_queue_mix, op5_path_template_tree, op6_knn_quality, op7_bpe_encode, op8_simhash_near_dedup, op9_debruijn_span_dedup, op10_order_minhash)}
 
 ORACLE_SQL: dict[str, str] = {"op1_extendible_hash_shards": op01_sharding.ORACLE}
