@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import canonical_pmers, default_p, partition_id, reverse_complement
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is evaluated once, also where ``use`` has it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def check_k(k: int, read_length: int | None = None) -> None:
     if k < 2 or (read_length is not None and k > read_length):
         raise ValueError(f"k must be between 2 and the read length, not {k}")
@@ -39,11 +46,11 @@ def superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 51
     p = p or default_p(k)
     keys = [c for c in reads.columns if c != "seq"]
     kmers = F.sequence(F.lit(1), F.length("seq") - k + 1)
-    held = reads.where(F.length("seq") >= k).withColumn("pm", canonical_pmers(F.col("seq"), p))
-    held = held.withColumn("mins", F.transform(kmers, lambda i: F.array_min(F.slice("pm", i, k - p + 1))))
-    held = held.withColumn("pids", F.transform("mins", lambda m: partition_id(m, p, n_parts)))
-    begins = F.filter(kmers, lambda i: (i == 1) | (F.element_at("pids", i) != F.element_at("pids", F.greatest(i - 1, F.lit(1)))))
-    held = held.withColumn("starts", begins)
+    held = reads.where(F.length("seq") >= k)
+    smallest = let(canonical_pmers(F.col("seq"), p), lambda pm: F.transform(kmers, lambda i: F.array_min(F.slice(pm, i, k - p + 1))))
+    held = held.withColumn("pids", F.transform(smallest, lambda m: partition_id(m, p, n_parts)))
+    differs = lambda pids: F.filter(kmers, lambda i: (i == 1) | (F.element_at(pids, i) != F.element_at(pids, F.greatest(i - 1, F.lit(1)))))
+    held = held.withColumn("starts", let(F.col("pids"), differs))
     runs = held.select(*keys, "seq", "pids", "starts", F.posexplode("starts").alias("at", "start"))
     end = F.when(F.col("at") + 1 < F.size("starts"), F.element_at("starts", F.least(F.col("at") + 2, F.size("starts")))).otherwise(F.size("pids") + 1)
     return runs.select(*keys, "seq", F.col("start").cast("bigint").alias("start"), (end - F.col("start")).cast("bigint").alias("n_kmers"), F.element_at("pids", F.col("start")).cast("bigint").alias("pid"))
