@@ -190,24 +190,21 @@ class Bpe:
         return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # each sigma by itself
 
     def merge(self, word: str) -> list[int]:
-        """The exact ids of one word: the pair of the lowest rank merges first, everywhere, leftmost first."""
+        """The exact ids of one word: the pair of the lowest rank merges first, of equal ones the leftmost."""
         if word[:1] == "\0" and word[1:] in self.added:
             return [self.added[word[1:]]]
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += self.suffix
-        while len(parts) > 1:
-            best = min((self.rank.get(p, 1 << 60), p) for p in zip(parts, parts[1:], strict=False))
-            if best[0] == 1 << 60:
-                break
-            (a, b), out, i = best[1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        none = len(self.rank)
+        ranks = [self.rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]  # only the pairs on either side are new
+            if i:
+                ranks[i - 1] = self.rank.get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = self.rank.get((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts]
 
 
