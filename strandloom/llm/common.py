@@ -7,23 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Where checkpoints go when neither the session nor its context names a folder (tests, single machines).
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/strandloom"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage; survives the loss of executors."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the session's, or the fallback where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINTS)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage; survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def parts(n_items: int, per_part: int, least: int = 1) -> int:
@@ -64,8 +64,3 @@ def by_size(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if lo < len(texts):
         yield lo, len(texts)
-
-
-def same_order_hash(*columns: str) -> F.Column:
-    """A signed 64-bit hash of columns, equal on every run."""
-    return F.xxhash64(*[F.col(c) for c in columns])

@@ -278,9 +278,10 @@ def encode(docs: DataFrame, path: str, fields: Callable[[tuple[int, str, str]],
             texts = strings_of(whole.column(1))
             for lo, hi in by_size(texts, CHARS_AT_ONCE):
                 rows = [fields(x) for x in encoder.encode(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     names = [doc_id, *(x.split()[0] for x in schema.split(","))]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(",")]
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{doc_id} long, {schema}")
 
 
@@ -288,6 +289,10 @@ def digest(x: tuple[int, str, str]) -> tuple[int, str, str]:
     return x[0], hashlib.sha256(x[1].encode()).hexdigest(), hashlib.sha256(x[2].encode()).hexdigest()
 
 
+def ids_and_digest(x: tuple[int, str, str]) -> tuple[int, list[int], str, str]:
+    return x[0], [int(i) for i in x[1].split()], *digest(x)[1:]
+
+
 def as_ids(x: tuple[int, str, str]) -> tuple[int, list[int]]:
     return x[0], [int(i) for i in x[1].split()]
 
