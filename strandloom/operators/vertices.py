@@ -67,7 +67,7 @@ def linears(classified: DataFrame, cutoff: int = 1) -> DataFrame:
 def with_partition(vertices: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:
     """S-07: the logical partition of each k-mer."""
     p = p or default_p(k)
-    return vertices.withColumn("min", minimizer(F.col("kmer"), p)).withColumn("pid", partition_id(F.col("min"), p, n_parts).cast("bigint")).drop("min")
+    return vertices.withColumn("min", minimizer(F.col("kmer"), p, k)).withColumn("pid", partition_id(F.col("min"), p, n_parts).cast("bigint")).drop("min")
 
 
 def vertex_ids(classified: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:

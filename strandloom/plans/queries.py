@@ -53,7 +53,7 @@ def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "pos",
         dna.reverse_complement(c).alias("rc"), dna.canonical(c).alias("canon"), dna.is_canonical(c).cast("int").alias("same"), dna.pack(c).alias("packed"), dna.unpack(dna.pack(c), KMER).alias("unpacked"),
         dna.kmer_at(F.col("seq"), F.lit(2), KMER).alias("second"), dna.shift_append(c, F.lit("G")).alias("shifted"), dna.reverse_edge_base(c).alias("back"), F.array_join(dna.pmers(c, MINIMIZER), ",").alias("pmers"),
-        dna.minimizer(c, MINIMIZER).alias("min"), dna.partition_id(dna.minimizer(c, MINIMIZER), MINIMIZER, PARTS).alias("pid"),
+        dna.minimizer(c, MINIMIZER).alias("min"), dna.partition_id(dna.minimizer(c, MINIMIZER, KMER), MINIMIZER, PARTS).alias("pid"),
     )
     return digest(out, "doc_id")
 
