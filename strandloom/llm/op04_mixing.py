@@ -61,7 +61,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget_ra
     left alone and not returned. Reruns agree.
     """
     sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
-    sized = checkpointed(sized.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id", "size")))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string")))
+    sized = checkpointed(sized.withColumn("shuffled", F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")))
     total = sized.count()
     slices = max(1, -(-total // SLICE_ROWS))
     cut = F.col("shuffled").bitwiseAND(F.lit((1 << 31) - 1)) % F.lit(slices)
@@ -126,3 +127,36 @@ def _truncate(served: DataFrame, most: int, budget: float) -> DataFrame:
 def op4_weighted_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
     """Contract digest of mix over all documents, with the contract's weights."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The contract's query in DuckDB: one window over each source's shuffled documents, one over all copies.
+ORACLE = f"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents
+), h as (
+  select *, cast('0x' || substr(md5(concat_ws('|', '7', coalesce(cast(doc_id as varchar), '-'), cast(size as varchar))), 1, 15) as bigint) as shuffled from d
+), s as (
+  select *, (shuffled & 2147483647) % greatest(1, cast(ceil((select count(*) from d) / {SLICE_ROWS}.0) as bigint)) as slice from h
+), src as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (
+  select source, source_size, cast(source_size as double) * 2.0 as lim,
+         [3.0::double, 1.0::double, 2.0::double][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from src
+), l as (
+  select *, ((select cast(sum(source_size) as double) * 1.5 from src) - coalesce(sum(lim) over b, 0.0)) / ((select sum(weight) from w) - coalesce(sum(weight) over b, 0.0)) as level
+  from w window b as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), c as (select min(struct_pack(r := lim / weight, n := source is null, source := source, level := level)).level as common from l where lim > level * weight),
+t as (select source, source_size, case when common is null then lim else least(lim, weight * common) end as target from l, c),
+q as (
+  select s.doc_id, s.source, s.size, s.shuffled, t.source_size, t.target,
+         sum(size) over (partition by s.source order by slice, shuffled, doc_id, size rows unbounded preceding) as served
+  from s join t on s.source is not distinct from t.source
+), copies as (
+  select doc_id, source, size, shuffled, copy, (cast(served as double) + cast(source_size as double) * copy) / target as finish
+  from q, (select unnest([0, 1]) as copy) where size > 0
+), cut as (
+  select doc_id, source, shuffled, size,
+         sum(size) over (order by finish, source nulls first, doc_id nulls first, copy, shuffled rows unbounded preceding) <= (select sum(source_size) * 1.5 from src) as inside from copies
+), taken as (select doc_id, source, shuffled, sum(size) filter (where inside) as taken from cut group by doc_id, source, shuffled)
+select q.doc_id, q.size, q.source_size, q.target, cast(coalesce(taken, 0) as bigint) as taken
+from q left join taken k on q.doc_id is not distinct from k.doc_id and q.source is not distinct from k.source and q.shuffled = k.shuffled
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_sharding
+from . import op01_sharding, op04_mixing
 from .op01_sharding import op1_extendible_hash_shards
 from .op02_forest import op2_hash_prefix_forest
 from .op03_surrogates import op3_pii_surrogates
@@ -16,4 +16,7 @@ from .op10_order_minhash import op10_order_minhash
 
 QUERIES = {f.__name__: f for f in (op1_extendible_hash_shards, op2_hash_prefix_forest, op3_pii_surrogates, op4_weighted_fair_queue_mix, op5_path_template_tree, op6_knn_quality, op7_bpe_encode, op8_simhash_near_dedup, op9_debruijn_span_dedup, op10_order_minhash)}
 
-ORACLE_SQL: dict[str, str] = {"op1_extendible_hash_shards": op01_sharding.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_extendible_hash_shards": op01_sharding.ORACLE,
+    "op4_weighted_fair_queue_mix": op04_mixing.ORACLE,
+}
