@@ -93,12 +93,15 @@ def canonical_pmers(seq: Column, p: int) -> Column:
     return F.transform(pmers(seq, p), lambda x: F.least(x, reverse_complement(x)))
 
 
-def minimizer(kmer: Column, p: int, k: int | None = None) -> Column:
-    """The smallest p-mer on both strands (S-07); with k given, without lambdas, as generated code."""
-    if k is None or k == p:
-        return F.array_min(canonical_pmers(kmer, p))
-    other = reverse_complement(kmer)
-    return F.least(*[x.substr(i, p) for x in (kmer, other) for i in range(1, k - p + 2)])
+def minimizer(kmer: Column, p: int) -> Column:
+    """The smallest p-mer on both strands (S-07)."""
+    return F.array_min(canonical_pmers(kmer, p))
+
+
+def minimizer_of(kmer: Column, other: Column, k: int, p: int) -> Column:
+    """The same from a k-mer and its reverse complement in columns of their own: generated code, without lambdas."""
+    places = [x.substr(i, p) for x in (kmer, other) for i in range(1, k - p + 2)]
+    return F.least(*places)
 
 
 def partition_id(pmer: Column, p: int, n: int) -> Column:

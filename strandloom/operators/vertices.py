@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import BASES, complement, default_p, is_canonical, minimizer, partition_id, reverse_complement
+from ..functions.dna import BASES, complement, default_p, is_canonical, minimizer_of, partition_id, reverse_complement
 
 OUT, IN = [f"o{b}" for b in BASES], [f"i{b}" for b in BASES]
 SLOTS = OUT + IN
@@ -67,7 +67,9 @@ def linears(classified: DataFrame, cutoff: int = 1) -> DataFrame:
 def with_partition(vertices: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:
     """S-07: the logical partition of each k-mer."""
     p = p or default_p(k)
-    return vertices.withColumn("min", minimizer(F.col("kmer"), p, k)).withColumn("pid", partition_id(F.col("min"), p, n_parts).cast("bigint")).drop("min")
+    strands = vertices.withColumn("_rc", reverse_complement(F.col("kmer")))
+    smallest = strands.withColumn("_min", minimizer_of(F.col("kmer"), F.col("_rc"), k, p))
+    return smallest.withColumn("pid", partition_id(F.col("_min"), p, n_parts).cast("bigint")).drop("_rc", "_min")
 
 
 def vertex_ids(classified: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:

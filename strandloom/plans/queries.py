@@ -47,13 +47,13 @@ def digest(df: DataFrame, *by: str) -> DataFrame:
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-01 to S-10 on the first k-mer of every read."""
     x = F.col("seq").substr(1, KMER)
-    rows = reads(spark, sf_dir).select("doc_id", "pos", "seq", x.alias("x"))
+    rows = reads(spark, sf_dir).select("doc_id", "pos", "seq", x.alias("x")).withColumn("m", dna.minimizer(F.col("x"), MINIMIZER))
     c = F.col("x")
     out = rows.select(
         "doc_id", "pos",
         dna.reverse_complement(c).alias("rc"), dna.canonical(c).alias("canon"), dna.is_canonical(c).cast("int").alias("same"), dna.pack(c).alias("packed"), dna.unpack(dna.pack(c), KMER).alias("unpacked"),
         dna.kmer_at(F.col("seq"), F.lit(2), KMER).alias("second"), dna.shift_append(c, F.lit("G")).alias("shifted"), dna.reverse_edge_base(c).alias("back"), F.array_join(dna.pmers(c, MINIMIZER), ",").alias("pmers"),
-        dna.minimizer(c, MINIMIZER).alias("min"), dna.partition_id(dna.minimizer(c, MINIMIZER, KMER), MINIMIZER, PARTS).alias("pid"),
+        F.col("m").alias("min"), dna.partition_id(F.col("m"), MINIMIZER, PARTS).alias("pid"),
     )
     return digest(out, "doc_id")
 
