@@ -69,7 +69,9 @@ def with_partition(vertices: DataFrame, k: int, n_parts: int = 512, p: int | Non
     p = p or default_p(k)
     strands = vertices.withColumn("_rc", reverse_complement(F.col("kmer")))
     smallest = strands.withColumn("_min", minimizer_of(F.col("kmer"), F.col("_rc"), k, p))
-    return smallest.withColumn("pid", partition_id(F.col("_min"), p, n_parts).cast("bigint")).drop("_rc", "_min")
+    # never null: a join's test for nulls would carry the whole expression below it, again and again
+    pid = F.coalesce(partition_id(F.col("_min"), p, n_parts).cast("bigint"), F.lit(0).cast("bigint"))
+    return smallest.withColumn("pid", pid).drop("_rc", "_min")
 
 
 def vertex_ids(classified: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:
