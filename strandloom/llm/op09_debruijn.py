@@ -326,3 +326,18 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
 def op9_debruijn_span_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract digest of remove_repeats over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract's query in DuckDB, with every window written out.
+ORACLE = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+first as (select k, min(doc_id) as least from win group by k),
+hit as (select win.doc_id, win.i from win join first using (k) where least < win.doc_id),
+gone as (select distinct doc_id, i + j as p from (select doc_id, i, unnest(range(0, 13)) as j from hit)),
+tok as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (select t.doc_id, string_agg(t.word, ' ' order by t.p) filter (where g.p is null) as kept, count(g.p) as n_removed
+         from tok t left join gone g on t.doc_id = g.doc_id and t.p = g.p group by t.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_sharding, op04_mixing
+from . import op01_sharding, op04_mixing, op09_debruijn
 from .op01_sharding import op1_extendible_hash_shards
 from .op02_forest import op2_hash_prefix_forest
 from .op03_surrogates import op3_pii_surrogates
@@ -19,4 +19,5 @@ QUERIES = {f.__name__: f for f in (op1_extendible_hash_shards, op2_hash_prefix_f
 ORACLE_SQL: dict[str, str] = {
     "op1_extendible_hash_shards": op01_sharding.ORACLE,
     "op4_weighted_fair_queue_mix": op04_mixing.ORACLE,
+    "op9_debruijn_span_dedup": op09_debruijn.ORACLE,
 }
