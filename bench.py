@@ -17,17 +17,20 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=max(32, 4 * int(cpus)), memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.range(1000).selectExpr("sum(id)").collect()  # start-up is not a query's
-    times = {}
-    limit = time.time() + float(os.environ.get("BENCH_SECONDS", "900"))
+    times, skipped = {}, []
+    limit = time.time() + float(os.environ.get("BENCH_SECONDS", "600"))
     for name in HEADLINE:
-        if time.time() > limit:
-            break
+        # list ranking takes some 20 times as long as the graph: what can't end in time is named, not begun
+        longest = 20 * times.get("graph_statistics", 0) if name == "unitigs" else 0
+        if time.time() + longest > limit:
+            skipped.append(name)
+            continue
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
         spark.catalog.clearCache()
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf, "skipped": skipped}))
     spark.stop()
 
 
