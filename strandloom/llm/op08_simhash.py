@@ -31,7 +31,7 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Differing bits that the three segments are made for.
 RADIUS = 3
-#: Packed entries that one bucket range is meant to hold (12 bytes each).
+#: Packed entries that one bucket range is meant to hold (some 7 bytes each).
 RANGE_ENTRIES = 1_000_000
 KEYS_EACH = 90
 
@@ -167,7 +167,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: in
     return pairs[:, 0], pairs[:, 1]
 
 
-PACKED = "bucket int, size long, keys binary, fps binary, home binary"
+PACKED = "bucket int, keys binary, fps binary, many binary, home binary"
 
 
 def fingerprint_links(fps: DataFrame, n_rows: int, radius: int = RADIUS) -> DataFrame:
@@ -182,15 +182,23 @@ def fingerprint_links(fps: DataFrame, n_rows: int, radius: int = RADIUS) -> Data
                 fp = whole.column(0).to_numpy()[lo : lo + 8192].view(np.uint64)
                 keys, at, home = bucket_entries(fp)
                 bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ranges)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
+                order = np.lexsort((at, bucket))
                 bucket, keys, at, home = bucket[order], keys[order], at[order], home[order]
                 cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                rows = [(int(bucket[s]), int(e - s), keys[s:e].tobytes(), fp[at[s:e]].tobytes(), home[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                rows = []
+                for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    own = at[s:e]  # a fingerprint is sent once with all its keys in the range
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    many = np.diff(np.r_[first, e - s]).astype(np.uint8)
+                    rows.append((int(bucket[s]), keys[s:e].tobytes(), fp[own[first]].tobytes(), many.tobytes(), np.packbits(home[s:e]).tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "size", "keys", "fps", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "keys", "fps", "many", "home"])
 
     def link(group: pa.Table) -> pa.Table:
-        keys, fp, home = (np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in (("keys", np.uint32), ("fps", np.uint64), ("home", np.bool_)))
+        keys, fp, many = (np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in (("keys", np.uint32), ("fps", np.uint64), ("many", np.uint8)))
+        fp = np.repeat(fp, many)
+        sizes = [len(k) // 4 for k in group.column("keys").to_pylist()]
+        home = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=n) for h, n in zip(group.column("home").to_pylist(), sizes, strict=True)]).astype(bool)
         a, b = bucket_links(keys, fp, home, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
@@ -227,7 +235,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """``node, doc_id, fps array<long>, sketch binary`` of every row.
 
     ``node`` is a hash of the word sequence, equal for copies; ``fps`` are fingerprints under several seeds; the sketch
-    holds the ``SKETCH`` smallest 64-bit hashes of the distinct shingles of five words.
+    holds the ``SKETCH`` smallest of the 32-bit hashes of the distinct shingles of five words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +252,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 hashes = hashes[root * root == number]
                 hashes = mix64(hashes + root[root * root == number].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 fps.append([int(np.uint64(fingerprint(mix64(hashes ^ np.uint64(1 + r)))).view(np.int64)) for r in range(ROUNDS)])
-                kept.append(np.unique(shingle_hashes(t, WORDS, 9))[:SKETCH].tobytes())
+                kept.append(np.unique((shingle_hashes(t, WORDS, 9) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["node", "doc_id", "fps", "sketch"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -253,7 +261,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def resemblance(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets from their sketches; exact if neither was cut."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = np.union1d(x, y)
     if len(x) >= SKETCH or len(y) >= SKETCH:  # the smallest of the union are those that both sketches know
         both = both[:SKETCH]
