@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, strings_of
+from .common import by_size, checkpointed, strings_of
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Outside of these ranges, letters, numbers and case depend on the Unicode version; there, the library's own
@@ -257,6 +257,56 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
+    """The packed lexicon of the most frequent words of all texts, at most ``size``.
+
+    Words are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit; so the
+    driver gets a short histogram and then no more words than it keeps.
+    """
+    bpe = Bpe(path)
+    level = F.floor(F.log2("n") * 4).cast("int")
+    counts = checkpointed(word_counts(docs, path, text).withColumn("level", level))
+    total, least = 0, None
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > size:
+            break
+        least = r.level
+    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()
+    return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in top})
+
+
+def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of ids, the ids joined by spaces, and their tokens joined by spaces (the decoding)."""
+        split = [self.bpe.words(t) for t in texts]
+        self.learn(set().union(*split) if split else set())
+        for words in split:
+            found = [self.memo[w] for w in words]
+            yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+
+def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``word, n`` over all words of all texts; counted in each batch before anything is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, seen = Bpe(path), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for t in strings_of(batch.column(0)):
+                seen.update(bpe.words(t))
+                if len(seen) > MEMO_WORDS:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
     """The packed lexicon of the ``size`` most frequent words of all texts (ties by code point)."""
     bpe = Bpe(path)
