@@ -30,9 +30,9 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 UNSURE = regex.compile(r"[^\x00-\u0557\u0590-\u082f\u0900-\u0bff\u0e00-\u0e7f\u1e00-\u2064\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3000-\u9fef\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]")
 LEXICON_WORDS = 65_536
 #: Words a worker remembers beside the lexicon before it forgets them all.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Characters whose words a worker holds at once; a longer text is held alone.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def byte_letters() -> dict[int, str]:
