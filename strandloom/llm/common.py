@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where checkpoints go when neither the session nor its context names a folder (tests, single machines).
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/strandloom"
@@ -26,6 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a number of its own for each row; the same at every reading of what lies in files."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def parts(n_items: int, per_part: int, least: int = 1) -> int:
     """How many buckets hold ``n_items`` at about ``per_part`` each."""
     return max(least, -(-n_items // per_part))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, parts, texts_of
+from .common import checkpointed, numbered, parts, texts_of
 from .graph import components
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the binary Golay code.
@@ -226,89 +226,193 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return own.join(known, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-#: Shape of near copies outside the contract: words of a shingle, least similarity, seeds of the fingerprints that
-#: propose pairs, and shingles that a sketch keeps (all, of texts with fewer).
-WORDS, SIMILARITY, ROUNDS, SKETCH = 5, 0.8, 6, 256
+#: Shape of near copies outside the contract: words of a shingle and least similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Most shingles that are known to be frequent; which ones are only decides how many pairs are proposed.
+FREQUENT = 65_536
+SHAPES = "row long, doc_id long, node long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node, doc_id, fps array<long>, sketch binary`` of every row.
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of five words."""
+    return np.unique(shingle_hashes(text, WORDS, 9))
 
-    ``node`` is a hash of the word sequence, equal for copies; ``fps`` are fingerprints under several seeds; the sketch
-    holds the ``SKETCH`` smallest of the 32-bit hashes of the distinct shingles of five words.
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles and the rank of each, the most frequent last; at most ``FREQUENT``.
+
+    They are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, kept = [], [], []
-            for t in texts_of(batch.column(1)):
-                words = t.lower().split()
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), 5))
-                seen: dict[bytes, int] = {}
-                hashes = np.array([xxhash.xxh64_intdigest(w, 1) for w in words], np.uint64)
-                # a word counts with its number of occurrences up to its square root, so that common words don't decide
-                number = np.array([seen.__setitem__(w, seen.get(w, 0) + 1) or seen[w] for w in words], np.int64)
-                root = np.sqrt(number).astype(np.int64)
-                hashes = hashes[root * root == number]
-                hashes = mix64(hashes + root[root * root == number].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                fps.append([int(np.uint64(fingerprint(mix64(hashes ^ np.uint64(1 + r)))).view(np.int64)) for r in range(ROUNDS)])
-                kept.append(np.unique((shingle_hashes(t, WORDS, 9) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["node", "doc_id", "fps", "sketch"])
-
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "node long, doc_id long, fps array<long>, sketch binary")
-
-
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact if neither was cut."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)
-    if len(x) >= SKETCH or len(y) >= SKETCH:  # the smallest of the union are those that both sketches know
-        both = both[:SKETCH]
-    if not len(both):
-        return 1.0
-    return float(np.isin(both, x).astype(np.int64) @ np.isin(both, y).astype(np.int64)) / len(both)
+            sets = [shingle_set(t) for t in texts_of(batch.column(0))]
+            found, many = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found[many > 2].view(np.int64)), pa.array(many[many > 2])], ["h", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.withColumn("level", F.floor(F.log2("n") * 4).cast("int")))
+    total, least = 0, None
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("many")).collect(), reverse=True):
+        total += r.many
+        if total > FREQUENT:
+            break
+        least = r.level
+    top = [] if least is None else counts.where(F.col("level") >= least).select("n", "h").collect()
+    top.sort()
+    h = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (order + 1).astype(np.int64)
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id``: groups of documents linked by shingles of five words at ``similarity`` or more.
-
-    Copies (equal words, A-Z lower-cased) are one node from the start. Pairs are proposed by fingerprints of words under
-    several seeds that differ in three bits or fewer, through the same Golay keys, as spanning links of their buckets;
-    each is verified by the similarity of the documents' shingle sketches, and verified links make the groups. A pair at
-    the threshold may be missed if no seed proposes it; no pair below is linked, but for the sketch's error in texts of
-    more than 256 distinct shingles (a standard error of 0.025 at 0.8). Null and empty texts are copies of each other.
-    Rows may repeat or lack a doc_id (a null is never the smallest unless alone); an empty table gives none.
+def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes in an order common to all sets (rare ones first) that a set must share one of with a similar one.
+
+    A set at ``similarity`` or more shares at least that part of these n hashes, so it can't miss all of the first
+    n - ceil(similarity * n) + 1, and the first one that both hold is among the first ones of both.
     """
-    rows = checkpointed(sketches(docs, doc_id, text))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch")))
-    n = nodes.count()
-    pairs = None
-    for r in range(ROUNDS):
-        of = nodes.select(F.element_at("fps", r + 1).alias("fp"), "node")
-        named = of.groupBy("fp").agg(F.min("node").alias("node"))  # what stands for a fingerprint
-        links = fingerprint_links(named, n)
-        a = named.select(F.col("fp").alias("a"), F.col("node").alias("x"))
-        b = named.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-        found = links.join(a, "a").join(b, "b").select("x", "y")
-        same = of.join(named.withColumnRenamed("node", "x"), "fp").where("node <> x").select("x", F.col("node").alias("y"))
-        found = found.union(same)
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = checkpointed(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    n = len(hashes)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    place = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        place = np.where(frequent[at] == hashes, rank[at], 0)
+    return hashes[np.argsort(place, kind="stable")[:most]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as four words: whether the hashes that fall on each are odd in number.
+
+    Two sets' bits differ in no more places than the sets differ in members.
+    """
+    return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8).view(np.int64)
+
+
+def shapes(docs: DataFrame, similarity: float) -> DataFrame:
+    """``SHAPES`` of every row: a hash of its word sequence (equal for copies), the number of its shingles, the prefix and the parity bits."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, many, keys, bits = [], [], [], []
+            for t in texts_of(batch.column(2)):
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 5))
+                hashes = shingle_set(t)
+                many.append(len(hashes))
+                keys.append(prefix(hashes, *frequent.value, similarity).view(np.int64))
+                bits.append(parity(hashes))
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            bits = np.array(bits, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(many, pa.int32()), keys, *(pa.array(bits[:, i].copy()) for i in range(4))],
+                ["row", "doc_id", "node", "n", "keys", "b0", "b1", "b2", "b3"],
+            )
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, SHAPES)
+
+
+def possible(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and each j can be at ``similarity``, by their sizes and parity bits; never false for a pair that is."""
+    most = (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6  # members that they may differ in
+    return (np.abs(n[i] - n[j]) <= most) & (np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most)
+
+
+def proposals(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """``x, y``: pairs of each list's members that may be similar: all of different labels, or a few to begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            node, label, n = (flat.field(f).to_numpy() for f in ("node", "label", "n"))
+            bits = np.stack([flat.field(f"b{i}").to_numpy() for i in range(4)], axis=1).view(np.uint64)
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                order = s + np.lexsort((node[s:e], n[s:e]))
+                x, y = [], []
+                for k, i in enumerate(order[:-1].tolist()):
+                    later = order[k + 1 :] if every or k == 0 else order[k + 1 : k + 2]
+                    later = later[label[later] != label[i]]
+                    later = later[possible(n, bits, i, later, similarity)]
+                    x.append(np.full(len(later), node[i]))
+                    y.append(node[later])
+                    if sum(map(len, x)) > 100_000 or k == len(order) - 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["x", "y"])
+                        x, y = [], []
+
+    return lists.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose whole shingle sets are at ``similarity`` or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for lo in range(0, len(texts), 1024):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), pa.array([shingle_set(t).tobytes() for t in texts[lo : lo + 1024]], pa.binary())], ["node", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [resemblance(a, b) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    x = nodes.select(F.col("node").alias("x"), F.col("sketch").alias("sx"))
-    y = nodes.select(F.col("node").alias("y"), F.col("sketch").alias("sy"))
-    linked = pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
-    comp = components(linked, "x", "y")
-    named = nodes.join(comp, "node").select("node", "label", "first")
-    least = named.join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("node", "least")
-    known = nodes.select("node", "first").join(least, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    held = docs.join(nodes.join(asked, "node").select("row", "node"), "row").select("node", "text")
+    held = checkpointed(held.mapInArrow(sets, "node long, hashes binary"))
+    x = held.select(F.col("node").alias("x"), F.col("hashes").alias("hx"))
+    y = held.select(F.col("node").alias("y"), F.col("hashes").alias("hy"))
+    return checkpointed(pairs.join(x, "x").join(y, "y").select("x", "y", "hx", "hy").mapInArrow(verify, "x long, y long"))
+
+
+def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``row, doc_id, label``: groups of the rows of ``docs`` (``row, doc_id, text``; row tells rows apart).
+
+    Rows are linked if their sets of shingles of five words have a Jaccard similarity of ``similarity`` or more; label
+    is the same in all that chains of links connect. Copies (equal words, A-Z lower-cased) are one node from the start.
+    Similar sets share a shingle of their prefixes, so the lists of nodes by such a shingle hold every link. First a
+    few pairs of each list are verified, on whole sets; then all pairs of a list that these links leave apart. Only
+    pairs that sizes or parity bits rule out are spared.
+    """
+    rows = checkpointed(shapes(docs, similarity))
+    columns = ["n", "b0", "b1", "b2", "b3"]
+    own = rows.groupBy("node").agg(F.min("row").alias("row"))
+    nodes = rows.join(own, ["node", "row"])
+    entries = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
+    lists = entries.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).where(F.size("members") > 1)
+    lists = checkpointed(lists.groupBy("members").agg(F.min("key").alias("list")))
+    members = lists.select("list", F.explode("members").alias("node"))
+    slim = checkpointed(nodes.select("node", "row", *columns).join(members.select("node").distinct(), "node", "left_semi"))
+    members = checkpointed(members.join(slim, "node").select("list", "node", *columns))
+
+    def listed(labelled: DataFrame) -> DataFrame:
+        apart = F.min("label") < F.max("label")
+        whole = labelled.groupBy("list").agg(F.collect_list(F.struct("node", "label", *columns)).alias("members"), apart.alias("apart"))
+        return whole.where("apart").select("members")
+
+    pairs = checkpointed(proposals(listed(members.withColumn("label", F.col("node"))), similarity, every=False))
+    links = verified(pairs, docs, slim, similarity)
+    comp = checkpointed(components(links, "x", "y"))
+    labelled = members.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = proposals(listed(labelled), similarity, every=True)
+    rest = checkpointed(rest.join(pairs, ["x", "y"], "left_anti"))
+    comp = components(links.union(verified(rest, docs, slim, similarity)), "x", "y")
+    return rows.join(comp, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id``: the groups of similar_rows, by the smallest doc_id of each.
+
+    Null and empty texts are copies of each other. Rows may repeat or lack a doc_id (a null is never the smallest
+    unless alone); an empty table gives none.
+    """
+    rows = checkpointed(similar_rows(numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))), similarity))
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "label").select("doc_id", "component_id")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

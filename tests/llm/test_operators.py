@@ -397,3 +397,27 @@ def test_signature_selects_what_brute_force_does():
             if chosen:
                 assert by.setdefault(tuple(chosen), slot) == slot
     assert len(set(by.values())) >= len(by) - 1
+
+
+def shingles_of(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+
+def groups_of(spark, texts):
+    got = {r.doc_id: r.component_id for r in o8.similar_documents(docs_of(spark, texts)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def words_of(seed, n):
+    return [f"w{random.Random(seed * 10_000 + i).randrange(10**6)}" for i in range(n)]
+
+
+def test_similar_documents_through_no_common_hub(spark):
+    """Of one list, only x and y are similar; what stands for the list is similar to neither."""
+    core = words_of(1, 100)
+    texts = [" ".join(core[:70] + words_of(10 + s, 30)) for s in range(40)]
+    texts += [" ".join(core[:92] + words_of(80, 8)), " ".join(core[:93] + words_of(81, 7))]
+    want = grouped([shingles_of(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert want[41] == 40
+    assert groups_of(spark, texts) == want
