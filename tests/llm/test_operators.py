@@ -413,6 +413,21 @@ def words_of(seed, n):
     return [f"w{random.Random(seed * 10_000 + i).randrange(10**6)}" for i in range(n)]
 
 
+def test_similar_documents_are_complete(spark):
+    """Short near copies, cut and extended ones: every pair at 0.8 or more is found, and none below."""
+    texts, hot = [], words_of(999, 12)
+    for s in range(60):
+        n = (20, 25, 30, 45, 60, 100)[s % 6]
+        w = words_of(s, n) + (hot if s % 2 else [])
+        one = list(w)
+        one[s % 2 * 3] = "changed"
+        texts += [" ".join(x) for x in (w, one, w[: -max(1, n // 8)], w[n // 7 :], w + words_of(500 + s, n // 6), w + words_of(700 + s, n // 4))]
+    texts += [" ".join(hot + words_of(2000 + s, 2)) for s in range(60)] + [None, "", "a b", "a  B"]
+    want = grouped([shingles_of(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert len(set(want)) < len(texts) - 100
+    assert groups_of(spark, texts) == want
+
+
 def test_similar_documents_through_no_common_hub(spark):
     """Of one list, only x and y are similar; what stands for the list is similar to neither."""
     core = words_of(1, 100)
