@@ -436,3 +436,14 @@ def test_similar_documents_through_no_common_hub(spark):
     want = grouped([shingles_of(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
     assert want[41] == 40
     assert groups_of(spark, texts) == want
+
+
+def test_similar_documents_near_the_threshold(spark):
+    """Long texts just above and below 0.8 are decided by their whole sets."""
+    texts = []
+    for s in range(30):
+        w = words_of(s, 2000)
+        texts += [" ".join(w), " ".join(w[: 2000 - 397 - s % 8])]
+    want = grouped([shingles_of(t) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert 35 < len(set(want)) < 55
+    assert groups_of(spark, texts) == want
