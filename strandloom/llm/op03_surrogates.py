@@ -35,9 +35,11 @@ PATTERNS = {
     "han_name": r"[\p{IsHan}]{2,4}(?:先生|女士|小姐)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}",
 }
-#: All but names in Han characters, which no space precedes, begin where no letter or digit stands before: one test for
-#: all spares the patterns at every other place of a text.
-ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "han_name") + ")|" + PATTERNS["han_name"]
+#: Kinds that may begin beside a letter or digit: a secret's keyword ends longer names (accessToken, dbPassword), keys and
+#: account numbers mind ASCII only, and no space precedes names in Han characters.
+ANYWHERE = ("secret", "access_key", "iban", "han_name")
+#: The others begin where no letter or digit stands before: one test for them spares their patterns at other places.
+ANY = "|".join(PATTERNS[k] for k in ANYWHERE[:-1]) + r"|(?<![\p{L}\p{N}])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in ANYWHERE) + ")|" + PATTERNS["han_name"]
 #: Whole entities, to tell their kind again.
 WHOLE = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
 HEX, DIGITS = "0123456789abcdef", "0123456789"
