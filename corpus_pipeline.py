@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import op03_surrogates, op04_mixing, op06_quality, op07_bpe, op08_simhash
-from strandloom.llm.common import checkpoint_folder
+from strandloom.llm.common import checkpoint_folder, numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,10 +26,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near copies: five words, similarity 0.8 or more."""
-    groups = op08_simhash.similar_documents(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    """One row of each group of near copies (five words, similarity 0.8 or more): of the smallest id, null last."""
+    rows = numbered(docs.select(*COLUMNS))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = op08_simhash.similar_rows(rows).groupBy("label").agg(first.alias("first")).select("first.row")
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,10 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources to target weights: a row for each copy that is taken, so a document may have two or none."""
-    taken = op04_mixing.mix(docs).where("taken > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))).alias("copy"))
-    return docs.select(*COLUMNS).join(taken.select("doc_id"), "doc_id").select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS))
+    copies = F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))
+    taken = op04_mixing.mix(rows, carry=("row",)).where("taken > 0").select("row", F.explode(copies).alias("copy"))
+    return rows.join(taken.select("row"), "row").select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,16 +51,17 @@ def source_shares(sizes: DataFrame, weights: tuple[float, ...], budget_ratio: fl
     return placed.select("source", "source_size", F.when(first.isNull(), F.col("limit")).otherwise(common).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget_ratio: float = 1.5, most: int = 2, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget_ratio: float = 1.5, most: int = 2, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, size, source, source_size, target, taken``: a row for each row of ``docs``; taken counts words.
 
     A document is taken whole or not, once for each of at most ``most`` copies; the copies of a source follow each
     other, so no document is taken twice before every document of its source was taken once. Null text counts as
     empty (size 0, taken 0); null is a source of its own, the last; rows may repeat or lack a doc_id, and tied rows of
     equal size share their hash's place in either order. An empty table gives an empty result. Every other column is
-    left alone and not returned. Reruns agree.
+    left alone and not returned, but for those of ``carry``, such as a number that tells rows apart; they come last and
+    decide between tied rows. Reruns agree.
     """
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *carry)
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string")))
     sized = checkpointed(sized.withColumn("shuffled", F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")))
     total = sized.count()
@@ -72,17 +73,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget_ra
     # size that stands before each slice; a slice's rows are few, a source's slices are a small table's
     before = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")
     offsets = by_slice.withColumn("before", before).alias("o").join(shares.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "slice", "before", "source_size", "target")
-    within = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("shuffled", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0))
     queued = sized.withColumn("within", within).alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.slice") == F.col("o.slice")))
-    served = queued.select("d.doc_id", "d.source", "size", "shuffled", "source_size", "target", (F.col("before") + F.col("within")).alias("served"))
+    served = queued.select("d.doc_id", "d.source", "size", "shuffled", "source_size", "target", (F.col("before") + F.col("within")).alias("served"), *carry)
     # virtual finish time of each copy: words served by then over the share
     finish = [F.when(F.col("target") > 0, (F.col("served") + F.col("source_size") * F.lit(c)) / F.col("target")).alias(f"f{c}") for c in range(most)]
     served = checkpointed(served.select("*", *finish))
     words = served.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return _truncate(served, most, words * min(float(budget_ratio), float(most)))
+    return _truncate(served, most, words * min(float(budget_ratio), float(most)), carry)
 
 
-def _truncate(served: DataFrame, most: int, budget: float) -> DataFrame:
+def _truncate(served: DataFrame, most: int, budget: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut the queue of all copies, in order of finish time, where their words would pass the budget.
 
     Words are summed by cell of virtual time, then by cell of the one in which the sum passes the budget; only the
@@ -121,7 +122,7 @@ def _truncate(served: DataFrame, most: int, budget: float) -> DataFrame:
                 inside = here <= F.struct(F.lit(last[0]).alias("finish"), F.lit(last[1]).cast("string").alias("source"), F.lit(last[2]).cast("long").alias("doc_id"), F.lit(last[3]).alias("copy"), F.lit(last[4]).alias("shuffled"))
             inside = (coarse(f) < e1) | ((coarse(f) == e1) & ((fine(f) < e2) | ((fine(f) == e2) & inside)))
             taken = taken + F.when((F.col("size") > 0) & inside, F.col("size")).otherwise(F.lit(0))
-    return served.select("doc_id", "size", "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    return served.select("doc_id", "size", "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), *carry)
 
 
 def op4_weighted_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
