@@ -276,44 +276,6 @@ def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str
     return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in top})
 
 
-def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text: number of ids, the ids joined by spaces, and their tokens joined by spaces (the decoding)."""
-        split = [self.bpe.words(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
-        for words in split:
-            found = [self.memo[w] for w in words]
-            yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
-
-
-def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``word, n`` over all words of all texts; counted in each batch before anything is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = Bpe(path), Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for t in strings_of(batch.column(0)):
-                seen.update(bpe.words(t))
-                if len(seen) > MEMO_WORDS:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The packed lexicon of the ``size`` most frequent words of all texts (ties by code point)."""
-    bpe = Bpe(path)
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(size).collect()
-    return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in top})
-
-
 def encode(docs: DataFrame, path: str, fields: Callable[[tuple[int, str, str]], tuple], schema: str, size: int = LEXICON_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id and what ``fields`` makes of (n_tokens, ids, decoded text).
 

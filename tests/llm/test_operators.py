@@ -456,3 +456,13 @@ def test_secrets_behind_letters(spark):
     for r in o3.with_surrogates(docs_of(spark, texts)).collect():
         gone = (secret, "MD62HKU6VBLCCCCE", "44500105175407324931")
         assert r.n_replaced == 1 and not any(g in r.text for g in gone) and len(r.text) == len(texts[r.doc_id]), r
+
+
+def test_lexicon_takes_whole_levels_of_frequency(spark):
+    path = o7.default_path()
+    docs = docs_of(spark, ["often " * 64 + "seldom1 seldom2 seldom3 seldom4"])
+    n = dict(o7.word_counts(docs, path).collect())
+    frequent = {w for w in n if n[w] > 2}
+    lexicon = o7.Lexicon(o7.lexicon_of(docs, path, size=len(frequent) + 1))
+    assert frequent and len(n) > len(frequent) + 1
+    assert {w for w in n if lexicon.ranks([w.encode()])[0] >= 0} == frequent
