@@ -54,8 +54,8 @@ class Forest:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def candidates(self, queries: np.ndarray, enough: float) -> np.ndarray:
-        """[queries, rows] mask: what the ascent has met once it has met ``enough`` entries (all, at the root)."""
+    def candidates(self, queries: np.ndarray, enough: float, least: int = 0) -> np.ndarray:
+        """[queries, rows] mask: what the ascent has met once it has met ``enough`` entries, ``least`` rows (all, at the root)."""
         keys = strings(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), self.directions)
         lo, hi = np.zeros(keys.shape, np.int64), np.full(keys.shape, self.n)
         left = np.arange(len(queries))
@@ -67,7 +67,11 @@ class Forest:
                 lo[t, left] = np.searchsorted(row, keys[t, left] & ~rest, side="left")
                 hi[t, left] = np.searchsorted(row, keys[t, left] | rest, side="right")
             met = (hi[:, left] - lo[:, left]).sum(axis=0)
-            left = left[met < enough]
+            few = (hi[:, left] - lo[:, left]).max(axis=0) < least  # trees repeat rows: only these need a closer look
+            for i in np.flatnonzero(few & (met >= enough)):
+                q = left[i]
+                few[i] = len(np.unique(np.concatenate([self.order[t, lo[t, q] : hi[t, q]] for t in range(len(self.keys))]))) < least
+            left = left[(met < enough) | few]
         lo[:, left], hi[:, left] = 0, self.n
         mask = np.zeros((len(queries), self.n), bool)
         for q in range(len(queries)):
@@ -91,7 +95,7 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     for lo in range(0, len(queries), BLOCK_QUERIES):
         some = queries[lo : lo + BLOCK_QUERIES].astype(np.float64)
         near = some @ distinct.T
-        near[~forest.candidates(some, effort * len(distinct))] = -np.inf
+        near[~forest.candidates(some, effort * len(distinct), k + 1)] = -np.inf
         want = min(k + 1, near.shape[1])  # one more: the query itself may be among them
         edge = -np.partition(-near, want - 1, axis=1)[:, want - 1]
         for q in range(len(some)):
@@ -123,7 +127,7 @@ def fit_effort(x: np.ndarray, k: int, most: float, directions: np.ndarray) -> fl
     truth = np.argpartition(-near, k - 1, axis=1)[:, :k]
     forest = Forest(x, most, directions)
     for effort in 2.0 ** np.arange(-6, 4):
-        if np.take_along_axis(forest.candidates(queries, effort * len(x)), truth, axis=1).mean() >= SAMPLE_RECALL:
+        if np.take_along_axis(forest.candidates(queries, effort * len(x), k + 1), truth, axis=1).mean() >= SAMPLE_RECALL:
             return float(effort)
     return float(len(directions))
 

@@ -466,3 +466,14 @@ def test_lexicon_takes_whole_levels_of_frequency(spark):
     lexicon = o7.Lexicon(o7.lexicon_of(docs, path, size=len(frequent) + 1))
     assert frequent and len(n) > len(frequent) + 1
     assert {w for w in n if lexicon.ranks([w.encode()])[0] >= 0} == frequent
+
+
+def test_forest_finds_k_in_small_clusters():
+    """Tight clusters of four vectors meet many entries, but few rows, before the ascent leaves them."""
+    rng = np.random.RandomState(3)
+    x = np.repeat(rng.randn(250, 16), 4, axis=0)
+    x = (x / np.linalg.norm(x, axis=1)[:, None] + 1e-6 * rng.randn(*x.shape)).astype(np.float32)
+    ids = np.arange(len(x))
+    most = float(np.linalg.norm(x.astype(np.float64), axis=1).max())
+    found = list(o2.search(x, ids, x[::50], ids[::50], 20, most, 2.0**-4, o2.rotations(17)))
+    assert len(found) == 20 and all(len(vec_ids) == 20 for _, vec_ids, _ in found)
