@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 WORDS, SIMILARITY = 5, 0.8
 #: Most shingles that are known to be frequent; which ones are only decides how many pairs are proposed.
 FREQUENT = 65_536
+#: Bits of the filter of rows whose texts are wanted, and nodes that a task remembers to send their keys once.
+FILTER_BITS, REMEMBERED = 1 << 24, 1_000_000
 SHAPES = "row long, doc_id long, node long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
@@ -280,6 +282,11 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarit
     return hashes[np.argsort(place, kind="stable")[:most]]
 
 
+def node_of(text: bytes) -> int:
+    """A hash of the word sequence, equal for copies."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 5)
+
+
 def parity(hashes: np.ndarray) -> np.ndarray:
     """256 bits as four words: whether the hashes that fall on each are odd in number.
 
@@ -289,17 +296,20 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def shapes(docs: DataFrame, similarity: float) -> DataFrame:
-    """``SHAPES`` of every row: a hash of its word sequence (equal for copies), the number of its shingles, the prefix and the parity bits."""
+    """``SHAPES`` of every row: its node, the number of its shingles, the prefix (none if its task gave it before) and the parity bits."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             nodes, many, keys, bits = [], [], [], []
             for t in texts_of(batch.column(2)):
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 5))
+                nodes.append(node_of(t))
                 hashes = shingle_set(t)
                 many.append(len(hashes))
-                keys.append(prefix(hashes, *frequent.value, similarity).view(np.int64))
+                keys.append(prefix(hashes[:0] if nodes[-1] in seen else hashes, *frequent.value, similarity).view(np.int64))
+                if len(seen) < REMEMBERED:
+                    seen.add(nodes[-1])
                 bits.append(parity(hashes))
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
@@ -343,30 +353,45 @@ def proposals(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
     return lists.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def filter_of(rows: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, among them those that the ``row``s hash to."""
+    at = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    words = rows.select(at.alias("at")).selectExpr("cast(at div 32 as int) as word", "shiftleft(1L, cast(at % 32 as int)) as bit")
+    bits = np.zeros(FILTER_BITS // 32, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 32
+        bits[r.word] = r.bits
+    return bits
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose whole shingle sets are at ``similarity`` or more."""
+    """Those of ``pairs`` whose whole shingle sets are at ``similarity`` or more.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts that are in no pair are left out before any is shuffled; the few that the filter lets pass meet no pair.
+    """
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(nodes.join(asked, "node", "left_semi").select("row")))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for lo in range(0, len(texts), 1024):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), pa.array([shingle_set(t).tobytes() for t in texts[lo : lo + 1024]], pa.binary())], ["node", "hashes"])
+            at = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(wanted.value[at // 32] >> (at % 32) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(t) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)), batch.column(1)], ["node", "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            good, last, y = [], None, None
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                x = shingle_set(a.as_py().encode())
+                if last != (last := b.as_py()):
+                    y = shingle_set(last.encode())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    held = docs.join(nodes.join(asked, "node").select("row", "node"), "row").select("node", "text")
-    held = checkpointed(held.mapInArrow(sets, "node long, hashes binary"))
-    x = held.select(F.col("node").alias("x"), F.col("hashes").alias("hx"))
-    y = held.select(F.col("node").alias("y"), F.col("hashes").alias("hy"))
-    return checkpointed(pairs.join(x, "x").join(y, "y").select("x", "y", "hx", "hy").mapInArrow(verify, "x long, y long"))
+    held = docs.where("text is not null").select(F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).alias("at"), "text").mapInArrow(named, "node long, text string")
+    x = held.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    y = held.select(F.col("node").alias("y"), F.col("text").alias("ty"))
+    return checkpointed(pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(verify, "x long, y long"))
 
 
 def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -380,13 +405,12 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = checkpointed(shapes(docs, similarity))
     columns = ["n", "b0", "b1", "b2", "b3"]
-    own = rows.groupBy("node").agg(F.min("row").alias("row"))
-    nodes = rows.join(own, ["node", "row"])
-    entries = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
-    lists = entries.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).where(F.size("members") > 1)
+    entries = rows.select(F.explode("keys").alias("key"), "node").repartition("key")
+    lists = entries.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
     lists = checkpointed(lists.groupBy("members").agg(F.min("key").alias("list")))
     members = lists.select("list", F.explode("members").alias("node"))
-    slim = checkpointed(nodes.select("node", "row", *columns).join(members.select("node").distinct(), "node", "left_semi"))
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in columns])
+    slim = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi"))
     members = checkpointed(members.join(slim, "node").select("list", "node", *columns))
 
     def listed(labelled: DataFrame) -> DataFrame:
