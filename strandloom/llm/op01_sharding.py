@@ -8,6 +8,8 @@ together (a hot key) go on splitting on the bits of a second hash, of their own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +81,16 @@ def assign(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), limit: int = LIM
     ``shard`` is the bits of the shard's prefix, with ``+`` and bits of the rows' own hash behind them if all 60 of the
     key's were not enough; ``depth`` is the number of bits. Every shard is within the limit, but for single rows that
     exceed it. Null keys hash as one key, null texts have 0 bytes; rows may repeat (each is numbered); other columns
-    are not read. An empty table gives an empty result.
+    are not read. A key column that has the name of a column of the result comes back as ``key_<name>``. An empty table
+    gives an empty result.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    names = [F.coalesce(F.col(k).cast("string"), F.lit(NULL_KEY)) for k in key]
-    n_bytes = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
-    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    rows = checkpointed(docs.select(number.alias("row_id"), *[F.col(k) for k in key], n_bytes.alias("n_bytes"), key_hash(*names).alias("h")))
+    names = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(NULL_KEY)) for k in key]
+    n_bytes = F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long")
+    number = F.col(f"`{row_id}`") if row_id else F.monotonically_increasing_id()
+    keys = [F.col(f"`{k}`").alias(f"key {i}") for i, k in enumerate(key)]
+    rows = checkpointed(docs.select(number.alias("row_id"), *keys, n_bytes.alias("n_bytes"), key_hash(*names).alias("h")))
     slim = rows.select("row_id", F.lit(0).cast("long").alias("grp"), "h", "n_bytes")
     settled, hot = settle(slim, limit)
     shards = settled.select("row_id", bits(F.col("h"), F.col("depth")).alias("shard"), "depth", "bytes", "n")
@@ -98,14 +102,24 @@ def assign(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), limit: int = LIM
         shards = shards.union(split.select("row_id", name, F.col("depth") + BITS, "bytes", "n"))
         if not rest.isEmpty():
             raise ValueError("120 bits did not separate rows of different numbers")
-    return rows.join(shards, "row_id").select("row_id", *key, "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
+    taken = ("row_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    given = [F.col(f"key {i}").alias(f"key_{k}" if k in taken else k) for i, k in enumerate(key)]
+    return rows.join(shards, "row_id").select("row_id", *given, "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
 
 
 def write_shards(docs: DataFrame, path: str, key: tuple[str, ...] = ("doc_id",), limit: int = LIMIT_BYTES, text: str = "text") -> None:
-    """Write ``docs`` as parquet with a folder for each shard (``shard=<bits>``); the root shard is called ``root``."""
-    numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    named = assign(numbered, key, limit, text, "_row").select(F.col("row_id").alias("_row"), F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard"))
-    numbered.drop("shard").join(named, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as parquet with a folder for each shard: ``shard=b<bits>``, the root shard's being ``shard=b``.
+
+    The letter keeps readers from taking the bits for a number. A column of ``docs`` that is called shard is written
+    as ``own_shard``.
+    """
+    if "shard" in docs.columns:
+        docs = docs.withColumnRenamed("shard", "own_shard")
+        key, text = tuple("own_shard" if k == "shard" else k for k in key), "own_shard" if text == "shard" else text
+    row = f"row {uuid.uuid4().hex}"
+    numbered = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = assign(numbered, key, limit, text, row).select(F.col("row_id").alias(row), F.concat(F.lit("b"), "shard").alias("shard"))
+    numbered.join(named, row).drop(row).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op1_extendible_hash_shards(spark, sf_dir: str) -> DataFrame:

@@ -37,13 +37,13 @@ _CLASSES = np.stack([_UPPER, _DIGIT, _OTHER], axis=1).astype(np.float64)
 
 def terms(text: bytes) -> np.ndarray:
     """Counts of hashed trigrams, then indicators of each shape's level; all 0 for an empty text."""
-    out = np.zeros(TRIGRAMS + SHAPES * len(LEVELS), np.uint16)
+    out = np.zeros(TRIGRAMS + SHAPES * len(LEVELS), np.uint32)
     b = np.frombuffer(text, np.uint8)
     if len(b) >= 3:
         wide = b.astype(np.uint32)
         gram = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
         gram = (gram * np.uint32(2654435761)) >> np.uint32(20)
-        out[:TRIGRAMS] = np.minimum(np.bincount(gram, minlength=TRIGRAMS), 65535)
+        out[:TRIGRAMS] = np.bincount(gram, minlength=TRIGRAMS)
     held = np.bincount(b, minlength=256)
     words = text.split()
     n = max(1, len(words))
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     rows = sorted(found.groupBy("label_id").agg(F.min(F.struct("terms", "label")).alias("x")).select("label_id", "x.*").collect())  # `sample` rows at most
     if not rows:
         return Space(np.zeros(0), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(zlib.decompress(r.terms), np.uint16) for r in rows])
+    counts = np.stack([np.frombuffer(zlib.decompress(r.terms), np.uint32) for r in rows])
     return Space.fit(counts, np.array([r.label for r in rows]))
 
 

@@ -3,18 +3,20 @@
 Frequent words of the corpus are compiled into a minimal acyclic automaton whose transitions carry counts, so that the
 path of a word adds up to its rank, and ranks index the word's token ids (the outputs). The automaton is a flat array,
 sent to the workers once and memory-mapped there from an unlinked file. Words outside it are merged exactly by rank of
-their pairs. The vocabulary file is public and its path is a parameter.
+their pairs, in n log n steps. The vocabulary file is public and its path is a parameter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +156,12 @@ class Lexicon:
 
 
 class Bpe:
-    """A byte-level BPE with word ends, read from a tokenizers file."""
+    """A byte-level BPE with word ends, from the content of a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(content)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
@@ -170,7 +171,7 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in self.letters.items()}
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(content)
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; an added token stands as itself with a NUL before it."""
@@ -195,17 +196,37 @@ class Bpe:
             return [self.added[word[1:]]]
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += self.suffix
-        none = len(self.rank)
-        ranks = [self.rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]  # only the pairs on either side are new
-            if i:
-                ranks[i - 1] = self.rank.get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = self.rank.get((parts[i], parts[i + 1]), none)
-        return [self.vocab[p] for p in parts]
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        todo = [(r, i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.rank.get(pair)) is not None]
+        heapq.heapify(todo)
+        while todo:
+            r, i = heapq.heappop(todo)
+            j = after[i]
+            if j >= n or self.rank.get((parts[i], parts[j])) != r:
+                continue  # one of the two has been merged since
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = after[j]
+            after[j] = n
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := self.rank.get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(todo, (r, x))
+        return [self.vocab[p] for p in parts if p]
+
+
+@lru_cache(maxsize=2)
+def bpe_of(spec: str) -> Bpe:
+    """The BPE of a tokenizers file's content, made once in each worker."""
+    return Bpe(spec)
+
+
+def content(path: str) -> str:
+    """What the vocabulary file holds; the driver reads it and sends it along, so only the driver needs the file."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 class Encoder:
@@ -237,9 +258,10 @@ class Encoder:
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``word, n`` over all words of all texts; counted in each batch before anything is shuffled."""
+    spec = docs.sparkSession.sparkContext.broadcast(content(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = Bpe(path), Counter()
+        bpe, seen = bpe_of(spec.value), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
@@ -260,32 +282,39 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
     """The packed lexicon of the most frequent words of all texts, at most ``size``.
 
-    Words are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit; so the
-    driver gets a short histogram and then no more words than it keeps.
+    Words are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit; if that
+    leaves over half of ``size`` free, words of small hash of the next level fill nine tenths of it. So the driver gets
+    a short histogram and then no more words than it keeps.
     """
-    bpe = Bpe(path)
-    level = F.floor(F.log2("n") * 4).cast("int")
+    level, cells = F.floor(F.log2("n") * 4).cast("int"), 1 << 30
     counts = checkpointed(word_counts(docs, path, text).withColumn("level", level))
-    total, least = 0, None
+    total, chosen = 0, F.lit(False)
     for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
-        total += r.words
-        if total > size:
+        if total + r.words > size:
+            share = int(cells * 0.9 * (size - total) / r.words) if 2 * total < size else 0
+            chosen = chosen | ((F.col("level") == r.level) & (F.pmod(F.xxhash64("word"), F.lit(cells)) < share))
             break
-        least = r.level
-    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()
-    return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in top})
+        total += r.words
+        chosen = chosen | (F.col("level") == r.level)
+    bpe = bpe_of(content(path))
+    return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in counts.where(chosen).select("word").limit(size).collect()})
 
 
 def encode(docs: DataFrame, path: str, fields: Callable[[tuple[int, str, str]], tuple], schema: str, size: int = LEXICON_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id and what ``fields`` makes of (n_tokens, ids, decoded text).
 
     ``schema`` describes what fields returns. A null or empty text has no tokens; rows may repeat or lack an id; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. The result's columns are ``doc_id`` (by the name given)
+    and those of schema; an id column of one of their names is refused.
     """
-    lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, path, size, text))  # at most `size` words
+    if doc_id in [x.split()[0] for x in schema.split(",")]:
+        raise ValueError(f"the id column can't be called {doc_id!r}, as a column of the result is")
+    sc = docs.sparkSession.sparkContext
+    lexicon = sc.broadcast(lexicon_of(docs, path, size, text))  # at most `size` words
+    spec = sc.broadcast(content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Bpe(path), Lexicon(lexicon.value))
+        encoder = Encoder(bpe_of(spec.value), Lexicon(lexicon.value))
         for whole in batches:
             texts = strings_of(whole.column(1))
             for lo, hi in by_size(texts, CHARS_AT_ONCE):
@@ -320,8 +349,10 @@ def decoded(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     Null or empty ids give an empty text; an id outside the vocabulary is left out, as the library does.
     """
 
+    spec = tokens.sparkSession.sparkContext.broadcast(content(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Bpe(path).names
+        names = bpe_of(spec.value).names
         for batch in batches:
             text = [" ".join(names[i] for i in row or () if i in names) for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
