@@ -2,26 +2,35 @@
 
 Entities are found by patterns; each is replaced by a keyed surrogate of its kind: the same entity gets the same one in
 every document (coreference), other entities get other ones (distinctness, checked over the whole corpus), and gender,
-script, length, separators, check digits and fixed prefixes are kept. Names are replaced word by word, so a surname
-stands for the same person with or without the given name.
+script, length, case, separators, check digits and fixed prefixes are kept. Names are replaced word by word, so a
+surname stands for the same person with or without the given name. A given name has the gender that its titles agree
+on over the whole corpus (neither, if they don't), so a neutral title or none leads to the same surrogate. A name of two
+words or more that a text has with a title is replaced in that text where it has none as well.
 
 A surrogate is a pure expression of the entity and a number of attempts. The check collects distinct entities in a
 table, and only those whose surrogate is taken, or is itself an entity of the corpus, try again; documents with such an
-entity get its number of attempts by a join, all others need none.
+entity, or with a given name of several titles, get what the table says by a join, all others need none.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import secrets
+import uuid
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, parts
 
 #: Titles that introduce a name, with the gender that they tell.
 MALE, FEMALE, EITHER = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Госпожа", "Κυρία"), ("Dr", "Prof")
-NAME_WORD = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+ARABIC_MALE, ARABIC_FEMALE = ("السيد", "الدكتور", "الأستاذ"), ("السيدة", "الدكتورة", "الأستاذة")
+HAN_MALE, HAN_FEMALE = "先生", ("女士", "小姐")
+#: Words between the capitalised ones of a name.
+PARTICLES = ("de la", "de los", "del", "de", "van der", "van den", "van", "von", "da", "di", "dos", "du", "la", "le", "bin", "al", "y")
+NAME_WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*+"
+ARABIC_WORD = r"[\p{IsArabic}&&\p{L}]{2,}+"
 #: Kinds in the order in which they are looked for; a match of an earlier one is not looked at again.
 PATTERNS = {
     "secret": r"(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})",
@@ -32,8 +41,10 @@ PATTERNS = {
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "han_name": r"[\p{IsHan}]{2,4}(?:先生|女士|小姐)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:.])|(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\p{L}\p{N}:.])",
+    "han_name": rf"[\p{{IsHan}}]{{2,4}}(?:{'|'.join((HAN_MALE, *HAN_FEMALE))})",
+    "arabic_name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*ARABIC_FEMALE, *ARABIC_MALE))}) {ARABIC_WORD}(?: {ARABIC_WORD})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )?{NAME_WORD})*+",
 }
 #: Kinds that may begin beside a letter or digit: a secret's keyword ends longer names (accessToken, dbPassword), keys and
 #: account numbers mind ASCII only, and no space precedes names in Han characters.
@@ -48,10 +59,28 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SCRIPTS = {
     "greek": ("βγδκλμνπρστφ", "αειου", ("ος", "ης", "ων"), ("α", "ια", "ινα"), ("ι", "ε", "υ")),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("ан", "ир", "ей"), ("а", "ия", "ина"), ("и", "е", "у")),
+    "arabic": ("بتجدرزسعفقكلمنه", "اوي", ("ان", "ير", "اد"), ("ة", "اء", "ى"), ("ي", "و", "ين")),
     "latin": ("bdfghklmnprstvw", "aeiou", ("an", "us", "er"), ("a", "ia", "ine"), ("e", "y", "is")),
 }
+#: Common characters of Chinese names: surnames, then given names of men, of women and of both.
+HAN = ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧", "伟强磊军勇杰涛超刚平辉鹏鑫波斌浩健峰龙建", "芳娜敏静丽艳娟霞秀玲桂英红玉兰梅琳雪莹洁", "华明文晓志云永春金林宁清新国安宇晨乐佳子")
 MOST_ATTEMPTS = 50
-DEFAULT_KEY = "change me"
+#: Attempts after which a surrogate may be a character longer, so that no space of surrogates is ever used up.
+GROWS_AFTER = 8
+#: Rows of the table of entities that a task is meant to hold.
+TASK_UNITS = 2_000
+#: The session's setting that names the key.
+KEY_SETTING = "spark.strandloom.surrogates.key"
+
+
+@cache
+def drawn_key() -> str:
+    """A key of this process, for runs that name none: nobody who reads the code can test guesses against it."""
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or drawn_key()
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -90,61 +119,102 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
-def _word(word: Column, stream: Column, gender: Column) -> Column:
-    """A name of the word's script: syllables and an ending of the gender (``m``, ``f``; any other: neither)."""
-    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def _ends(script: Column, gender: Column, get) -> Column:
+    """Of each script's three values (male, female, neither) those of the gender."""
+    of = lambda x: F.when(gender == "m", get(x[0])).when(gender == "f", get(x[1])).otherwise(get(x[2]))
+    return reduce(lambda c, k: c.when(script == k, of(SCRIPTS[k][2:])), list(SCRIPTS)[1:], F.when(script == "greek", of(SCRIPTS["greek"][2:])))
+
+
+def _word(word: Column, stream: Column, gender: Column, extra: Column) -> Column:
+    """A name of the word's script: syllables (``extra`` more than usual) and an ending of the gender."""
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").when(word.rlike(r"\p{IsArabic}"), "arabic").otherwise("latin")
     by = lambda get: reduce(lambda c, k: c.when(script == k, get(SCRIPTS[k])), list(SCRIPTS)[1:], F.when(script == "greek", get(SCRIPTS["greek"])))
     consonants, vowels = by(lambda x: F.lit(x[0])), by(lambda x: F.lit(x[1]))
-    ends = by(lambda x: F.when(gender == "m", F.array(*map(F.lit, x[2]))).when(gender == "f", F.array(*map(F.lit, x[3]))).otherwise(F.array(*map(F.lit, x[4]))))
-    syllables = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(_pick(consonants, _byte(stream, i)), _pick(vowels, _byte(stream, i + 8))))
+    ends = _ends(script, gender, lambda x: F.array(*map(F.lit, x)))
+    syllables = F.transform(F.sequence(F.lit(0), extra + 3), lambda i: F.concat(_pick(consonants, _byte(stream, i)), _pick(vowels, _byte(stream, i + 8))))
     return F.initcap(F.concat(F.array_join(syllables, ""), _pick(consonants, _byte(stream, 20)), F.element_at(ends, _byte(stream, 21) % 3 + 1)))
 
 
+def _han(name: Column, stream: Column, gender: Column, extra: Column) -> Column:
+    """A surname and, for the rest of the length, characters of given names of the gender."""
+    given = F.when(gender == "m", HAN[1]).when(gender == "f", HAN[2]).otherwise(HAN[3])
+    rest = F.transform(F.sequence(F.lit(1), F.length(name) + extra), lambda i: F.when(i < F.length(name) + extra, _pick(given, _byte(stream, i))).otherwise(""))
+    return F.concat(_pick(F.lit(HAN[0]), _byte(stream, 0)), F.array_join(rest, ""))
+
+
 def kind_of(entity: Column) -> Column:
-    return reduce(lambda c, k: c.when(entity.rlike(WHOLE[k]), F.lit(k)), list(PATTERNS)[1:], F.when(entity.rlike(WHOLE["secret"]), F.lit("secret")))
+    """The kind whose pattern an entity is; ``mention`` for a name without its title."""
+    return reduce(lambda c, k: c.when(entity.rlike(WHOLE[k]), F.lit(k)), list(PATTERNS)[1:], F.when(entity.rlike(WHOLE["secret"]), F.lit("secret"))).otherwise(F.lit("mention"))
+
+
+def name_words(entity: Column, kind: Column) -> Column:
+    """The words of a name without its title."""
+    words = F.split(entity, " ")
+    return F.when(kind == "mention", words).otherwise(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def units(entity: Column, kind: Column) -> Column:
-    """What an entity is replaced by parts of: ``array<struct<kind, canon>>``, the units of distinctness.
+    """What an entity is replaced by parts of: ``array<struct<kind, canon, hint>>``, the units of distinctness.
 
-    A name's words are units of their own: given names by gender, and the surname, the last word.
+    A name's words are units of their own, given names and the surname, the last word; so are an address and its domain.
+    ``hint`` is the gender that the title tells, ``n`` if none.
     """
-    unit = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
-    words = F.split(entity, " ")
-    n = F.size(words)
-    title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    given = F.when(title.isin(*MALE), "given_m").when(title.isin(*FEMALE), "given_f").otherwise("given_n")
-    name_units = F.transform(F.slice(words, F.lit(2), n - 1), lambda w, i: unit(F.when(i < n - 2, given).otherwise(F.lit("surname")), w))
+    unit = lambda k, c, h=F.lit(""): F.struct(k.alias("kind"), c.alias("canon"), h.alias("hint"))
+    words = name_words(entity, kind)
+    title = F.regexp_replace(F.substring_index(entity, " ", 1), r"\.$", "")
+    hint = F.when(kind == "mention", "n").when(title.isin(*MALE, *ARABIC_MALE), "m").when(title.isin(*FEMALE, *ARABIC_FEMALE), "f").otherwise("n")
+    name_units = F.transform(words, lambda w, i: unit(F.when(i < F.size(words) - 1, F.lit("given")).otherwise(F.lit("surname")), F.initcap(w), F.when(i < F.size(words) - 1, hint).otherwise("")))
     canon = (
-        F.when(kind == "email", F.lower(entity))
+        F.when(kind.isin("email", "ipv6"), F.lower(entity))
         .when(kind.isin("card", "phone", "ssn", "iban"), F.regexp_replace(entity, r"[ ()+.-]", ""))
         .when(kind == "secret", F.regexp_extract(entity, r"[=:]\s*[\"']?(.*?)[\"']?$", 1))
-        .when(kind == "han_name", F.regexp_extract(entity, "^(.*)(先生|女士|小姐)$", 1))
+        .when(kind == "han_name", F.regexp_extract(entity, f"^(.*)({'|'.join((HAN_MALE, *HAN_FEMALE))})$", 1))
         .otherwise(entity)
     )
     # a phone number's country code is part of its kind, as that many digits stay
     code = F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3})[^0-9]", 1)).cast("string")
-    return F.when(kind == "name", name_units).otherwise(F.array(unit(F.when(kind == "phone", F.concat(kind, code)).otherwise(kind), canon)))
+    han_hint = F.when(kind == "han_name", F.when(entity.endswith(HAN_MALE), "m").otherwise("f")).otherwise("")
+    alone = F.array(unit(F.when(kind == "phone", F.concat(kind, code)).otherwise(kind), canon, han_hint))
+    address = F.array(unit(F.lit("mailbox"), canon), unit(F.lit("domain"), F.substring_index(canon, "@", -1)))
+    return F.when(kind.isin("name", "arabic_name", "mention"), name_units).when(kind == "email", address).otherwise(alone)
+
 
+def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, h: Column) -> Column:
+    """The surrogate of a unit in canonical form from its stream ``h``, a pure expression of its arguments.
 
-def unit_surrogate(kind: Column, canon: Column, h: Column, key: str) -> Column:
-    """The surrogate of a unit in canonical form from its stream ``h``, a pure expression of its arguments."""
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    labels = domain.substr(F.lit(1), F.length(domain) - F.length(top))
-    no_keep, small = F.lit(0), F.lit(LOWER)
+    Of an address it is the new mailbox before the old domain.
+    """
+    extra = F.floor(attempt / GROWS_AFTER).cast("int")
+    local, top = F.substring_index(canon, "@", 1), F.substring_index(canon, ".", -1)
+    body = F.when(kind == "mailbox", local).when(kind == "domain", canon.substr(F.lit(1), F.length(canon) - F.length(top))).otherwise(canon)
+    longer = F.when(kind.isin("mailbox", "domain", "secret"), F.concat(F.repeat(F.lit("a"), extra), body)).otherwise(body)
     keep = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind.startswith("phone"), kind.substr(6, 1).cast("int")).otherwise(0)
-    alphabet = F.when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), "abcdef").otherwise(LOWER)
-    shaped = _shaped(F.when(kind == "email", local).otherwise(canon), h, keep, alphabet)
-    # a domain's surrogate is the same in all its addresses
-    address = F.concat(shaped, F.lit("@"), _shaped(labels, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), labels), 512), no_keep, small), top)
+    hexadecimal = (kind == "ipv6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))
+    shaped = _shaped(longer, h, keep, F.when(hexadecimal, "abcdef").otherwise(LOWER))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(h, i) % 254 + 1).cast("string")), ".")
-    body = shaped.substr(F.lit(1), F.length(shaped) - 1)
-    check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    card = F.when(_luhn(canon) == 0, F.concat(body, check)).otherwise(shaped)
-    han = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), lambda i: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + (_byte(h, i) * 256 + _byte(h, i + 9)) % 8192), 4, "0")), "UTF-16BE")), "")
-    name = _word(canon, h, kind.substr(7, 1))
-    return F.when(kind == "email", address).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "han_name", han).when(kind.startswith("given_") | (kind == "surname"), name).otherwise(shaped)
+    front = shaped.substr(F.lit(1), F.length(shaped) - 1)
+    check = ((10 - _luhn(F.concat(front, F.lit("0")))) % 10).cast("string")
+    card = F.when(_luhn(canon) == 0, F.concat(front, check)).otherwise(shaped)
+    return (
+        F.when(kind == "mailbox", F.concat(shaped, F.lit("@"), F.substring_index(canon, "@", -1)))
+        .when(kind == "domain", F.concat(shaped, top))
+        .when(kind == "ipv4", octets)
+        .when(kind == "card", card)
+        .when(kind == "han_name", _han(canon, h, gender, extra))
+        .when(kind.isin("given", "surname"), _word(canon, h, gender, extra))
+        .otherwise(shaped)
+    )
+
+
+def _cased(form: Column, s: Column) -> Column:
+    """``s`` in the case of ``form``, letter by letter if both are of equal length."""
+    one = lambda i: F.when(form.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(s.substr(i, F.lit(1)))).otherwise(s.substr(i, F.lit(1)))
+    return F.when((form != F.lower(form)) & (F.length(form) == F.length(s)), F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")).otherwise(s)
+
+
+def _like_word(word: Column, s: Column) -> Column:
+    """A name's word in the case of the word that it stands for."""
+    return F.when((word == F.upper(word)) & (word != F.lower(word)), F.upper(s)).when((word == F.lower(word)) & (word != F.upper(word)), F.lower(s)).otherwise(s)
 
 
 def _poured(form: Column, letters: Column) -> Column:
@@ -162,79 +232,106 @@ def _poured(form: Column, letters: Column) -> Column:
 def _whole(entity: Column, kind: Column, parts: Column) -> Column:
     """The surrogate of an entity in the form of the entity, from those of its units."""
     one = F.element_at(parts, 1)
+    words = F.zip_with(name_words(entity, kind), parts, _like_word)
+    name = F.array_join(F.when(kind == "mention", words).otherwise(F.concat(F.array(F.substring_index(entity, " ", 1)), words)), " ")
     return (
-        F.when(kind == "name", F.array_join(F.concat(F.array(F.substring_index(entity, " ", 1)), parts), " "))
+        F.when(kind.isin("name", "arabic_name", "mention"), name)
+        .when(kind == "email", _cased(entity, F.concat(F.substring_index(one, "@", 1), F.lit("@"), F.get(parts, F.lit(1)))))
+        .when(kind == "ipv6", _cased(entity, one))
         .when(kind.isin("card", "phone", "ssn", "iban"), _poured(entity, one))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, r"^(.*?[=:]\s*[\"']?)", 1), one, F.regexp_extract(entity, r"([\"']?)$", 1)))
-        .when(kind == "han_name", F.concat(one, F.regexp_extract(entity, "(先生|女士|小姐)$", 1)))
+        .when(kind == "han_name", F.concat(one, F.regexp_extract(entity, f"({'|'.join((HAN_MALE, *HAN_FEMALE))})$", 1)))
         .otherwise(one)
     )
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def with_entities(docs: DataFrame, text: Column, entities: str, pattern: str, known: str) -> DataFrame:
+    """``docs`` with the entities of each text, and the pattern that finds them where it is not ANY alone.
+
+    The pattern of a text that has titled names of two words or more also finds these names without a title.
+    """
+    docs = docs.withColumn(known, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    titled = rf"^(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD} |^(?:{'|'.join((*ARABIC_FEMALE, *ARABIC_MALE))}) {ARABIC_WORD} "
+    names = F.transform(F.filter(known, lambda e: e.rlike(titled)), lambda e: F.regexp_replace(e, "^[^ ]+ ", ""))
+    longest = F.array_sort(F.transform(F.array_distinct(names), lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+    again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(longest, lambda x: x["n"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    docs = docs.withColumn(pattern, F.when(F.exists(known, lambda e: e.rlike(titled)), again))
+    return docs.withColumn(entities, F.when(F.col(pattern).isNotNull(), F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(F.col(known)))
 
 
-def needed_attempts(docs: DataFrame, text: str, key: str) -> DataFrame | None:
-    """``kind, canon, attempt`` of the units whose first surrogate would collide; None if there are none.
+def settled_units(docs: DataFrame, text: str, key: str) -> DataFrame | None:
+    """``kind, canon, attempt, gender`` of the units whose surrogate their text alone does not tell; None if there are none.
 
-    A surrogate collides if another unit of its kind has it or a unit of the corpus is it. Of units that want the same
+    These are units whose first surrogate would collide, and given names whose titles do not all tell the same. A
+    surrogate collides if another unit of its kind has it or a unit of the corpus is it. Of units that want the same
     one, the first in code-point order has it; the others try again.
     """
-    found = docs.where(F.col(text).rlike(ANY)).select(F.explode(entities(F.col(text))).alias("e")).groupBy("e").agg(F.lit(1).alias("x"))
-    unit = found.withColumn("u", F.explode(units(F.col("e"), kind_of(F.col("e"))))).select("u.kind", "u.canon").distinct()
-    table = checkpointed(unit.withColumn("attempt", F.lit(0)))
+    found = with_entities(docs.select(F.col(f"`{text}`").alias("text")), F.col("text"), "e", "pattern", "known")
+    found = found.where(F.size("e") > 0).select(F.explode("e").alias("e")).groupBy("e").agg(F.lit(1).alias("x"))
+    unit = found.select(F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select("u.*")
+    told = [F.max(F.when(F.col("hint") == g, True)).isNotNull() for g in ("m", "f", "n")]
+    unit = unit.groupBy("kind", "canon").agg(*[t.alias(g) for t, g in zip(told, ("m", "f", "n"), strict=True)])
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    mixed = sum((F.col(g).cast("int") for g in ("f", "n")), F.col("m").cast("int")) > 1
+    table = checkpointed(unit.select("kind", "canon", F.lit(0).alias("attempt"), gender.alias("gender"), mixed.alias("mixed"), F.lit(None).cast("string").alias("s")))
     real = table.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
+    tasks = parts(table.count(), TASK_UNITS)
     for _ in range(MOST_ATTEMPTS):
-        made = table.withColumn("h", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        made = made.withColumn("s", unit_surrogate(F.col("kind"), F.col("canon"), F.col("h"), key))
+        made = table.repartition(tasks, "kind", "canon").withColumn("h", F.when(F.col("s").isNull(), _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
+        made = made.withColumn("s", F.when(F.col("s").isNull(), unit_surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), F.col("h"))).otherwise(F.col("s"))).drop("h")
         turn = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "canon"))
         seen = made.withColumn("turn", turn).join(real, ["kind", "s"], "left")
         again = (F.col("turn") > 1) | F.coalesce("real", F.lit(False))
-        seen = checkpointed(seen.select("kind", "canon", "attempt", again.alias("again")))
+        seen = checkpointed(seen.select("kind", "canon", "attempt", "gender", "mixed", "s", again.alias("again")))
         if not seen.where("again").limit(1).count():
-            changed = seen.where("attempt > 0").select("kind", "canon", "attempt")
+            changed = seen.where("attempt > 0 or mixed").select("kind", "canon", "attempt", "gender")
             return changed if changed.limit(1).count() else None
-        table = seen.select("kind", "canon", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+        table = seen.select("kind", "canon", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), "gender", "mixed", F.when(~F.col("again"), F.col("s")).alias("s"))
     raise ValueError(f"{MOST_ATTEMPTS} attempts did not make all surrogates distinct: a kind's space is too small")
 
 
-def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with its texts' entities replaced, and ``n_replaced``, the number of entities.
 
-    All rows and columns are kept; a column of its own called n_replaced is replaced. Null texts stay null (0
-    replaced), empty ones empty. Rows may repeat or lack a doc_id. What surrogates an entity has depends on the key,
-    and, where two collide, on the corpus.
+    ``key`` decides the surrogates; keep it secret. Without one, a key of this process is drawn, so that runs of one
+    process agree. All rows and columns are kept; a column of its own called n_replaced is replaced. Null texts stay
+    null (0 replaced), empty ones empty. Rows may repeat or lack a doc_id; an empty table gives an empty result. What
+    surrogates an entity has depends on the key, and, where two collide or titles differ, on the corpus.
     """
+    key = key or drawn_key()
     docs = docs.drop("n_replaced")
-    changed = needed_attempts(docs, text, key)
-    attempts = None
-    if changed is not None:  # documents that hold such a unit get a map of attempts
-        holds = docs.where(F.col(text).rlike(ANY)).select(F.col(doc_id).alias("_id"), F.explode(entities(F.col(text))).alias("e"))
-        holds = holds.select("_id", F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select("_id", "u.kind", "u.canon").distinct()
-        entry = F.struct(F.concat("kind", F.lit("\x1f"), "canon").alias("k"), F.col("attempt").alias("v"))
-        maps = holds.join(changed, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
-        docs = docs.join(maps, docs[doc_id].eqNullSafe(maps["_id"]), "left").drop("_id")
-        attempts = F.col("_attempts")
-    t = F.col(text)
+    changed = settled_units(docs, text, key)
+    mark = uuid.uuid4().hex
+    e, pattern, known, k, u, s, r, pieces, ids, told = (f"{x} {mark}" for x in ("entities", "pattern", "known", "kinds", "units", "surrogates", "replacements", "pieces", "id", "told"))
+    t = F.col(f"`{text}`")
+    name = lambda u: F.concat(u["kind"], F.lit("\x1f"), u["canon"])
+    if changed is not None:  # documents that hold such a unit get a map of what the table says
+        holds = with_entities(docs.select(F.col(f"`{doc_id}`").alias(ids), t.alias("text")), F.col("text"), e, pattern, known).where(F.size(e) > 0).select(ids, F.explode(e).alias("e"))
+        holds = holds.select(ids, F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select(ids, "u.kind", "u.canon").distinct()
+        entry = F.struct(F.concat("kind", F.lit("\x1f"), "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
+        maps = holds.join(changed, ["kind", "canon"]).groupBy(ids).agg(F.map_from_entries(F.collect_set(entry)).alias(told))
+        docs = docs.join(maps, docs[f"`{doc_id}`"].eqNullSafe(maps[f"`{ids}`"]), "left").drop(ids)
+    else:
+        docs = docs.withColumn(told, F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
 
     def streamed(u: Column) -> Column:
-        tries = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat(u["kind"], F.lit("\x1f"), u["canon"])), F.lit(0))
-        return F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"), _stream(key, u["kind"], u["canon"], tries).alias("h"))
+        says = F.element_at(F.col(told), name(u))
+        attempt = F.coalesce(says["attempt"], F.lit(0))
+        return F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"), F.coalesce(says["gender"], u["hint"]).alias("gender"), attempt.alias("attempt"), _stream(key, u["kind"], u["canon"], attempt).alias("h"))
 
     # step by step, each in a column of its own, so that no expression is planned or evaluated twice
-    out = docs.withColumn("_e", F.when(t.rlike(ANY), entities(t)))
-    out = out.withColumn("_k", F.transform("_e", kind_of))
-    out = out.withColumn("_u", F.zip_with("_e", "_k", lambda e, k: F.transform(units(e, k), streamed)))
-    out = out.withColumn("_s", F.transform("_u", lambda us: F.transform(us, lambda u: unit_surrogate(u["kind"], u["canon"], u["h"], key))))
-    out = out.withColumn("_r", F.transform(F.arrays_zip("_e", "_k", "_s"), lambda z: _whole(z["_e"], z["_k"], z["_s"])))
-    pieces = F.split(t, ANY, -1)
-    out = out.withColumn("_p", F.when(F.col("_e").isNotNull(), pieces))
-    new = F.concat(F.element_at("_p", 1), F.array_join(F.zip_with("_r", F.slice("_p", F.lit(2), F.size("_r")), lambda r, p: F.concat(r, p)), ""))
-    out = out.withColumn(text, F.when(F.col("_e").isNotNull(), new).otherwise(t)).withColumn("n_replaced", F.when(F.col("_e").isNull(), 0).otherwise(F.size("_e")))
-    return out.drop("_e", "_k", "_u", "_s", "_r", "_p", "_attempts")
+    out = with_entities(docs, t, e, pattern, known)
+    out = out.withColumn(k, F.transform(e, kind_of))
+    out = out.withColumn(u, F.zip_with(e, k, lambda e, k: F.transform(units(e, k), streamed)))
+    out = out.withColumn(s, F.transform(u, lambda us: F.transform(us, lambda u: unit_surrogate(u["kind"], u["canon"], u["gender"], u["attempt"], u["h"]))))
+    out = out.withColumn(r, F.transform(F.arrays_zip(F.col(e).alias("e"), F.col(k).alias("k"), F.col(s).alias("s")), lambda z: _whole(z["e"], z["k"], z["s"])))
+    some = F.size(e) > 0
+    out = out.withColumn(pieces, F.when(some & F.col(pattern).isNotNull(), F.split(t, F.col(pattern), -1)).when(some, F.split(t, ANY, -1)))
+    new = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(r, F.slice(pieces, F.lit(2), F.greatest(F.size(r), F.lit(0))), lambda r, p: F.concat(r, p)), ""))
+    out = out.withColumn(text, F.when(some, new).otherwise(t)).withColumn("n_replaced", F.when(some, F.size(e)).otherwise(0))
+    return out.drop(e, pattern, known, k, u, s, r, pieces, told)
 
 
 def op3_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """Every document with its personal data and secrets replaced."""
-    return with_surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return with_surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
