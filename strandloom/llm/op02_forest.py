@@ -1,16 +1,19 @@
 """Nearest neighbours by largest inner product from a hash-prefix forest.
 
-Every tree hashes a vector to a long string of sign bits of a random rotation and keeps the strings in a sorted array.
-A query descends to its longest matching prefix in each tree; then all trees ascend together, a bit at a time, and the
-rows that share the shorter prefixes become candidates, until there are enough. Candidates are scored exactly.
+Every tree hashes a vector to a long string of sign bits of a random rotation and keeps the strings sorted, dealt to
+cells by their first bits. A query descends to its longest matching prefix in each tree; then all trees ascend together,
+a bit at a time, until enough entries share the prefixes. These are the query's candidates: it is sent to the cells that
+its prefix touches, one of a tree as a rule, and only what shares the prefix there is scored, exactly. The nearest of
+all cells are merged per query.
 
-Rows are dealt to blocks by a hash of their id; a block builds its own forest over its distinct vectors, and blocks of
-queries visit every block of rows. So the memory of a task is bounded whatever the table holds, and the nearest of all
-blocks are merged per query. How far the trees ascend is fitted once on a bounded sample against brute force.
+How many entries are enough is fitted once: a bounded sample of queries is compared with every row, block by block, and
+the fit takes the smallest number by which the ascent meets enough of their true neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed, parts
 
 TREES, BITS = 32, 64
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
-#: Rows and queries that the effort is fitted on, and the recall it has to reach there.
-SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 4_096, 128, 0.95
+#: Rows and queries that a task is meant to hold of a cell; larger cells are dealt to several.
+CELL_ROWS, CELL_QUERIES = 8_192, 4_096
+#: Queries that the number of entries is fitted on, and the recall that it has to reach there.
+SAMPLE_QUERIES, SAMPLE_RECALL = 128, 0.95
+#: Rows of a block whose products with some queries are made at once.
+BLOCK_ROWS = 4_096
 
 
 def rotations(dim: int, trees: int = TREES, bits: int = BITS, seed: int = 11) -> np.ndarray:
@@ -45,91 +51,114 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, most * most - (x * x).sum(axis=1)))[:, None]], axis=1)
 
 
-class Forest:
-    """Sorted hash strings of distinct vectors."""
+def query_strings(q: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    return strings(np.concatenate([q, np.zeros((len(q), 1))], axis=1), directions)
 
-    def __init__(self, x: np.ndarray, most: float, directions: np.ndarray):
-        self.directions, self.n = directions, len(x)
-        keys = strings(lifted(x, most), directions)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def candidates(self, queries: np.ndarray, enough: float, least: int = 0) -> np.ndarray:
-        """[queries, rows] mask: what the ascent has met once it has met ``enough`` entries, ``least`` rows (all, at the root)."""
-        keys = strings(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), self.directions)
-        lo, hi = np.zeros(keys.shape, np.int64), np.full(keys.shape, self.n)
-        left = np.arange(len(queries))
-        for depth in range(min(self.directions.shape[2], int(self.n).bit_length() + 3), 0, -1):
-            if not len(left):
-                break
-            rest = np.uint64((1 << (64 - depth)) - 1)
-            for t, row in enumerate(self.keys):
-                lo[t, left] = np.searchsorted(row, keys[t, left] & ~rest, side="left")
-                hi[t, left] = np.searchsorted(row, keys[t, left] | rest, side="right")
-            met = (hi[:, left] - lo[:, left]).sum(axis=0)
-            few = (hi[:, left] - lo[:, left]).max(axis=0) < least  # trees repeat rows: only these need a closer look
-            for i in np.flatnonzero(few & (met >= enough)):
-                q = left[i]
-                few[i] = len(np.unique(np.concatenate([self.order[t, lo[t, q] : hi[t, q]] for t in range(len(self.keys))]))) < least
-            left = left[(met < enough) | few]
-        lo[:, left], hi[:, left] = 0, self.n
-        mask = np.zeros((len(queries), self.n), bool)
-        for q in range(len(queries)):
-            row = mask[q]
-            for t in range(len(self.keys)):
-                row[self.order[t, lo[t, q] : hi[t, q]]] = True
-        return mask
-
-
-def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, most: float, effort: float, directions: np.ndarray):
-    """Yields (query_id, vec_ids, scores), the k nearest found in one block, ties to the smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    x, ids = x[by_id], ids[by_id]
-    _, first, of = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    of = of.ravel()
-    distinct = x[first].astype(np.float64)
-    members = np.argsort(of, kind="stable")  # by class, then by id
-    start = np.searchsorted(of[members], np.arange(len(first)))
-    end = np.append(start[1:], len(members))
-    forest = Forest(distinct, most, directions)
-    for lo in range(0, len(queries), BLOCK_QUERIES):
-        some = queries[lo : lo + BLOCK_QUERIES].astype(np.float64)
-        near = some @ distinct.T
-        near[~forest.candidates(some, effort * len(distinct), k + 1)] = -np.inf
-        want = min(k + 1, near.shape[1])  # one more: the query itself may be among them
-        edge = -np.partition(-near, want - 1, axis=1)[:, want - 1]
-        for q in range(len(some)):
-            floor = edge[q] - 1e-9 * (abs(edge[q]) + 1) if np.isfinite(edge[q]) else -1e300
-            best = np.flatnonzero(near[q] >= floor)
-            exact = (distinct[best] * some[q]).sum(axis=1)
-            order = np.argsort(-exact, kind="stable")
-            best, exact = best[order], exact[order]
-            # a class stands for all rows that hold its vector; no more than k + 1 of them can be among the nearest
-            rows = [ids[members[start[c] : min(end[c], start[c] + k + 2)]] for c in best]
-            score = np.repeat(exact, [len(r) for r in rows])
-            found = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            good = found != query_ids[lo + q]
-            found, score = found[good], score[good]
-            order = np.lexsort((found, -score))
-            found, score = found[order], score[order]
-            again = np.zeros(len(found), bool)
-            again[1:] = (found[1:] == found[:-1]) & (score[1:] == score[:-1])
-            yield query_ids[lo + q], found[~again][:k], score[~again][:k]
-
-
-def fit_effort(x: np.ndarray, k: int, most: float, directions: np.ndarray) -> float:
-    """The least effort (entries met as a share of the rows) whose recall on the sample is enough."""
-    if len(x) <= k + 1:
-        return float(len(directions))
-    queries = x[:SAMPLE_QUERIES]
-    near = queries @ x.T
-    near[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    truth = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    forest = Forest(x, most, directions)
-    for effort in 2.0 ** np.arange(-6, 4):
-        if np.take_along_axis(forest.candidates(queries, effort * len(x), k + 1), truth, axis=1).mean() >= SAMPLE_RECALL:
-            return float(effort)
-    return float(len(directions))
+def common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of 64-bit strings."""
+    x = a ^ b
+    out = np.full(x.shape, 64, np.int64)
+    some = x != 0
+    high = (x[some] >> np.uint64(32)).astype(np.uint32)
+    top = high != 0
+    # the exponent of a number of 32 bits is exact as a float
+    out[some] = np.where(top, 32, 64) - np.frexp(np.where(top, high, x[some].astype(np.uint32)).astype(np.float64))[1]
+    return out
+
+
+def flat(column: pa.Array, kind: type, rows: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=kind).reshape(rows, -1) if rows else np.zeros((0, 1), kind)
+
+
+def fit_entries(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int, most: float, directions: np.ndarray, kind: type) -> int:
+    """The least number of entries, a power of two, whose recall on the sampled queries is enough.
+
+    Every row is compared with the sample; what comes back is, for each of these queries, a count for each prefix
+    length, and its k nearest with the longest prefix that any tree shares.
+    """
+    trees, n_q = len(directions), len(queries)
+    shared = rows.sparkSession.sparkContext.broadcast((queries, query_ids, directions))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids, directions = shared.value
+        q_keys = query_strings(q, directions)
+        met = np.zeros((n_q, 65), np.int64)
+        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * n_q
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                x = flat(part.column(1), kind, part.num_rows).astype(np.float64)
+                own = part.column(0).to_numpy()
+                keys = strings(lifted(x, most), directions)
+                near = q @ x.T
+                for i in range(n_q):
+                    bits = np.stack([common_bits(keys[t], q_keys[t, i]) for t in range(trees)])
+                    met[i] += np.bincount(bits.ravel(), minlength=65)
+                    score = np.where(own == ids[i], -np.inf, near[i])
+                    top = np.argpartition(-score, min(k, len(score)) - 1)[:k]
+                    s, b = np.r_[best[i][0], score[top]], np.r_[best[i][1], bits.max(axis=0)[top]]
+                    order = np.argsort(-s, kind="stable")[:k]
+                    best[i] = s[order], b[order]
+        q_no, depth = np.nonzero(met)
+        near_q = np.repeat(np.arange(n_q), [len(b[0]) for b in best])
+        score, bits = (np.concatenate([b[j] for b in best]) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[q_no, near_q].astype(np.int32)), pa.array(np.r_[depth, bits].astype(np.int32)), pa.array(np.r_[met[q_no, depth], np.zeros(len(near_q), np.int64)]), pa.array(np.r_[np.full(len(q_no), np.nan), score])],
+            ["q", "bits", "n", "score"],
+        )
+
+    found = checkpointed(rows.select("vec_id", "vec").mapInArrow(run, "q int, bits int, n long, score double"))
+    met = np.zeros((n_q, 66), np.int64)
+    for r in found.where("isnan(score)").groupBy("q", "bits").agg(F.sum("n").alias("n")).collect():  # 65 a sampled query
+        met[r.q, r.bits] = r.n
+    met = met[:, ::-1].cumsum(axis=1)[:, ::-1]  # entries that share at least so many bits
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("bits")))
+    truth = found.where("not isnan(score) and score > double('-infinity')").withColumn("rank", rank).where(F.col("rank") <= k).select("q", "bits").collect()  # k a sampled query
+    if not truth:
+        return 1
+    q_no, bits = (np.array([r[i] for r in truth]) for i in (0, 1))
+    for power in range(int(met[:, 0].max()).bit_length()):
+        depth = (met >= 1 << power).sum(axis=1) - 1  # the longest prefix that as many entries share
+        if (bits >= depth[q_no]).mean() >= SAMPLE_RECALL:
+            return 1 << power
+    return int(met[:, 0].max())
+
+
+def prefix_range(keys: np.ndarray, key: np.uint64, depth: int) -> tuple[int, int]:
+    """Where the sorted ``keys`` share the first ``depth`` bits of ``key``."""
+    if depth == 0:
+        return 0, len(keys)
+    rest = np.uint64((1 << (64 - depth)) - 1)
+    return int(np.searchsorted(keys, key & ~rest, side="left")), int(np.searchsorted(keys, key | rest, side="right"))
+
+
+def nearest_in_cell(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, q_keys: np.ndarray, q_ids: np.ndarray, q: np.ndarray, depths: np.ndarray, k: int):
+    """Yields (query_id, vec_ids, scores): the k nearest, ties to the smaller id, of the rows that share each query's prefix."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids, x = keys[order], ids[order], x[order].astype(np.float64)
+    q = q.astype(np.float64)
+    spans = np.array([prefix_range(keys, key, int(d)) for key, d in zip(q_keys, depths, strict=True)]).reshape(-1, 2)
+    by_span = np.lexsort((spans[:, 1], spans[:, 0]))
+    cut = np.flatnonzero(np.r_[True, (np.diff(spans[by_span], axis=0) != 0).any(axis=1)]) if len(by_span) else np.zeros(0, np.int64)
+    for s, e in zip(cut, np.r_[cut[1:], len(by_span)], strict=True):
+        lo, hi = spans[by_span[s]]
+        if lo == hi:
+            continue
+        for at in range(s, e, 256):
+            some = by_span[at : min(e, at + 256)]
+            near = q[some] @ x[lo:hi].T  # queries of one prefix with what shares it, and nothing else
+            want = min(k + 1, hi - lo)  # one more: the query itself may be among them
+            edge = -np.partition(-near, want - 1, axis=1)[:, want - 1]
+            for row, i in enumerate(some):
+                best = lo + np.flatnonzero(near[row] >= edge[row] - 1e-9 * (abs(edge[row]) + 1))
+                exact = (x[best] * q[i]).sum(axis=1)
+                good = ids[best] != q_ids[i]
+                found, score = ids[best][good], exact[good]
+                rank = np.lexsort((found, -score))[:k]
+                yield q_ids[i], found[rank], score[rank]
 
 
 def valid(vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
@@ -143,45 +172,112 @@ def valid(vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
     return slim.where((F.size("vec") == sized.n) & good).withColumn("norm", norm).where("norm > 0")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", entries: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` picks (a condition on vec_id), its k nearest.
 
     Nearness is the inner product in double precision, larger first, ties to the smaller vec_id; a query's own id is
     no candidate. Vectors that are null, empty, zero, of another length than most, or that hold nulls or non-finite
     numbers take no part, nor do rows without an id. Repeats of a row (id and vector) count once. All candidates are
-    returned if there are fewer than k; without queries, or in an empty table, nothing is.
+    returned if there are fewer than k; without queries, or in an empty table, nothing is. ``entries`` is how many
+    entries of the trees a query has to meet; None fits it.
     """
-    rows = checkpointed(valid(vectors, vec_id, vec))
+    rows = checkpointed(valid(vectors, vec_id, vec).dropDuplicates(["vec_id", "vec"]))
     total, most = rows.agg(F.count("*"), F.max("norm")).first()
-    schema = "query_id long, vec_id long, score double"
+    spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
     if not total:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = np.float64 if "double" in dict(rows.dtypes)["vec"] else np.float32
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec").toArrow().column(0).combine_chunks()
-    x = np.asarray(sample.flatten()).reshape(len(sample), -1).astype(np.float64)
-    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]  # copies would be found by any effort
+    queries = rows.where(is_query(F.col("vec_id"))).orderBy("vec_id", "vec").dropDuplicates(["vec_id"]).select("vec_id", "vec")
+    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).select("vec_id", "vec").toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # of equal vectors no more than k + 1 rows, those of the smallest ids, can be among the nearest of anything
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    held = checkpointed(rows.withColumn("place", place).where(F.col("place") <= k + 1).select("vec_id", "vec"))
+    x = flat(sample.column(1), kind, sample.num_rows).astype(np.float64)
     directions = rotations(x.shape[1] + 1)
-    effort = fit_effort(x, k, most, directions)
-    blocks = parts(total, BLOCK_ROWS)
-    dealt = rows.select(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vec")
-    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).select("vec_id", "vec")
-    # every block of rows is visited by all queries; nothing else is paired
-    visits = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "vec_id", "vec")
+    enough = entries or fit_entries(held, x, sample.column(0).to_numpy(), k, most, directions, kind)
+    kept = held.count()
+    bits = max(0, (parts(kept, CELL_ROWS) - 1).bit_length())  # of a cell's prefix
+    deepest = min(BITS, kept.bit_length() + 3)
+    shared = sc.broadcast(directions)
+
+    def dealt(of_rows: bool, with_vectors: bool):
+        """An entry for each tree: ``tree, cell, key, vec_id`` and the vector's bytes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 512):
+                    batch = whole.slice(lo, 512)
+                    n = batch.num_rows
+                    v = flat(batch.column(1), kind, n)
+                    keys = strings(lifted(v.astype(np.float64), most), shared.value) if of_rows else query_strings(v.astype(np.float64), shared.value)
+                    cell = keys >> np.uint64(64 - bits) if bits else np.zeros_like(keys)
+                    ids = batch.column(0).to_numpy()
+                    columns = [np.repeat(np.arange(TREES, dtype=np.int32), n), cell.ravel().astype(np.int64), keys.ravel().view(np.int64), np.tile(ids, TREES)]
+                    raw = [pa.array([r.tobytes() for r in v] * TREES, pa.binary())] if with_vectors else []
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *raw], ["tree", "cell", "key", "vec_id", *(["x"] if with_vectors else [])])
+
+        return run
+
+    slim = "tree int, cell long, key long, vec_id long"
+    row_keys = held.mapInArrow(dealt(True, False), slim)
+    query_keys = checkpointed(queries.mapInArrow(dealt(False, False), slim))
+    # cells and what of a cell's prefix lies in it; a large cell's rows and queries are dealt to several tasks
+    cells = checkpointed(row_keys.groupBy("tree", "cell").agg(F.count("*").alias("n")).withColumn("row_parts", F.ceil(F.col("n") / CELL_ROWS).cast("int")))
+
+    def met_in_cell(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not held.num_rows or not asked.num_rows:
+            return pa.table({"vec_id": pa.array([], pa.int64()), "depth": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        keys = np.sort(held.column("key").to_numpy().view(np.uint64))
+        mine, ids = asked.column("key").to_numpy().view(np.uint64), asked.column("vec_id").to_numpy()
+        out = []
+        for depth in range(max(bits, 1), deepest + 1):
+            rest = np.uint64((1 << (64 - depth)) - 1)
+            n = np.searchsorted(keys, mine | rest, side="right") - np.searchsorted(keys, mine & ~rest, side="left")
+            at = np.flatnonzero(n)
+            out.append((ids[at], np.full(len(at), depth, np.int32), n[at]))
+        return pa.table({n: np.concatenate(c) for n, c in zip(("vec_id", "depth", "n"), zip(*out, strict=True), strict=True)})
+
+    def meeting(entries: DataFrame, asked: DataFrame):
+        """Cells of rows with the queries that visit them: rows in parts and queries in lots of bounded size, which all meet."""
+        own, others = ([c for c in t.columns if c not in ("tree", "cell")] for t in (entries, asked))
+        lots = checkpointed(asked.groupBy("tree", "cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("lots")))
+        asked = asked.join(lots, ["tree", "cell"]).join(cells, ["tree", "cell"]).withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("lots")).cast("int"))
+        asked = asked.select("tree", "cell", "lot", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)).alias("part"), *others)
+        entries = entries.join(lots, ["tree", "cell"]).join(cells, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int"))
+        entries = entries.select("tree", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), *own)
+        by = ["tree", "cell", "part", "lot"]
+        return entries.groupBy(*by).cogroup(asked.groupBy(*by))
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.asarray(t.column("vec").combine_chunks().flatten(), dtype=kind)
-        return flat.reshape(t.num_rows, -1), t.column("vec_id").to_numpy().astype(np.int64)
+    fine = meeting(row_keys, query_keys).applyInArrow(met_in_cell, "vec_id long, depth int, n long")
+    depths = F.explode(F.sequence(F.lit(1), F.lit(max(1, bits - 1)))).alias("depth")
+    # prefixes shorter than a cell's: sums of the cells' counts
+    wide = cells.select("tree", "cell", "n", depths).where(F.col("depth") < bits)
+    above = lambda: F.call_function("shiftright", F.col("cell"), F.lit(bits) - F.col("depth")).alias("prefix")
+    wide = wide.select("tree", "depth", above(), "n").groupBy("tree", "depth", "prefix").agg(F.sum("n").alias("n"))
+    coarse = query_keys.select("vec_id", "tree", "cell", depths).where(F.col("depth") < bits).select("vec_id", "tree", "depth", above()).join(wide, ["tree", "depth", "prefix"]).select("vec_id", "depth", "n")
+    met = fine.union(coarse).groupBy("vec_id", "depth").agg(F.sum("n").alias("met"), F.max("n").alias("most"))
+    longest = met.where((F.col("met") >= enough) & (F.col("most") > k)).groupBy("vec_id").agg(F.max("depth").alias("depth"))
+    # a query that not even the first bit gives enough visits one tree whole
+    asked = queries.mapInArrow(dealt(False, True), slim + ", x binary").join(longest, "vec_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0))).where("depth > 0 or tree = 0")
+    free = F.greatest(F.lit(0), F.lit(bits) - F.col("depth"))
+    first = F.call_function("shiftleft", F.call_function("shiftright", F.col("cell"), free), free)
+    asked = checkpointed(asked.withColumn("cell", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), free) - 1))))
 
     def visit(held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if held.num_rows and asked.num_rows:
-            for query, ids, score in search(*matrix(held), *matrix(asked), k, most, effort, directions):
+            matrix = lambda t: np.frombuffer(b"".join(t.column("x").to_pylist()), kind).reshape(t.num_rows, -1)
+            number = lambda t, n: t.column(n).to_numpy()
+            for query, ids, score in nearest_in_cell(number(held, "key").view(np.uint64), number(held, "vec_id"), matrix(held), number(asked, "key").view(np.uint64), number(asked, "vec_id"), matrix(asked), number(asked, "depth"), k):
                 out[0].append(np.full(len(ids), query))
                 out[1].append(ids)
                 out[2].append(score)
         return pa.table({n: np.concatenate(c) if c else np.zeros(0, t) for n, c, t in zip(("query_id", "vec_id", "score"), out, (np.int64, np.int64, np.float64), strict=True)})
 
-    found = dealt.groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(visit, schema)
+    found = meeting(held.mapInArrow(dealt(True, True), slim + ", x binary"), asked).applyInArrow(visit, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -468,12 +468,55 @@ def test_lexicon_takes_whole_levels_of_frequency(spark):
     assert {w for w in n if lexicon.ranks([w.encode()])[0] >= 0} == frequent
 
 
-def test_forest_finds_k_in_small_clusters():
+def test_forest_finds_k_in_small_clusters(spark):
     """Tight clusters of four vectors meet many entries, but few rows, before the ascent leaves them."""
     rng = np.random.RandomState(3)
     x = np.repeat(rng.randn(250, 16), 4, axis=0)
     x = (x / np.linalg.norm(x, axis=1)[:, None] + 1e-6 * rng.randn(*x.shape)).astype(np.float32)
-    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in o2.nearest(df, lambda i: i % 50 == 0, entries=64).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(found) == 20 and all(len(v) == 20 and set(range(q // 4 * 4, q // 4 * 4 + 4)) - {q} <= set(v) for q, v in found.items())
+
+
+def test_forest_of_many_cells_scores_candidates_only(spark, monkeypatch):
+    """Cells of a few rows, dealt to parts and lots: recall holds, and far fewer products are made than in a full search."""
+    monkeypatch.setattr(o2, "CELL_ROWS", 64)
+    monkeypatch.setattr(o2, "CELL_QUERIES", 8)
+    rng = np.random.RandomState(4)
+    centres = rng.randn(40, 24)
+    x = (centres[rng.randint(0, 40, 2000)] + 0.15 * rng.randn(2000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, score string")
+    found = {}
+    for r in o2.nearest(df, lambda i: i % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hit = []
+    for q, ids in found.items():
+        score = x.astype(np.float64) @ x[q].astype(np.float64)
+        score[q] = -np.inf
+        hit.append(len(set(np.argsort(-score)[:20].tolist()) & set(ids)) / 20)
+    assert len(found) == 100 and np.mean(hit) >= 0.9
+    assert all(a == b for a, b in zip(sorted(found), range(0, 2000, 20), strict=True))
+    # the same by the functions themselves: what shares a prefix long enough for the recall is a part of the rows
+    directions = o2.rotations(25)
     most = float(np.linalg.norm(x.astype(np.float64), axis=1).max())
-    found = list(o2.search(x, ids, x[::50], ids[::50], 20, most, 2.0**-4, o2.rotations(17)))
-    assert len(found) == 20 and all(len(vec_ids) == 20 for _, vec_ids, _ in found)
+    keys = np.sort(o2.strings(o2.lifted(x.astype(np.float64), most), directions), axis=1)
+    q_keys = o2.query_strings(x[::20].astype(np.float64), directions)
+    entries = o2.fit_entries(df.selectExpr("vec_id", "embedding as vec"), x[::20].astype(np.float64), np.arange(0, 2000, 20), 20, most, directions, np.float32)
+    scored = 0
+    for i in range(100):
+        for depth in range(20, -1, -1):
+            met = [hi - lo for lo, hi in (o2.prefix_range(keys[t], q_keys[t, i], depth) for t in range(len(keys)))]
+            if sum(met) >= entries and max(met) > 20:
+                break
+        scored += sum(met)
+    assert scored < 0.5 * 100 * 2000
+
+
+def test_common_bits():
+    rng = np.random.RandomState(5)
+    a = rng.randint(0, 2**63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    b = a ^ (np.uint64(1) << rng.randint(0, 64, 500).astype(np.uint64))
+    want = [64 - (int(x) ^ int(y)).bit_length() for x, y in zip(a, b, strict=True)]
+    assert o2.common_bits(a, b).tolist() == want and o2.common_bits(a, a).tolist() == [64] * 500
