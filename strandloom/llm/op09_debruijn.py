@@ -4,12 +4,16 @@ A window of 13 words is an edge of the graph from its first 12 words to its last
 one document matter. Their non-branching paths are compacted: two edges that follow each other in a document belong to
 one segment if the first is followed by nothing else wherever it occurs and the second is preceded by nothing else. So
 every occurrence of an edge runs through its whole segment, and a segment needs one row a document where its windows
-would need one each. The first document of a segment, verified by a second hash of its content, decides for all.
-
-Documents are dealt to chunks of a fixed number of rows, which all steps share: each step joins the chunks with what
-the step before found for them. Chunks and hash ranges exchange packed arrays of distinct values, a few bytes a window,
-and get bits back in the same order. No task holds more than a chunk or a hash range, however often a passage occurs,
-and the texts move once, as Spark reuses their exchange.
+would need one each. The first document of a segment decides for all; segments are told apart by 128 bits of two hashes,
+one of the first window and one of all words, and a segment comes back with its source coordinates, the document and the
+word at which it first occurs (``repeated_spans`` returns them, so that spans can be held against their source).
+
+Documents are dealt to chunks by a hash, so that a lost task finds the same chunks again; all steps share them, and each
+step joins the chunks with what the step before found for them. Chunks and hash ranges exchange packed arrays of
+distinct values, a few bytes a window, and get bits back in the same order. Chunks and ranges grow with the root of the
+corpus up to a bound, so that what a chunk sends to a range stays an array. No task holds more than a chunk or a hash
+range; a passage adds one entry a chunk to its range, however often it occurs. The texts move once, as Spark reuses
+their exchange.
 """
 
 from __future__ import annotations
@@ -24,10 +28,17 @@ from pyspark.sql import functions as F
 from .common import mix64, parts, texts_of
 
 WINDOW = 13
-#: Rows of a chunk (a power of two), windows that a hash range is meant to hold, bytes of a word taken for granted.
-CHUNK_ROWS, RANGE_WINDOWS, WORD_BYTES = 128, 1_000_000, 6
+#: Bytes of a word taken for granted.
+WORD_BYTES = 6
+#: Windows that a chunk and a hash range are meant to hold: at least, and at most on a large corpus.
+CHUNK_WINDOWS, MOST_CHUNK_WINDOWS = 40_000, 4_000_000
+RANGE_WINDOWS, MOST_RANGE_WINDOWS = 1_000_000, 16_000_000
+#: Windows that a chunk should send to a range at once.
+PACKED_WINDOWS = 64
 NO_ID = np.int64(2**63 - 1)
 START, CONFLICT = 0, 1
+#: What tells a neighbour apart among those of one edge: the other bits of its hash are not sent.
+SHORT_BYTES, SHORT = 6, np.uint64((1 << 48) - 1)
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 REPEATED, BREAKS, FIRSTS = 0, 1, 2
 PACKED = "part int, chunk long, keys binary, extra binary"
@@ -65,6 +76,10 @@ class Chunk:
         self.edge = np.maximum(mix64(edge[self.at]), 2)  # 0 and 1 have a meaning of their own
         self.size = size
 
+    def word_of(self, at: np.ndarray) -> np.ndarray:
+        """The place of words (numbered over the chunk) in their documents, from 0."""
+        return at - (np.cumsum(self.per_doc) - self.per_doc)[self.doc[at]]
+
     def keys(self, ranges: int) -> np.ndarray:
         """Hash range and 32 more bits of each window, as one number."""
         return (self.edge >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32) | self.edge & np.uint64(0xFFFFFFFF)
@@ -81,9 +96,9 @@ class Chunk:
         self.joins = (self.at[1:] == self.at[:-1] + 1) & (self.doc[self.at[1:]] == self.doc[self.at[:-1]]) if len(kept) else np.zeros(0, bool)
 
     def neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct edges, and 32 bits of what precedes and follows each; CONFLICT if that differs."""
-        before, after = np.zeros(len(self.edge), np.uint32), np.zeros(len(self.edge), np.uint32)
-        short = (self.edge & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(2)
+        """Distinct edges, and 48 bits of what precedes and follows each; CONFLICT if that differs."""
+        before, after = np.zeros(len(self.edge), np.uint64), np.zeros(len(self.edge), np.uint64)
+        short = (self.edge & SHORT) | np.uint64(2)
         before[1:][self.joins] = short[:-1][self.joins]
         after[:-1][self.joins] = short[1:][self.joins]
         return agreed(self.edge, before, after)
@@ -120,10 +135,22 @@ def agreed(edge: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.
     if not len(edge):
         return edge, before, after
     start = np.flatnonzero(np.r_[True, edge[1:] != edge[:-1]])
-    one = lambda x: np.where(np.minimum.reduceat(x, start) == np.maximum.reduceat(x, start), x[start], np.uint32(CONFLICT))
+    one = lambda x: np.where(np.minimum.reduceat(x, start) == np.maximum.reduceat(x, start), x[start], np.uint64(CONFLICT))
     return edge[start], one(before), one(after)
 
 
+def shorts(x: np.ndarray) -> bytes:
+    """The low six bytes of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT_BYTES]).tobytes()
+
+
+def from_shorts(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, SHORT_BYTES)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :SHORT_BYTES] = raw
+    return wide.view("<u8").ravel()
+
+
 def by_range(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order that puts equal ranges together (and keeps the order within), and (range, from, to)."""
     order = np.argsort(part, kind="stable")
@@ -183,7 +210,7 @@ def broken_edges(group: pa.Table) -> pa.Table:
     """Before and after which edges of a hash range the graph branches, or a run of repeated edges begins or ends."""
     part = group.column("part")[0].as_py()
     chunks, keys, extra = blobs(group, np.uint64)
-    sides = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in extra]
+    sides = [from_shorts(x).reshape(2, -1) for x in extra]
     edge, before, after = agreed(np.concatenate(keys), np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides]))
     cut = np.stack([before == CONFLICT, after == CONFLICT], axis=1)
     rows = []
@@ -195,52 +222,75 @@ def broken_edges(group: pa.Table) -> pa.Table:
 
 
 def first_documents(group: pa.Table) -> pa.Table:
-    """The smallest document of each segment of a hash range; segments are equal if both hashes are."""
+    """The smallest document of each segment of a hash range, and the first word there; segments are equal if both hashes are."""
     part = group.column("part")[0].as_py()
     chunks, keys, extra = blobs(group, np.uint64)
     key = np.concatenate(keys)
-    rest = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in extra]
-    content, doc = np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]).view(np.int64)
-    order = np.lexsort((doc, content, key))
+    rest = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in extra]
+    content, doc, word = np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]).view(np.int64), np.concatenate([r[2] for r in rest]).view(np.int64)
+    order = np.lexsort((word, doc, content, key))
     new = np.ones(len(order), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
-    least = np.empty(len(order), np.int64)
-    least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    least = np.empty((2, len(order)), np.int64)
+    least[0, order], least[1, order] = doc[first], word[first]
     rows, at = [], 0
     for chunk, k in zip(chunks, keys, strict=True):
-        rows.append((chunk, FIRSTS, part, least[at : at + len(k)].tobytes()))
+        rows.append((chunk, FIRSTS, part, least[:, at : at + len(k)].tobytes()))
         at += len(k)
     return answered(rows)
 
 
-def distinct_segments(c: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, content) of a chunk's segments, their smallest ids here, and the distinct one of each segment."""
-    doc = ids[c.doc[c.at[c.seg]]]
-    order = np.lexsort((doc, c.content, c.key))
+def distinct_segments(c: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, content) of a chunk's segments, their smallest ids here and the word there, and the distinct one of each segment."""
+    doc, word = ids[c.doc[c.at[c.seg]]], c.word_of(c.at[c.seg])
+    order = np.lexsort((word, doc, c.content, c.key))
     new = np.ones(len(order), bool)
     new[1:] = (c.key[order][1:] != c.key[order][:-1]) | (c.content[order][1:] != c.content[order][:-1])
     first = order[new]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    return c.key[first], c.content[first], doc[first], of
+    return c.key[first], c.content[first], doc[first], word[first], of
+
+
+def dealt(total_bytes: int) -> tuple[int, int]:
+    """How many chunks and hash ranges a corpus of so many bytes is dealt to."""
+    windows = total_bytes // WORD_BYTES
+    root = int(windows**0.5) * int(PACKED_WINDOWS**0.5)
+    chunk = min(MOST_CHUNK_WINDOWS, max(CHUNK_WINDOWS, root // 4))
+    held = min(MOST_RANGE_WINDOWS, max(RANGE_WINDOWS, root * 4))
+    return parts(windows, chunk), parts(windows, held, 32)
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, the kept words, if asked for): a row for each of docs.
 
     A word is removed if a window of ``size`` words of its document covers it whose word sequence also starts in a
-    document with a smaller doc_id; windows are judged on the input. Words are what \\\\x20 and \\\\x09-\\\\x0D separate,
+    document with a smaller doc_id; windows are judged on the input. Words are what \\x20 and \\x09-\\x0D separate,
     unchanged. Null and empty texts have no words, and texts of fewer words no window. Rows that share a doc_id don't
     remove each other's words; a null doc_id is larger than all others. Other columns are not read; an empty table
     gives an empty result.
     """
+    return _repeats(docs, size, doc_id, text, "text" if keep_text else "digest")
+
+
+def repeated_spans(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, word, n_words, source_id, source_word``: the segments that remove_repeats removes, with their source.
+
+    ``n_words`` words from ``word`` (from 0) on are those from ``source_word`` on of the document ``source_id``, the
+    smallest that has the segment. Segments overlap by ``size - 1`` words.
+    """
+    return _repeats(docs, size, doc_id, text, "spans")
+
+
+def _repeats(docs: DataFrame, size: int, doc_id: str, text: str, wanted: str) -> DataFrame:
     if size < 2:
         raise ValueError("a window needs two words at least")
-    number = F.shiftright(F.monotonically_increasing_id(), CHUNK_ROWS.bit_length() - 1)
-    chunks = docs.select(number.alias("chunk"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    ranges = parts(total // WORD_BYTES, RANGE_WINDOWS, 32)
-    grouped = chunks.groupBy("chunk")
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    n_chunks, ranges = dealt(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # rows that are equal are told apart by the task that read them, which a rerun does not change
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_chunks)).alias("chunk")
+    grouped = slim.select(number, "doc_id", "text").groupBy("chunk")
 
     def loaded(t: pa.Table) -> tuple[Chunk, np.ndarray, int]:
         ids = np.array([NO_ID if i is None else i for i in t.column("doc_id").to_pylist()], np.int64)
@@ -268,7 +318,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
         edge, before, after = c.neighbours()
         order, pieces = by_range(c.edge_ranges(edge, ranges))
         edge, before, after = edge[order], before[order], after[order]
-        return packed([(p, chunk, edge[s:e].tobytes(), before[s:e].tobytes() + after[s:e].tobytes()) for p, s, e in pieces])
+        return packed([(p, chunk, edge[s:e].tobytes(), shorts(before[s:e]) + shorts(after[s:e])) for p, s, e in pieces])
 
     def emit_segments(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows or not answers.num_rows:
@@ -276,28 +326,34 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
         c, ids, chunk = loaded(t)
         c.repeated(ranges, answers)
         c.segments(ranges, answers)
-        key, content, doc, _ = distinct_segments(c, ids)
+        key, content, doc, word, _ = distinct_segments(c, ids)
         order, pieces = by_range(c.edge_ranges(key, ranges))
-        key, content, doc = key[order], content[order], doc[order].view(np.uint64)
-        return packed([(p, chunk, key[s:e].tobytes(), content[s:e].tobytes() + doc[s:e].tobytes()) for p, s, e in pieces])
+        key, rest = key[order], np.stack([content, doc.view(np.uint64), word.view(np.uint64)])[:, order]
+        return packed([(p, chunk, key[s:e].tobytes(), rest[:, s:e].tobytes()) for p, s, e in pieces])
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         c, ids, _ = loaded(t)
         gone = np.zeros(len(c.words) + 1, np.int64)
+        spans: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
         if answers.num_rows:
             c.repeated(ranges, answers)
             c.segments(ranges, answers)
-            key, _, _, of = distinct_segments(c, ids)
+            key, _, _, _, of = distinct_segments(c, ids)
             order, pieces = by_range(c.edge_ranges(key, ranges))
-            where, least = {p: (s, e) for p, s, e in pieces}, np.full(len(key), NO_ID)
+            where, least, word = {p: (s, e) for p, s, e in pieces}, np.full(len(key), NO_ID), np.zeros(len(key), np.int64)
             for k, p, found in zip(*(answers.column(n).to_pylist() for n in ("kind", "part", "found")), strict=True):
                 if k == FIRSTS:
                     s, e = where[p]
-                    least[order[s:e]] = np.frombuffer(found, np.int64)
+                    least[order[s:e]], word[order[s:e]] = np.frombuffer(found, np.int64).reshape(2, -1)
             begin = c.at[c.seg]
             hit = least[of] < ids[c.doc[begin]]
+            n_words = c.seg_windows + size - 1
             np.add.at(gone, begin[hit], 1)
-            np.add.at(gone, begin[hit] + c.seg_windows[hit] + size - 1, -1)
+            np.add.at(gone, (begin + n_words)[hit], -1)
+            spans = [x[hit] for x in (ids[c.doc[begin]], c.word_of(begin), n_words, least[of], word[of])]
+        if wanted == "spans":
+            own = pa.array(spans[0], mask=spans[0] == NO_ID)
+            return pa.table([own, *map(pa.array, spans[1:])], names=names)
         gone = np.cumsum(gone)[:-1] > 0
         out: list[tuple] = []
         at = 0
@@ -310,12 +366,16 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
                 words = [w for w, g in zip(words, mine.tolist(), strict=True) if not g]
             kept = b" ".join(words)
             row = (n, int(mine.sum()), hashlib.sha256(kept).hexdigest())
-            out.append((*row, kept.decode()) if keep_text else row)
+            out.append((*row, kept.decode()) if wanted == "text" else row)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([t.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False))], names=names)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
+    schema = {
+        "spans": "doc_id long, word long, n_words long, source_id long, source_word long",
+        "digest": "doc_id long, n_words long, n_removed long, kept_sha256 string",
+        "text": "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string",
+    }[wanted]
+    names = [c.split()[0] for c in schema.split(", ")]
     repeated = grouped.applyInArrow(emit_windows, PACKED).groupBy("part").applyInArrow(repeated_edges, ANSWER)
     breaks = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(emit_neighbours, PACKED).groupBy("part").applyInArrow(broken_edges, ANSWER)
     known = repeated.union(breaks)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from strandloom.llm import op01_sharding as o1
 from strandloom.llm import op06_quality as o6
 from strandloom.llm import op07_bpe as o7
+from strandloom.llm import op09_debruijn as o9
 
-from .test_operators import DOCS, docs_of, prose
+from .test_operators import DOCS, WORD, docs_of, prose
 
 
 def test_long_words_merge_in_time_and_exactly():
@@ -79,3 +80,32 @@ def test_votes_are_of_the_nearest(spark):
         want = sum(w * space.labels[i] for w, i in zip(weight, best, strict=True)) / sum(weight) if sum(weight) else np.mean(space.labels)
         assert abs(r.score - want) < 1e-3
     assert not o6.scored(df.limit(0), space).collect()
+
+
+def test_spans_are_those_of_their_source(spark, monkeypatch):
+    """Each removed span has the words of its source; the spans cover what is removed; chunks and ranges are many."""
+    monkeypatch.setattr(o9, "CHUNK_WINDOWS", 300)
+    monkeypatch.setattr(o9, "MOST_CHUNK_WINDOWS", 300)
+    monkeypatch.setattr(o9, "RANGE_WINDOWS", 200)
+    monkeypatch.setattr(o9, "MOST_RANGE_WINDOWS", 200)
+    rng = random.Random(7)
+    passages = [prose(rng, n, 9000) for n in (13, 20, 60, 200)]
+    texts = [" ".join([prose(rng, 20, 9000), rng.choice(passages), prose(rng, 5, 9000), rng.choice(passages)]) for _ in range(80)] + [passages[3]] * 30 + [None, ""]
+    df = docs_of(spark, texts).withColumn("chunk", F.lit("clash"))
+    words = [WORD.findall(t or "") for t in texts]
+    gone = {}
+    for r in o9.repeated_spans(df).collect():
+        span = words[r.doc_id][r.word : r.word + r.n_words]
+        assert r.source_id < r.doc_id and len(span) == r.n_words >= 13
+        assert span == words[r.source_id][r.source_word : r.source_word + r.n_words]
+        gone.setdefault(r.doc_id, set()).update(range(r.word, r.word + r.n_words))
+    removed = {r.doc_id: r.n_removed for r in o9.remove_repeats(df).collect()}
+    assert removed == {i: len(gone.get(i, ())) for i in range(len(texts))} and sum(removed.values()) > 5000
+
+
+def test_shorts_keep_six_bytes():
+    import numpy as np
+
+    x = np.random.RandomState(0).randint(0, 2**48, 100).astype(np.uint64)
+    assert (o9.from_shorts(o9.shorts(x)) == x).all() and len(o9.from_shorts(b"")) == 0
+    assert all(n >= 1 for b in (0, 1, 10**9, 10**14) for n in o9.dealt(b))
