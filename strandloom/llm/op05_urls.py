@@ -2,8 +2,9 @@
 
 Segments that look variable (numbers, hex, mixtures) become wildcards at once; a segment whose node has too many
 different children becomes a wildcard as well. Branches of a node whose labels do not differ significantly from their
-siblings' are merged with them. A template's purity is its share of blocked labels, smoothed towards its parent's, its
-host's and the whole table's; templates at or above the threshold are rejected.
+siblings' are merged with them. A template's purity is its share of blocked labels, smoothed towards that of the same
+template over all hosts, which is smoothed towards its parent's, and so on up to the host's and the whole table's; so a
+host without labels is judged by what its templates are elsewhere. Templates at or above the threshold are rejected.
 
 Pages are reduced to counts of templates first; only these are generalised, and joined back once.
 """
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments that a template tells apart; what follows is one wildcard.
+#: Segments that a template tells apart; what follows is one wildcard, ``<rest>``.
 MAX_DEPTH = 8
-#: Different children above which a node's segments are a wildcard.
+#: Different children above which a node's segments are variable, so that they become a wildcard.
 MAX_CHILDREN = 30
 #: z below which a branch does not differ from its siblings; weight of the parent's purity; rejection threshold.
 SIMILAR_Z, PRIOR_WEIGHT, REJECT_AT = 1.96, 4.0, 0.5
@@ -44,13 +45,14 @@ def rule_of(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
 
 
 def template(path: Column, depth: int = MAX_DEPTH) -> Column:
-    """The path's segments joined by ``/``, those that look variable as wildcards."""
+    """The path's segments joined by ``/``, those that look variable as wildcards; ``~`` escapes others that look like one."""
     some = F.filter(F.split(path, "/"), lambda s: s != "")
     kind = lambda s: (
         F.when(s.rlike(r"^[0-9]+$"), F.lit("<n>"))
         .when(s.rlike(r"^[0-9]+\.[A-Za-z]{1,5}$"), F.concat(F.lit("<n>."), F.regexp_extract(s, r"\.([A-Za-z]{1,5})$", 1)))
         .when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("<x>"))
         .when(s.rlike(r"[0-9]"), F.lit("<m>"))
+        .when(s.rlike(r"^[<*~]"), F.concat(F.lit("~"), s))
         .otherwise(s)
     )
     cut = F.when(F.size(some) > depth, F.concat(F.slice(some, 1, depth), F.array(F.lit("<rest>")))).otherwise(some)
@@ -88,10 +90,12 @@ def template_verdicts(leaves: DataFrame, threshold: float = REJECT_AT) -> DataFr
     nodes = nodes.withColumn("others_n", others_n).withColumn("merged", ~F.when((F.col("labelled") > 0) & (F.col("others_n") > 0), differs).otherwise(F.lit(True)))
     merged = Window.partitionBy("host", "depth", "parent", "merged")
     nodes = nodes.select("host", "depth", "node", *[F.when(F.col("merged"), F.sum(c).over(merged)).otherwise(F.col(c)).alias(c) for c in ("labelled", "blocked")])
+    anywhere = ways.groupBy("depth", "node").agg(*[F.sum(c).alias(f"any_{c}") for c in ("labelled", "blocked")])
     n, b = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    steps = ways.select("host", "general", "depth", "node").join(nodes, ["host", "depth", "node"])
-    path = F.array_sort(F.collect_list(F.struct("depth", "labelled", "blocked")))  # a node for each depth
-    purity = F.aggregate("path", F.lit((b + 1.0) / (n + 2.0)), lambda p, x: (x["blocked"] + p * PRIOR_WEIGHT) / (x["labelled"] + PRIOR_WEIGHT))
+    steps = ways.select("host", "general", "depth", "node").join(nodes, ["host", "depth", "node"]).join(anywhere, ["depth", "node"])
+    path = F.array_sort(F.collect_list(F.struct("depth", "labelled", "blocked", "any_labelled", "any_blocked")))  # a node for each depth
+    elsewhere = lambda p, x: (x["any_blocked"] + p * PRIOR_WEIGHT) / (x["any_labelled"] + PRIOR_WEIGHT)
+    purity = F.aggregate("path", F.lit((b + 1.0) / (n + 2.0)), lambda p, x: (x["blocked"] + elsewhere(p, x) * PRIOR_WEIGHT) / (x["labelled"] + PRIOR_WEIGHT))
     judged = steps.groupBy("host", "general").agg(path.alias("path")).select("host", "general", purity.alias("purity"))
     return leaves.join(judged, ["host", "general"]).select("host", "template", "general", "purity", F.when(F.col("purity") >= threshold, "block").otherwise("allow").alias("judged"))
 
@@ -102,7 +106,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     Labels are the verdicts of the rules that fit and, where none does and ``labelled`` names a column, its values
     (true or 1: block; null: none). Null urls and urls without ``://`` have empty host and path and share one
     template. Without any label the purity is a half, which rejects at the usual threshold only if it is not above
-    0.5; here it counts as allowed. Rows may repeat; other columns are not returned; an empty table gives none.
+    0.5; here it counts as allowed. Rows may repeat; other columns are not returned; an empty table gives none. A url
+    of more than MAX_DEPTH segments is judged by its first ones.
     """
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), (F.col(labelled).cast("int") if labelled else F.lit(None).cast("int")).alias("given"))
     host, path = host_and_path(F.col("url"))

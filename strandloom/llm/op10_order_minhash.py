@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, strings_of
+from .common import mix64, parts, strings_of
 
 K, SLOTS, TUPLE = 8, 32, 2
-#: Ranges of ids that neighbours are looked for in; a constant, as what the driver holds of each is one id.
-RANGES = 1024
+#: Bytes of text that a range of ids is meant to hold, and the least number of ranges; the driver holds one id of each.
+RANGE_BYTES, RANGES = 512_000_000, 1024
+#: Parts that the rows of one id are dealt to if they are more than a range should hold.
+HOT_BITS = 6
 HOLD = 512
 
 
@@ -133,45 +135,52 @@ def order_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows ``part, halo, doc_id, text``, dealt by part and sorted so that each row's successor is the row below it.
 
-    Order: doc_id descending, nulls last, ties by text. ``part`` numbers ranges of that order; each range ends with a
-    copy (halo) of the first row of the next one that has rows, the last with the very first row. The texts move once.
-    Ranges are cut at quantiles of doc_id; the driver holds one row id a range. Rows of one doc_id stay in one range.
+    Order: doc_id descending, nulls last, ties by a hash of the text, then by text. ``part`` numbers ranges of that
+    order; each range ends with a copy (halo) of the first row of the next one that has rows, the last with the very
+    first row. The texts move once. Ranges are cut at quantiles of doc_id, as many as the bytes ask for; an id (or null)
+    that has more rows than a range should is a range of its own, cut further by the hash of the text.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = sorted(set(slim.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)), reverse=True)
-    parts = [int(x) for x in cuts]
+    total, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = ranges or parts(size, RANGE_BYTES, RANGES)
+    cuts = {max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in slim.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}
+    many = slim.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(64, 2 * total // ranges))
+    hot = [r.doc_id for r in many.select("doc_id").collect()]  # fewer than the ranges
+    cuts |= {x for i in hot if i is not None for x in (i, i + 1) if x < 1 << 63}
+    cuts = sorted(cuts, reverse=True)
     dealt = slim.withColumn("part", F.lit(0))
-    if parts:  # how many cuts are above the id, found by halving
-        cut = F.array(*[F.lit(x).cast("long") for x in parts])
-        for step in (1 << i for i in reversed(range(len(parts).bit_length()))):
+    if cuts:  # how many cuts are above the id, found by halving
+        cut = F.array(*[F.lit(x).cast("long") for x in cuts])
+        for step in (1 << i for i in reversed(range(len(cuts).bit_length()))):
             at = F.col("part") + step
-            dealt = dealt.withColumn("part", F.when((at <= len(parts)) & (F.element_at(cut, F.least(at, F.lit(len(parts)))) > F.col("doc_id")), at).otherwise(F.col("part")))
-    dealt = dealt.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(parts) + 1)).otherwise(F.col("part")))
-    first = {r.part: r.first for r in dealt.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}  # a row a range
-    if not first:
-        return dealt.withColumn("halo", F.lit(False)).select("part", "halo", "doc_id", "text")
-    used = sorted(first)
-    halo = {first[b]: a for a, b in zip(used, used[1:] + used[:1], strict=True)}
-    ids, to = list(halo), [halo[i] for i in halo]
-    known = F.array_position(F.array(*[F.lit(i).cast("long") for i in ids if i is not None]).cast("array<bigint>"), F.col("doc_id"))
-    where = F.array(*[F.lit(halo[i]) for i in ids if i is not None]).cast("array<int>")
-    target = F.when(known > 0, F.element_at(where, known.cast("int")))
-    if None in halo:  # only rows without an id begin their range
-        target = F.when(F.col("doc_id").isNull(), F.lit(halo[None])).otherwise(target)
-    copies = dealt.withColumn("halo_part", target)
-    both = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("halo")), F.struct(F.col("halo_part").cast("int").alias("part"), F.lit(True).alias("halo")))
-    spread = copies.withColumn("x", F.explode(F.filter(both, lambda x: x["part"].isNotNull()))).select("x.part", "x.halo", "doc_id", "text")
-    return spread.repartition("part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "text")
+            dealt = dealt.withColumn("part", F.when((at <= len(cuts)) & (F.element_at(cut, F.least(at, F.lit(len(cuts)))) > F.col("doc_id")), at).otherwise(F.col("part")))
+    of_id = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.col("part")).cast("long")
+    dealt = dealt.withColumn("tie", F.xxhash64("text"))
+    ids = [i for i in hot if i is not None]
+    is_hot = (F.col("doc_id").isin(ids) if ids else F.lit(False)) | (F.col("doc_id").isNull() & F.lit(None in hot))
+    within = F.when(F.coalesce(is_hot, F.lit(False)), F.shiftright("tie", 64 - HOT_BITS) + (1 << HOT_BITS - 1)).otherwise(0)
+    dealt = dealt.withColumn("part", of_id * (1 << HOT_BITS) + within)
+    begins = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "tie")).alias("x")).select("part", "x.*").collect()  # a row a range
+    if not begins:
+        return dealt.select("part", F.lit(False).alias("halo"), "doc_id", "text")
+    begins.sort()
+    to = [(None if r.none else ~r.down, r.tie, before.part) for before, r in zip(begins, begins[1:] + begins[:1], strict=True)]
+    halos = F.broadcast(docs.sparkSession.createDataFrame(to, "halo_id long, halo_tie long, halo_part long"))  # a row a range
+    copies = dealt.join(halos, F.col("doc_id").eqNullSafe(F.col("halo_id")) & (F.col("tie") == F.col("halo_tie")), "left")
+    both = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("halo")), F.struct(F.col("halo_part").alias("part"), F.lit(True).alias("halo")))
+    spread = copies.select("doc_id", "tie", "text", F.explode(F.filter(both, lambda x: x["part"].isNotNull())).alias("x")).select("x.part", "x.halo", "doc_id", "tie", "text")
+    return spread.repartition("part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "tie", "text").drop("tie")
 
 
 def compare_with_next(docs: DataFrame, k: int = K, slots: int = SLOTS, size: int = TUPLE) -> DataFrame:
     """Fingerprints of every row's text, of its edited text, and their likeness to each other and to the next row's.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next row is
-    the next by descending doc_id (nulls last, ties by text), after the last the first; a lone row follows itself.
+    the next by descending doc_id (nulls last, ties by a hash of the text, then by text), after the last the first; a
+    lone row follows itself.
     Null texts count as empty; two empty texts are alike (1). An empty table gives an empty result. One row and its
     successor are in memory at a time, beside the batch that carries them.
     """

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import op01_sharding as o1
+from strandloom.llm import op05_urls as o5
 from strandloom.llm import op06_quality as o6
 from strandloom.llm import op07_bpe as o7
 from strandloom.llm import op09_debruijn as o9
+from strandloom.llm import op10_order_minhash as o10
 
 from .test_operators import DOCS, WORD, docs_of, prose
 
@@ -109,3 +111,50 @@ def test_shorts_keep_six_bytes():
     x = np.random.RandomState(0).randint(0, 2**48, 100).astype(np.uint64)
     assert (o9.from_shorts(o9.shorts(x)) == x).all() and len(o9.from_shorts(b"")) == 0
     assert all(n >= 1 for b in (0, 1, 10**9, 10**14) for n in o9.dealt(b))
+
+
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_one_row_follows_another_through_hot_ids(spark, ranges):
+    """An id (and null) with a third of the rows each: every row once, and a single cycle of successors."""
+    rng = random.Random(8)
+    ids = [None] * 200 + [5] * 200 + [2**63 - 1, -(2**63)] + list(range(-50, 150))
+    texts = [prose(rng, 8, 9000) for _ in ids]
+    texts[3], texts[300], texts[301] = None, "", texts[299]
+    rows = o10.with_next(docs_of(spark, texts, ids=ids), ranges).collect()
+    own = [r for r in rows if not r.halo]
+    assert sorted((str(r.doc_id), r.text) for r in own) == sorted((str(i), t or "") for i, t in zip(ids, texts, strict=True))
+    assert max(sum(r.part == p for r in own) for p in {r.part for r in own}) < 120
+    order = sorted(own, key=lambda r: r.part)
+    seen = [r.doc_id for r in order]
+    assert seen[-200:] == [None] * 200 and sorted((i for i in seen if i is not None), reverse=True) == sorted(seen[:-200], reverse=True)
+    made = o10.compare_with_next(docs_of(spark, texts, ids=ids)).collect()
+    assert len(made) == len(ids)
+    prints = {o10.text_of(o10.signature(t or "")) for t in texts}
+    assert {r.fingerprint for r in made} == prints
+
+
+def test_url_rules_against_brute_force(spark):
+    """Host, path, rule and the rule's verdict of every page and of odd ones, by plain Python; repeats and nulls stay."""
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    urls += ["HTTP://X.ORG", "a://b.example.org/es/", "://example.org/en/1", "x://y.com/de/?q#f", "x://com/fr/a/b/c/d/e/f/g/h/i/j", "no", "", None, "x://\u00c4.Com/fr/", "x://h.net/*/<n>/<rest>/~"]
+    rows = o5.judge(spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string").withColumn("path", F.lit(1))).collect()
+    assert len(rows) == 2 * len(urls)
+    for r in rows:
+        u = urls[r.page_id] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), h + p, k) for k, h, p in o5.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, None))
+        assert (r.host, r.path, r.rule) == (host, path, best[1]) and r.verdict == (best[2] or r.verdict) in ("allow", "block")
+
+
+def test_templates_are_judged_by_other_hosts(spark):
+    """A host without labels: what its templates are elsewhere decides; names that look like wildcards are none."""
+    rows = [(f"http://h{i % 20}.net/{'bad' if i % 2 else 'good'}/{i}", i % 2) for i in range(400)]
+    rows += [("http://new.net/bad/77", None), ("http://new.net/good/78", None), ("http://new.net/*/78", None), ("http://new.net/<n>", None)]
+    df = spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(rows)], "page_id long, url string, spam int")
+    got = {r.page_id: r for r in o5.judge(df, (), "spam").collect()}
+    assert [got[400 + i].verdict for i in range(2)] == ["block", "allow"]
+    assert got[402].template == "~*/<n>" and got[403].template == "~<n>"
