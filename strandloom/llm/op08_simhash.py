@@ -31,8 +31,8 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Differing bits that the three segments are made for.
 RADIUS = 3
-#: Packed entries that one bucket range is meant to hold (some 7 bytes each).
-RANGE_ENTRIES = 1_000_000
+#: Packed entries that one bucket range is meant to hold (some 7 bytes each), and fingerprints that a packing task is.
+RANGE_ENTRIES, TASK_FINGERPRINTS = 500_000, 16_384
 KEYS_EACH = 90
 
 
@@ -202,7 +202,9 @@ def fingerprint_links(fps: DataFrame, n_rows: int, radius: int = RADIUS) -> Data
         a, b = bucket_links(keys, fp, home, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
+    # a fingerprint is 8 bytes but fans out to some 90 entries: tasks are made by number, not by bytes
+    dealt = fps.select("fp").repartition(parts(n_rows, TASK_FINGERPRINTS), "fp")
+    return dealt.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +234,7 @@ WORDS, SIMILARITY = 5, 0.8
 FREQUENT = 65_536
 #: Bits of the filter of rows whose texts are wanted, and nodes that a task remembers to send their keys once.
 FILTER_BITS, REMEMBERED = 1 << 24, 1_000_000
-SHAPES = "row long, doc_id long, node long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
+SHAPES = "row long, doc_id long, node long, fp long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -296,16 +298,17 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def shapes(docs: DataFrame, similarity: float) -> DataFrame:
-    """``SHAPES`` of every row: its node, the number of its shingles, the prefix (none if its task gave it before) and the parity bits."""
+    """``SHAPES`` of every row: its node, the SimHash and number of its shingles, the prefix (none if its task gave it before) and the parity bits."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, many, keys, bits = [], [], [], []
+            nodes, prints, many, keys, bits = [], [], [], [], []
             for t in texts_of(batch.column(2)):
                 nodes.append(node_of(t))
                 hashes = shingle_set(t)
+                prints.append(fingerprint(hashes))
                 many.append(len(hashes))
                 keys.append(prefix(hashes[:0] if nodes[-1] in seen else hashes, *frequent.value, similarity).view(np.int64))
                 if len(seen) < REMEMBERED:
@@ -315,8 +318,8 @@ def shapes(docs: DataFrame, similarity: float) -> DataFrame:
             keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             bits = np.array(bits, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(many, pa.int32()), keys, *(pa.array(bits[:, i].copy()) for i in range(4))],
-                ["row", "doc_id", "node", "n", "keys", "b0", "b1", "b2", "b3"],
+                [batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(many, pa.int32()), keys, *(pa.array(bits[:, i].copy()) for i in range(4))],
+                ["row", "doc_id", "node", "fp", "n", "keys", "b0", "b1", "b2", "b3"],
             )
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, SHAPES)
@@ -353,6 +356,24 @@ def proposals(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
     return lists.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``x, y``: pairs of ``nodes`` whose fingerprints the Golay keys link, where sizes and parity bits leave it possible.
+
+    Of the nodes of one fingerprint the smallest stands for it; it is paired with the others.
+    """
+    classes = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = fingerprint_links(classes, classes.count())
+    of = lambda c, n: classes.select(F.col("fp").alias(c), F.col("first").alias(n))
+    across = links.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    within = nodes.join(classes, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    pairs = across.union(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(p + c) for c in ("n", "b0", "b1", "b2", "b3")])
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    most = (F.col("xn") + F.col("yn")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    differ = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in ("b1", "b2", "b3")), F.bit_count(F.col("xb0").bitwiseXOR(F.col("yb0"))))
+    return both.where((F.abs(F.col("xn") - F.col("yn")) <= most) & (differ <= most)).select("x", "y")
+
+
 def filter_of(rows: DataFrame) -> np.ndarray:
     """``FILTER_BITS`` bits, among them those that the ``row``s hash to."""
     at = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
@@ -399,9 +420,10 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows are linked if their sets of shingles of five words have a Jaccard similarity of ``similarity`` or more; label
     is the same in all that chains of links connect. Copies (equal words, A-Z lower-cased) are one node from the start.
-    Similar sets share a shingle of their prefixes, so the lists of nodes by such a shingle hold every link. First a
-    few pairs of each list are verified, on whole sets; then all pairs of a list that these links leave apart. Only
-    pairs that sizes or parity bits rule out are spared.
+    First the pairs that the Golay keys of the SimHashes propose are verified, on whole sets. Not every pair at 0.8 is
+    within their three bits, but similar sets share a shingle of their prefixes, so the lists of nodes by such a
+    shingle hold every link: of each list that the links so far leave apart, a few pairs are verified, then all pairs
+    that are still apart. Only pairs that sizes or parity bits rule out are spared.
     """
     rows = checkpointed(shapes(docs, similarity))
     columns = ["n", "b0", "b1", "b2", "b3"]
@@ -409,22 +431,24 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lists = entries.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
     lists = checkpointed(lists.groupBy("members").agg(F.min("key").alias("list")))
     members = lists.select("list", F.explode("members").alias("node"))
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in columns])
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("fp", *columns)])
     slim = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi"))
     members = checkpointed(members.join(slim, "node").select("list", "node", *columns))
+    tried = checkpointed(fingerprint_pairs(slim, similarity))
+    links = verified(tried, docs, slim, similarity)
 
     def listed(labelled: DataFrame) -> DataFrame:
         apart = F.min("label") < F.max("label")
         whole = labelled.groupBy("list").agg(F.collect_list(F.struct("node", "label", *columns)).alias("members"), apart.alias("apart"))
         return whole.where("apart").select("members")
 
-    pairs = checkpointed(proposals(listed(members.withColumn("label", F.col("node"))), similarity, every=False))
-    links = verified(pairs, docs, slim, similarity)
-    comp = checkpointed(components(links, "x", "y"))
-    labelled = members.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = proposals(listed(labelled), similarity, every=True)
-    rest = checkpointed(rest.join(pairs, ["x", "y"], "left_anti"))
-    comp = components(links.union(verified(rest, docs, slim, similarity)), "x", "y")
+    for every in (False, True):
+        comp = checkpointed(components(links, "x", "y"))
+        labelled = members.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = checkpointed(proposals(listed(labelled), similarity, every).join(tried, ["x", "y"], "left_anti"))
+        links = checkpointed(links.union(verified(pairs, docs, slim, similarity)))
+        tried = tried.union(pairs)
+    comp = components(links, "x", "y")
     return rows.join(comp, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label"))
 
 

@@ -10,6 +10,7 @@ from strandloom.llm import op01_sharding as o1
 from strandloom.llm import op05_urls as o5
 from strandloom.llm import op06_quality as o6
 from strandloom.llm import op07_bpe as o7
+from strandloom.llm import op08_simhash as o8
 from strandloom.llm import op09_debruijn as o9
 from strandloom.llm import op10_order_minhash as o10
 
@@ -158,3 +159,20 @@ def test_templates_are_judged_by_other_hosts(spark):
     got = {r.page_id: r for r in o5.judge(df, (), "spam").collect()}
     assert [got[400 + i].verdict for i in range(2)] == ["block", "allow"]
     assert got[402].template == "~*/<n>" and got[403].template == "~<n>"
+
+
+def test_shuffled_hub_loses_no_link(spark):
+    """A permutation of the words has the same bag, and no shingle in common; the copies with a swap still meet."""
+    texts = []
+    for s in range(12):
+        w = [f"h{s}x{i}" for i in range(120)]
+        shuffled, swapped = list(w), list(w)
+        random.Random(s).shuffle(shuffled)
+        swapped[60], swapped[61] = swapped[61], swapped[60]
+        texts += [" ".join(shuffled), " ".join(w), " ".join(swapped)]
+    df = docs_of(spark, texts).withColumn("row", F.lit("clash")).withColumn("node", F.lit("clash"))
+    got = {r.doc_id: r.component_id for r in o8.similar_documents(df).collect()}
+    assert all(got[3 * s] == 3 * s and got[3 * s + 1] == got[3 * s + 2] == 3 * s + 1 for s in range(12))
+    odd = o8.similar_documents(docs_of(spark, [None, "", "a b c", "a  B c"] * 2, ids=[None, 4, 3, 9] * 2)).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in odd) == [("3", 3)] * 2 + [("4", 4)] * 2 + [("9", 3)] * 2 + [("None", 4)] * 2
+    assert not o8.similar_documents(df.limit(0)).collect()
