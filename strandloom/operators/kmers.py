@@ -73,3 +73,20 @@ def superkmer_sequences(runs: DataFrame, k: int) -> DataFrame:
         turned.alias("reversed"),
         F.when(turned, reverse_complement(piece)).otherwise(piece).alias("piece"),
     )
+
+
+def piece_occurrences(pieces: DataFrame, k: int) -> DataFrame:
+    """The k-mers of stored pieces with their neighbours: what kmer_occurrences finds in the reads, but for strands.
+
+    The base on either side of a piece is a neighbour, not part of a k-mer. Pieces that were turned are turned back, so
+    that k-mers which are their own reverse complement get their neighbours on the sides that they have in the reads.
+    ``pid`` and no other column is kept.
+    """
+    turned = F.col("reversed")
+    left = F.when(turned, F.col("has_right")).otherwise(F.col("has_left")).cast("int")
+    right = F.when(turned, F.col("has_left")).otherwise(F.col("has_right")).cast("int")
+    piece = F.when(turned, reverse_complement(F.col("piece"))).otherwise(F.col("piece"))
+    held = pieces.select("pid", piece.alias("piece"), left.alias("left"), (F.length("piece") - k + 1 - left - right).alias("n")).where("n > 0")
+    at = held.select("pid", "piece", "left", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    i, piece = F.col("i") + F.col("left"), F.col("piece")
+    return at.select("pid", piece.substr(i, F.lit(k)).alias("kmer"), F.when(i <= F.length(piece) - k, piece.substr(i + k, F.lit(1))).alias("post"), F.when(i > 1, piece.substr(i - 1, F.lit(1))).alias("pre"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import BASES, complement, default_p, is_canonical, minimizer_of, partition_id, reverse_complement
+from ..functions.dna import BASES, complement, default_p, is_canonical, minimizer_of, partition_id, reverse_complement, unpack
+from .kmers import check_k, kmer_occurrences, piece_occurrences, superkmer_sequences, superkmers
 
 OUT, IN = [f"o{b}" for b in BASES], [f"i{b}" for b in BASES]
 SLOTS = OUT + IN
@@ -18,17 +19,63 @@ def coverage() -> Column:
     return sum((F.col(c) for c in SLOTS[1:]), F.col(SLOTS[0]))
 
 
-def edge_counts(occurrences: DataFrame, mode: str = "lex") -> DataFrame:
-    """A-01, A-02: ``kmer`` (canonical), eight counters and ``cov``, their sum. Partial sums precede the one shuffle."""
+def edge_counts(occurrences: DataFrame, mode: str = "lex", by: tuple[str, ...] = ()) -> DataFrame:
+    """A-01, A-02: ``kmer`` (canonical), eight counters and ``cov``, their sum. Partial sums precede the one shuffle.
+
+    ``by`` names columns that follow from the k-mer and are grouped on as well, such as the partition that rows are
+    dealt by already.
+    """
     kmer = F.col("kmer")
     same = is_canonical(kmer, mode)
     sided = occurrences.select(
+        *by,
         F.when(same, kmer).otherwise(reverse_complement(kmer)).alias("kmer"),
         F.when(same, F.col("post")).otherwise(complement(F.col("pre"))).alias("out"),
         F.when(same, complement(F.col("pre"))).otherwise(F.col("post")).alias("in"),
     )
     counts = [F.count(F.when(F.col(side) == b, 1)).alias(f"{side[0]}{b}") for side in ("out", "in") for b in BASES]
-    return sided.groupBy("kmer").agg(*counts).withColumn("cov", coverage())
+    return sided.groupBy(*by, "kmer").agg(*counts).withColumn("cov", coverage())
+
+
+#: The longest k whose k-mers are counted as numbers.
+LONGEST_NUMBER = 31
+
+
+def count_reads(reads: DataFrame, k: int, mode: str = "lex") -> DataFrame:
+    """A-01 of reads (``seq``): the same as edge_counts of their occurrences, counted by k-mers as numbers.
+
+    Both strands of a read are turned to digits once; a k-mer's number and its reverse complement's are then read off,
+    and the smaller is the canonical one, as bases are ordered like their digits.
+    """
+    check_k(k)
+    if mode != "lex" or k > LONGEST_NUMBER:
+        return edge_counts(kmer_occurrences(reads.select("seq"), k), mode)
+    length = F.length("seq")
+    held = reads.where(length >= k).select("seq", F.translate("seq", "ACGT", "0123").alias("there"), F.translate(F.reverse("seq"), "ACGT", "3210").alias("back"), length.alias("length"))
+    at = held.select("*", F.explode(F.sequence(F.lit(1), F.col("length") - k + 1)).alias("i"))
+    i = F.col("i")
+    number = lambda digits, start: F.conv(digits.substr(start, F.lit(k)), 4, 10).cast("bigint")
+    at = at.select("seq", "i", "length", number(F.col("there"), i).alias("x"), number(F.col("back"), F.col("length") - i - k + 2).alias("y"))
+    post, pre = F.when(i + k <= F.col("length"), F.col("seq").substr(i + k, F.lit(1))), F.when(i > 1, F.col("seq").substr(i - 1, F.lit(1)))
+    same = F.col("x") <= F.col("y")
+    sided = at.select(F.least("x", "y").alias("number"), F.when(same, post).otherwise(complement(pre)).alias("out"), F.when(same, complement(pre)).otherwise(post).alias("in"))
+    counts = [F.count(F.when(F.col(side) == b, 1)).alias(f"{side[0]}{b}") for side in ("out", "in") for b in BASES]
+    return sided.groupBy("number").agg(*counts).select(unpack(F.col("number"), k).alias("kmer"), *SLOTS).withColumn("cov", coverage())
+
+
+def count_superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512, mode: str = "lex") -> DataFrame:
+    """A-01 by way of super-k-mers (P-02, P-03): ``pid`` and the columns of edge_counts.
+
+    What is shuffled is a piece of a read for each run of k-mers of one partition, not a row for each k-mer; all
+    occurrences of a k-mer meet in its partition, and are counted there without another shuffle.
+    """
+    pieces = superkmer_sequences(superkmers(reads.select("seq"), k, p, n_parts), k)
+    return count_pieces(pieces.select("pid", "has_left", "has_right", "reversed", "piece"), k, mode)
+
+
+def count_pieces(pieces: DataFrame, k: int, mode: str = "lex") -> DataFrame:
+    """The same from pieces that are at hand, such as those of files."""
+    return edge_counts(piece_occurrences(pieces.repartition("pid"), k), mode, ("pid",))
 
 
 def filter_vertices(vertices: DataFrame, cutoff: int = 1) -> DataFrame:

@@ -6,8 +6,10 @@ digests by document or partition: a count, and a sum of 32 bits of every row's m
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -15,8 +17,9 @@ from ..operators import edges as E
 from ..operators import kmers as K
 from ..operators import paths as P
 from ..operators import vertices as V
-from ..sources.reads import reads_from_text
-from ..sources.sinks import fasta_records
+from ..session import checkpoint_folder
+from ..sources.reads import LETTERS, filter_reads, read_fasta, read_fastq, read_lines, reads_from_text, spread
+from ..sources.sinks import fasta_records, read_graph, read_superkmers, write_graph, write_superkmers
 
 KMER, MINIMIZER, PARTS = 21, 11, 512
 
@@ -26,7 +29,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vertices(spark: SparkSession, sf_dir: str, mode: str = "lex") -> DataFrame:
-    return V.edge_counts(K.kmer_occurrences(reads(spark, sf_dir).select("seq"), KMER), mode)
+    return V.count_reads(reads(spark, sf_dir), KMER, mode)
 
 
 def graph(spark: SparkSession, sf_dir: str, cutoff: int = 1) -> DataFrame:
@@ -85,7 +88,120 @@ def _murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.degree_statistics(vertices(spark, sf_dir, "murmur3"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for tables that are written and read again."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: What letters become in candidates for F-01: bases of both cases, N, and R, which no read may have.
+CANDIDATE_BASES = "acgtACGTACGTACGTNCGTNCGRAN"
+CANDIDATE_LENGTH = 36
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 36 letters of every text, the last one shorter: some have too many N, an R or the wrong length."""
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, CANDIDATE_BASES)
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", letters.alias("d")).where("d <> ''")
+    rows = rows.select("doc_id", "d", F.explode(F.sequence(F.lit(1), F.length("d"), F.lit(CANDIDATE_LENGTH))).alias("pos"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("d").substr(F.col("pos"), F.lit(CANDIDATE_LENGTH)).alias("seq"))
+
+
+def _line_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01, SRC-03, F-01: candidates written as lines, between header lines, and read again."""
+    path = scratch(spark, "lines")
+    candidates(spark, sf_dir).select(F.explode(F.array(F.lit("> header"), "seq")).alias("value")).write.text(path)
+    return digest(read_lines(spark, path, CANDIDATE_LENGTH).select("seq", F.substring("seq", 1, 3).alias("head")), "head")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    name = F.split("name", ":")
+    return digest(rows.select(name[0].cast("bigint").alias("doc_id"), name[1].cast("bigint").alias("pos"), "seq"), "doc_id")
+
+
+def _fasta_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-02: reads written as FASTA records of two sequence lines and read again."""
+    path = scratch(spark, "fasta")
+    seq = F.col("seq")
+    lines = F.concat_ws("\n", F.concat(F.lit(">"), "doc_id", F.lit(":"), "pos"), seq.substr(1, 40), seq.substr(41, 24))
+    reads(spark, sf_dir).select(lines.alias("value")).write.text(path)
+    return _named(read_fasta(spark, path, 64))
+
+
+def _fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-02: reads written as FASTQ records, some with a quality line that begins like a header, and read again."""
+    path = scratch(spark, "fastq")
+    quality = F.concat(F.when(F.col("pos") % 3 == 0, "@").otherwise("I"), F.repeat(F.lit("I"), 63))
+    lines = F.concat_ws("\n", F.concat(F.lit("@"), "doc_id", F.lit(":"), "pos"), "seq", F.lit("+"), quality)
+    reads(spark, sf_dir).select(lines.alias("value")).write.text(path)
+    return _named(read_fastq(spark, path, 64))
+
+
+def _by_head(df: DataFrame) -> DataFrame:
+    return digest(df.withColumn("head", F.substring("kmer", 1, 3)), "head")
+
+
+def _superkmer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02: super-k-mers written by partition, read again and counted."""
+    path = scratch(spark, "superkmers")
+    write_superkmers(K.superkmer_sequences(K.superkmers(reads(spark, sf_dir).select("seq"), KMER, MINIMIZER, PARTS), KMER), path)
+    return _by_head(V.count_pieces(read_superkmers(spark, path), KMER).drop("pid"))
+
+
+def _graph_files(spark: SparkSession, sf_dir: str, table: int) -> DataFrame:
+    """SNK-03, SNK-04: the raw graph written in subgraph folders and read again."""
+    path, g = scratch(spark, "graph"), kept_graph(spark, sf_dir)
+    write_graph(g, E.edges(g), path, KMER, 16)
+    rows = read_graph(spark, path)[table].drop("pid")
+    return _by_head(rows.select(*(g if table == 0 else E.edges(g)).columns))
+
+
+def _sorted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-03, O-01: what stands first and last in each partition's rows, and how many rows stand before a smaller one."""
+    rows = V.sorted_vertices(vertices(spark, sf_dir), KMER, PARTS).select("pid", "kmer", F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("before", F.lag("kmer").over(Window.partitionBy("pid").orderBy("at")))
+    return rows.groupBy("pid").agg(F.count("*").alias("n"), F.min_by("kmer", "at").alias("first"), F.max_by("kmer", "at").alias("last"), F.count(F.when(F.col("before") >= F.col("kmer"), 1)).alias("inversions"))
+
+
+def _all_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01 to S-04, S-09, S-10 on every k-mer of every read."""
+    x = F.col("kmer")
+    rows = K.kmer_occurrences(reads(spark, sf_dir), KMER)
+    out = rows.select("doc_id", "pos", "i", dna.reverse_complement(x).alias("rc"), dna.canonical(x).alias("canon"), dna.is_canonical(x).cast("int").alias("same"), dna.pack(x).alias("packed"), dna.unpack(dna.pack(x), KMER).alias("unpacked"), dna.shift_append(x, F.lit("G")).alias("shifted"), dna.reverse_edge_base(x).alias("back"))
+    return digest(out, "doc_id")
+
+
+def _lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-02: every k-mer of every read in canonical form, looked up among the vertices of coverage 2 and more."""
+    wanted = K.kmer_occurrences(reads(spark, sf_dir).select("seq"), KMER).select(dna.canonical(F.col("kmer")).alias("kmer")).distinct()
+    found = E.lookup(wanted, V.filter_vertices(vertices(spark, sf_dir), 2).select("kmer", "cov"))
+    return _by_head(found)
+
+
+EVEN = 20
+
+
+def _pruned_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-01 for an even k, which has edges without a partner."""
+    counted = V.classify(V.filter_vertices(V.count_reads(reads(spark, sf_dir), EVEN)))
+    return _by_head(E.prune_unreciprocated(counted))
+
+
 QUERIES = {
+    "filtered_reads": lambda s, d: digest(filter_reads(candidates(s, d), CANDIDATE_LENGTH), "doc_id"),
+    "line_reads": _line_reads,
+    "fasta_reads": _fasta_reads,
+    "fastq_reads": _fastq_reads,
+    "whole_reads": lambda s, d: digest(reads_from_text(s.read.parquet(f"{d}/documents.parquet"), anchored=True), "doc_id"),
+    "kmer_functions_all": _all_scalars,
+    "kmer_lookup_all": _lookup_all,
+    "superkmer_counts": lambda s, d: _by_head(V.count_superkmers(reads(s, d), KMER, MINIMIZER, PARTS).drop("pid")),
+    "superkmer_files": _superkmer_files,
+    "vertices_cutoff2": lambda s, d: _by_head(V.filter_vertices(vertices(s, d), 2)),
+    "murmur_values": lambda s, d: _by_head(vertices(s, d).select("kmer", dna.murmur3(F.col("kmer")).alias("hash"))),
+    "sorted_order": _sorted_order,
+    "pruned_even": _pruned_even,
+    "graph_files_vertices": lambda s, d: _graph_files(s, d, 0),
+    "graph_files_edges": lambda s, d: _graph_files(s, d, 1),
     "reads": lambda s, d: digest(reads(s, d), "doc_id"),
     "kmer_functions": _scalars,
     "kmer_occurrences": lambda s, d: digest(K.kmer_occurrences(reads(s, d), KMER), "doc_id"),
@@ -239,8 +355,62 @@ def _with(ctes: str, rest: str) -> str:
     return f"with {ctes.strip()}\n{rest}"
 
 
+_CANDIDATES = f"""
+letters as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{CANDIDATE_BASES}') as d from documents),
+cand as (select doc_id, p as pos, substr(d, p, {CANDIDATE_LENGTH}) as raw from (select doc_id, d, unnest(range(1, length(d) + 1, {CANDIDATE_LENGTH})) as p from letters)),
+passed as (select doc_id, pos, translate(upper(raw), 'N', 'A') as seq from cand where length(raw) = {CANDIDATE_LENGTH} and length(regexp_replace(raw, '[ACGTacgt]', '', 'g')) <= 5),
+kept as (select * from passed where not regexp_matches(seq, '[^ACGT]'))"""
+_WHOLE = f"""
+dna as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS[0]}', '{_LETTERS[1]}') as d from documents),
+places as (select doc_id, d, unnest(range(1, length(d) - 62, 32)) as p from dna where length(d) >= 64 union select doc_id, d, greatest(1, length(d) - 63) from dna where d <> ''),
+reads as (select doc_id, p as pos, substr(d, p, 64) as seq from places)"""
+_SCALAR_ALL = f"""{_OCC},
+scal as (select doc_id, pos, i, {rc('x')} as rc, least(x, {rc('x')}) as canon, cast(x <= {rc('x')} as int) as same, {_PACKED} as packed, x as unpacked, substr(x, 2) || 'G' as shifted, translate(substr(x, 1, 1), 'ACGT', 'TGCA') as back from (select doc_id, pos, i, kmer as x from occ))"""
+
+
+def _murmur_sql() -> str:
+    """The hash in 64-bit steps modulo 2 to the 32, one table a step; the third and fourth word are 0 at this k."""
+    word = lambda at, n: " + ".join(f"(instr('ACGT', substr(kmer, {at + j}, 1)) - 1) * {4 ** (15 - j)}::hugeint" for j in range(n))
+    two32 = 1 << 32
+    turn = lambda x, n: f"((({x}) << {n}) % {two32} + (({x}) >> {32 - n}))"
+    sql = f"""{_VERT},
+h0 as (select kmer, {dna.MURMUR_SEED}::hugeint as h, {word(1, 16)} as w0, {word(17, KMER - 16)} as w1, 0::hugeint as w2, 0::hugeint as w3 from vert)"""
+    for i in range(4):
+        sql += f""",
+a{i} as (select *, (w{i} * {0xCC9E2D51}) % {two32} as k from h{i}),
+b{i} as (select *, ({turn('k', 15)} * {0x1B873593}) % {two32} as m from a{i}),
+c{i} as (select *, xor(h, m) as g from b{i}),
+h{i + 1} as (select kmer, ({turn('g', 13)} * 5 + {0xE6546B64}) % {two32} as h, w0, w1, w2, w3 from c{i})"""
+    return f"""{sql},
+f0 as (select kmer, xor(h, 16::hugeint) as h from h4), f1 as (select kmer, xor(h, h >> 16) as h from f0), f2 as (select kmer, (h * {0x85EBCA6B}) % {two32} as h from f1),
+f3 as (select kmer, xor(h, h >> 13) as h from f2), f4 as (select kmer, (h * {0xC2B2AE35}) % {two32} as h from f3), hashed as (select kmer, cast(xor(h, h >> 16) as bigint) as hash from f4)"""
+
+
+_PRUNED = f"""
+pruned as (select kmer, {', '.join(f"cast(coalesce(sum(cnt) filter (where strand = {int(c[0] == 'i')} and base = '{c[1]}'), 0) as bigint) as {c}" for c in _SLOT_NAMES)} from recip group by kmer)"""
+#: The same tables for k-mers of an even length.
+_RECIP_EVEN = _RECIP.replace(f"substr(seq, i, {KMER})", f"substr(seq, i, {EVEN})").replace(f"i <= {64 - KMER} ", f"i <= {64 - EVEN} ").replace(f"i + {KMER}", f"i + {EVEN}").replace(f"range(1, {66 - KMER})", f"range(1, {66 - EVEN})")
 _ALL_SLOTS = ", ".join(_SLOT_NAMES)
 ORACLE_SQL = {
+    "filtered_reads": _with(_CANDIDATES, _digest_sql("kept", "pos, seq", "doc_id")),
+    "line_reads": _with(_CANDIDATES, _digest_sql("(select seq, substr(seq, 1, 3) as head from kept)", "seq", "head")),
+    "fasta_reads": _with(_READS, _digest_sql("reads", "pos, seq", "doc_id")),
+    "fastq_reads": _with(_READS, _digest_sql("reads", "pos, seq", "doc_id")),
+    "whole_reads": _with(_WHOLE, _digest_sql("reads", "pos, seq", "doc_id")),
+    "kmer_functions_all": _with(_SCALAR_ALL, _digest_sql("scal", "pos, i, rc, canon, same, packed, unpacked, shifted, back", "doc_id")),
+    "kmer_lookup_all": _with(
+        f"""{_VERT},
+wanted as (select distinct least(kmer, {rc('kmer')}) as kmer from occ)""",
+        _digest_sql(f"(select w.kmer, v.cov, substr(w.kmer, 1, 3) as head from wanted w left join (select * from vert where cov >= 2) v on w.kmer = v.kmer)", "kmer, cov", "head"),
+    ),
+    "superkmer_counts": _with(_VERT, _digest_sql(f"(select *, {_HEAD} from vert)", f"kmer, {_ALL_SLOTS}, cov", "head")),
+    "superkmer_files": _with(_VERT, _digest_sql(f"(select *, {_HEAD} from vert)", f"kmer, {_ALL_SLOTS}, cov", "head")),
+    "vertices_cutoff2": _with(_VERT, _digest_sql(f"(select *, {_HEAD} from vert where cov >= 2)", f"kmer, {_ALL_SLOTS}, cov", "head")),
+    "murmur_values": _with(_murmur_sql(), _digest_sql(f"(select *, {_HEAD} from hashed)", "kmer, hash", "head")),
+    "sorted_order": _with(_VERT, f"select {_pid_sql('m')} as pid, count(*) as n, min(kmer) as first, max(kmer) as last, cast(0 as bigint) as inversions from (select kmer, {_min_sql('kmer', KMER)} as m from vert) group by 1"),
+    "pruned_even": _with(f"{_RECIP_EVEN},{_PRUNED}", _digest_sql(f"(select *, {' + '.join(_SLOT_NAMES)} as cov, {_HEAD} from pruned)", f"kmer, {_ALL_SLOTS}, cov", "head")),
+    "graph_files_vertices": _with(_graph_sql(1), _digest_sql(f"(select *, {_HEAD} from graph)", f"kmer, {_ALL_SLOTS}, cov, out_deg, in_deg, cls", "head")),
+    "graph_files_edges": _with(_edges_sql(1), _digest_sql(f"(select *, {_HEAD} from edges)", "kmer, strand, base, nb, nb_strand, cnt", "head")),
     "reads": _with(_READS, _digest_sql("reads", "pos, seq", "doc_id")),
     "kmer_functions": _with(_SCALAR, _digest_sql("scal", "pos, rc, canon, same, packed, unpacked, second, shifted, back, pmers, min, pid", "doc_id")),
     "kmer_occurrences": _with(_OCC, _digest_sql("occ", "pos, i, kmer, post, pre", "doc_id")),

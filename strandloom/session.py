@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where checkpoints go when neither the session nor its context names a folder (tests, single machines).
+#: Where checkpoints go on a single machine when neither the session nor its context names a folder.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/strandloom"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g", **conf: str) -> SparkSession:
-    """A session for one machine. Broadcasts by size are off: tables of checkpoints have no statistics to go by."""
+    """A session for one machine. Joins are broadcast only by measured sizes: tables of checkpoints have no statistics."""
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": memory,
@@ -17,15 +17,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName("strandloom").config(map=settings | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints; on a cluster it has to be named."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or FALLBACK_CHECKPOINTS)
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and cut the lineage; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINTS)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -59,9 +59,25 @@ def read_fastq(spark: SparkSession, path: str, read_length: int | None = None, a
     return filter_reads(rows, read_length, ambiguous)
 
 
-def reads_from_text(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", read_length: int = 64, stride: int = 32) -> DataFrame:
-    """Reads derived from prose: letters become bases, and every ``stride`` bases a read begins (``pos`` from 1)."""
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, at least: a file of one row group would be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def reads_from_text(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", read_length: int = 64, stride: int = 32, anchored: bool = False) -> DataFrame:
+    """Reads derived from prose: letters become bases, and every ``stride`` bases a read begins (``pos`` from 1).
+
+    ``anchored`` adds a read that ends with the text, shorter texts being reads of their own, so that no letter is left out.
+    """
     dna = F.translate(F.regexp_replace(F.lower(F.col(text)), "[^a-z]", ""), LETTERS, LETTER_BASES)
-    rows = df.select(*keys, dna.alias("dna")).where(F.length("dna") >= read_length)
-    at = F.explode(F.sequence(F.lit(1), F.length("dna") - read_length + 1, F.lit(stride)))
-    return rows.select(*keys, "dna", at.alias("pos")).select(*keys, F.col("pos").cast("bigint").alias("pos"), F.col("dna").substr(F.col("pos"), F.lit(read_length)).alias("seq"))
+    rows = spread(df.select(*keys, text)).select(*keys, dna.alias("dna"))
+    last = F.length("dna") - read_length + 1
+    if anchored:
+        rows = rows.where(F.length("dna") > 0)
+        at = F.when(last < 1, F.array(F.lit(1))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(stride)), F.array(F.greatest(last, F.lit(1))))))
+    else:
+        rows = rows.where(F.length("dna") >= read_length)
+        at = F.sequence(F.lit(1), last, F.lit(stride))
+    rows = rows.select(*keys, "dna", F.explode(at).alias("pos"))
+    return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.col("dna").substr(F.col("pos"), F.lit(read_length)).alias("seq"))

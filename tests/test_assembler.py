@@ -160,15 +160,66 @@ def test_cycles_and_half_paths(spark):
 def test_sinks_and_command_line(spark, tmp_path):
     reads = CASES["random"]
     (tmp_path / "reads").write_text("\n".join(reads))
-    assert main([str(tmp_path / "reads"), str(tmp_path / "out"), "-k", "9", "-r", "20", "--graph", "--cycles", "--cores", "2"]) == 0
+    assert main([str(tmp_path / "reads"), str(tmp_path / "out"), "-k", "9", "-r", "20", "--graph", "--cycles", "--cores", "2", "-n", "16"]) == 0
     text = spark.read.text(str(tmp_path / "out/unitigs")).collect()
     heads = [r.value for r in text if r.value.startswith(">")]
     assert {r.value for r in text if not r.value.startswith(">")} == unitigs(reads, 9)  # noqa: SIM300
     assert len({h.split()[0] for h in heads}) == len(heads) and all(h.endswith("cvg_1_tip_0") for h in heads)
     v, e = S.read_graph(spark, str(tmp_path / "out/graph"))
-    assert v.count() and e.count()
-    S.write_superkmers(K.superkmers(frame(spark, reads), 9, 4, 3), str(tmp_path / "sk"))
-    assert S.read_superkmers(spark, str(tmp_path / "sk"), 1).count() <= S.read_superkmers(spark, str(tmp_path / "sk")).count()
+    whole = graph(frame(spark, reads), 9)
+    rows = lambda df, like: sorted(map(tuple, df.select(*like.columns).collect()))
+    assert rows(v, whole) == rows(whole, whole) and rows(e, E.edges(whole)) == rows(E.edges(whole), E.edges(whole))
+    some = [S.read_graph(spark, str(tmp_path / "out/graph"), i)[0] for i in (r.pid for r in v.select("pid").distinct().limit(3).collect())]
+    assert all(0 < s.count() < v.count() and s.select("pid").distinct().count() == 1 for s in some)
+    pieces = K.superkmer_sequences(K.superkmers(frame(spark, reads), 9, 4, 3), 9)
+    S.write_superkmers(pieces, str(tmp_path / "sk"))
+    counted = V.count_pieces(S.read_superkmers(spark, str(tmp_path / "sk")), 9).drop("pid")
+    assert rows(counted, counted) == rows(V.edge_counts(K.kmer_occurrences(frame(spark, reads).select("seq"), 9)), counted)
+    assert {r.pid for r in S.read_superkmers(spark, str(tmp_path / "sk"), 1).collect()} == {1}
+    few = ["-k", "9", "-r", "20", "-n", "3", "-p", "4", "--cores", "2"]
+    assert main([str(tmp_path / "reads"), str(tmp_path / "out2"), *few]) == 0
+    assert {r.value for r in spark.read.text(str(tmp_path / "out2/unitigs")).collect() if r.value[0] != ">"} == unitigs(reads, 9)  # noqa: SIM300
+
+
+@pytest.mark.parametrize("mode", ["lex", "murmur3"])
+def test_ways_of_counting_agree(spark, mode):
+    """Occurrences, numbers and super-k-mers, for odd and even k, k above what a number holds, reads shorter than k."""
+    reads = frame(spark, [*CASES["random"], "ACGT", "A" * 70, "ACGTTGCAACGT" * 6])
+    for k in (2, 5, 8, 31, 33):
+        want = V.edge_counts(K.kmer_occurrences(reads.select("seq"), k), mode)
+        rows = lambda df, want=want: sorted(map(tuple, df.select(*want.columns).collect()))
+        assert rows(V.count_reads(reads, k, mode)) == rows(want)
+        if mode == "lex":
+            assert rows(V.count_superkmers(reads, k, min(3, k), 7)) == rows(want)
+
+
+def test_chains():
+    import numpy as np
+
+    nodes, after = np.array([5, 3, 9, 7, 1, 2, 8]), np.array([3, 9, 100, 1, 7, 2, 5])
+    last, steps, ends = P.chains(nodes, after)
+    assert [(int(nodes[j]), int(n)) for j, n, e in zip(last, steps, ends, strict=True) if e] == [(9, 2), (9, 1), (9, 0), (9, 3)]
+    assert ends.tolist() == [True, True, True, False, False, False, True]
+    assert len(P.chains(nodes[:0], after[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("name", ["superkmer_files", "pruned_even", "murmur_values", "graph_files_edges", "sorted_order", "line_reads", "fastq_reads", "list_rank"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from strandloom.plans.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    cols = sorted(got.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(map(str, want)) and want
+
+
+def test_even_k_has_edges_to_remove(spark):
+    g = V.classify(V.count_reads(frame(spark, ["ACGTACGGTTCAACCGTACGTTTACGT", "TTGCAACGTTGCATTGCAA"]), 4))
+    assert E.reciprocal_edges(g).count() < E.edges(g).count()
 
 
 def test_bad_k(spark):
