@@ -45,7 +45,7 @@ def superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 51
     check_k(k)
     p = p or default_p(k)
     keys = [c for c in reads.columns if c != "seq"]
-    kmers = F.sequence(F.lit(1), F.length("seq") - k + 1)
+    kmers = F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1)))  # in range wherever filters are moved to
     held = reads.where(F.length("seq") >= k)
     smallest = let(canonical_pmers(F.col("seq"), p), lambda pm: F.transform(kmers, lambda i: F.array_min(F.slice(pm, i, k - p + 1))))
     held = held.withColumn("pids", F.transform(smallest, lambda m: partition_id(m, p, n_parts)))
