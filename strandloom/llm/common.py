@@ -9,15 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when neither the session nor its context names a folder (tests, single machines).
+#: Where checkpoints go on a single machine when neither the session nor its context names a folder (tests).
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/strandloom"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, or the fallback where none is named."""
+    """The shared folder for checkpoints: the session's; on a cluster it has to be named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINTS)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or FALLBACK_CHECKPOINTS)
     return sc.getCheckpointDir()
 
 
