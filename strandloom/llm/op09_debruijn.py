@@ -32,9 +32,9 @@ WINDOW = 13
 WORD_BYTES = 6
 #: Windows that a chunk and a hash range are meant to hold: at least, and at most on a large corpus.
 CHUNK_WINDOWS, MOST_CHUNK_WINDOWS = 40_000, 4_000_000
-RANGE_WINDOWS, MOST_RANGE_WINDOWS = 1_000_000, 16_000_000
-#: Windows that a chunk should send to a range at once.
-PACKED_WINDOWS = 64
+RANGE_WINDOWS, MOST_RANGE_WINDOWS = 1_000_000, 4_000_000
+#: Windows that a chunk sends to a range at once, about: as long as it does, messages grow no faster than the corpus.
+PACKED_WINDOWS = 1_024
 NO_ID = np.int64(2**63 - 1)
 START, CONFLICT = 0, 1
 #: What tells a neighbour apart among those of one edge: the other bits of its hash are not sent.
