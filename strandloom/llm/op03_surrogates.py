@@ -67,6 +67,10 @@ HAN = ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢
 MOST_ATTEMPTS = 50
 #: Attempts after which a surrogate may be a character longer, so that no space of surrogates is ever used up.
 GROWS_AFTER = 8
+#: Characters that a mailbox's surrogate has at least.
+SHORT_MAILBOX = 8
+#: Units that the table may tell of in one map; more are joined to the documents that hold them.
+TOLD_UNITS = 2_000
 #: Rows of the table of entities that a task is meant to hold.
 TASK_UNITS = 2_000
 #: The session's setting that names the key.
@@ -187,7 +191,9 @@ def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column,
     extra = F.floor(attempt / GROWS_AFTER).cast("int")
     local, top = F.substring_index(canon, "@", 1), F.substring_index(canon, ".", -1)
     body = F.when(kind == "mailbox", local).when(kind == "domain", canon.substr(F.lit(1), F.length(canon) - F.length(top))).otherwise(canon)
-    longer = F.when(kind.isin("mailbox", "domain", "secret"), F.concat(F.repeat(F.lit("a"), extra), body)).otherwise(body)
+    # mailboxes of a few characters would soon have no other of their length left
+    spare = extra + F.when(kind == "mailbox", F.greatest(F.lit(0), F.lit(SHORT_MAILBOX) - F.length(body))).otherwise(0)
+    longer = F.when(kind == "domain", F.concat(F.repeat(F.lit("a"), extra), body)).when(kind.isin("mailbox", "secret"), F.concat(body, F.repeat(F.lit("a"), spare))).otherwise(body)
     keep = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind.startswith("phone"), kind.substr(6, 1).cast("int")).otherwise(0)
     hexadecimal = (kind == "ipv6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))
     shaped = _shaped(longer, h, keep, F.when(hexadecimal, "abcdef").otherwise(LOWER))
@@ -207,9 +213,9 @@ def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column,
 
 
 def _cased(form: Column, s: Column) -> Column:
-    """``s`` in the case of ``form``, letter by letter if both are of equal length."""
+    """``s`` in the case of ``form``, letter by letter as far as both go."""
     one = lambda i: F.when(form.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(s.substr(i, F.lit(1)))).otherwise(s.substr(i, F.lit(1)))
-    return F.when((form != F.lower(form)) & (F.length(form) == F.length(s)), F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")).otherwise(s)
+    return F.when((form != F.lower(form)) & (F.length(s) > 0), F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")).otherwise(s)
 
 
 def _like_word(word: Column, s: Column) -> Column:
@@ -236,7 +242,7 @@ def _whole(entity: Column, kind: Column, parts: Column) -> Column:
     name = F.array_join(F.when(kind == "mention", words).otherwise(F.concat(F.array(F.substring_index(entity, " ", 1)), words)), " ")
     return (
         F.when(kind.isin("name", "arabic_name", "mention"), name)
-        .when(kind == "email", _cased(entity, F.concat(F.substring_index(one, "@", 1), F.lit("@"), F.get(parts, F.lit(1)))))
+        .when(kind == "email", F.concat(_cased(F.substring_index(entity, "@", 1), F.substring_index(one, "@", 1)), F.lit("@"), _cased(F.substring_index(entity, "@", -1), F.get(parts, F.lit(1)))))
         .when(kind == "ipv6", _cased(entity, one))
         .when(kind.isin("card", "phone", "ssn", "iban"), _poured(entity, one))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, r"^(.*?[=:]\s*[\"']?)", 1), one, F.regexp_extract(entity, r"([\"']?)$", 1)))
@@ -267,7 +273,8 @@ def settled_units(docs: DataFrame, text: str, key: str) -> DataFrame | None:
     one, the first in code-point order has it; the others try again.
     """
     found = with_entities(docs.select(F.col(f"`{text}`").alias("text")), F.col("text"), "e", "pattern", "known")
-    found = found.where(F.size("e") > 0).select(F.explode("e").alias("e")).groupBy("e").agg(F.lit(1).alias("x"))
+    # outer, as a filter on the entities would be moved below them and evaluate every pattern again
+    found = found.select(F.explode_outer("e").alias("e")).groupBy("e").agg(F.lit(1).alias("x")).where("e is not null")
     unit = found.select(F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select("u.*")
     told = [F.max(F.when(F.col("hint") == g, True)).isNotNull() for g in ("m", "f", "n")]
     unit = unit.groupBy("kind", "canon").agg(*[t.alias(g) for t, g in zip(told, ("m", "f", "n"), strict=True)])
@@ -305,17 +312,20 @@ def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text",
     e, pattern, known, k, u, s, r, pieces, ids, told = (f"{x} {mark}" for x in ("entities", "pattern", "known", "kinds", "units", "surrogates", "replacements", "pieces", "id", "told"))
     t = F.col(f"`{text}`")
     name = lambda u: F.concat(u["kind"], F.lit("\x1f"), u["canon"])
-    if changed is not None:  # documents that hold such a unit get a map of what the table says
-        holds = with_entities(docs.select(F.col(f"`{doc_id}`").alias(ids), t.alias("text")), F.col("text"), e, pattern, known).where(F.size(e) > 0).select(ids, F.explode(e).alias("e"))
+    entry = F.struct(F.concat("kind", F.lit("\x1f"), "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
+    says_all = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
+    if changed is not None and changed.count() <= TOLD_UNITS:
+        docs = docs.withColumn(told, changed.agg(F.map_from_entries(F.collect_list(entry))).scalar())
+        says_all = F.col(told)
+    elif changed is not None:  # documents that hold such a unit get a map of what the table says
+        holds = with_entities(docs.select(F.col(f"`{doc_id}`").alias(ids), t.alias("text")), F.col("text"), e, pattern, known).select(ids, F.explode_outer(e).alias("e")).where("e is not null")
         holds = holds.select(ids, F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select(ids, "u.kind", "u.canon").distinct()
-        entry = F.struct(F.concat("kind", F.lit("\x1f"), "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
         maps = holds.join(changed, ["kind", "canon"]).groupBy(ids).agg(F.map_from_entries(F.collect_set(entry)).alias(told))
         docs = docs.join(maps, docs[f"`{doc_id}`"].eqNullSafe(maps[f"`{ids}`"]), "left").drop(ids)
-    else:
-        docs = docs.withColumn(told, F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
+        says_all = F.col(told)
 
     def streamed(u: Column) -> Column:
-        says = F.element_at(F.col(told), name(u))
+        says = F.element_at(says_all, name(u))
         attempt = F.coalesce(says["attempt"], F.lit(0))
         return F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"), F.coalesce(says["gender"], u["hint"]).alias("gender"), attempt.alias("attempt"), _stream(key, u["kind"], u["canon"], attempt).alias("h"))
 

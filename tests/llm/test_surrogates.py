@@ -42,7 +42,7 @@ def test_case_scripts_and_addresses(spark):
 
 
 def test_small_spaces_grow(spark):
-    """Mailboxes of one letter, all distinct over one domain: more than there are letters of that length."""
+    """Mailboxes of one letter, all distinct over two domains: more than there are letters of that length."""
     letters = [chr(c) for c in (*range(97, 123), *range(224, 246))]
     texts = [f"{c}@x.com {c}@y.com" for c in letters]
     got = replaced(spark, texts)
