@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import secrets
 import uuid
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,6 +98,11 @@ def _byte(stream: Column, i: Column | int) -> Column:
     return F.conv(stream.substr(at, F.lit(2)), 16, 10).cast("int")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is written and evaluated once, however often ``use`` has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _pick(letters: Column, number: Column) -> Column:
     return letters.substr(number % F.length(letters) + 1, F.lit(1))
 
@@ -123,20 +129,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
-def _ends(script: Column, gender: Column, get) -> Column:
-    """Of each script's three values (male, female, neither) those of the gender."""
-    of = lambda x: F.when(gender == "m", get(x[0])).when(gender == "f", get(x[1])).otherwise(get(x[2]))
-    return reduce(lambda c, k: c.when(script == k, of(SCRIPTS[k][2:])), list(SCRIPTS)[1:], F.when(script == "greek", of(SCRIPTS["greek"][2:])))
-
-
 def _word(word: Column, stream: Column, gender: Column, extra: Column) -> Column:
     """A name of the word's script: syllables (``extra`` more than usual) and an ending of the gender."""
     script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").when(word.rlike(r"\p{IsArabic}"), "arabic").otherwise("latin")
-    by = lambda get: reduce(lambda c, k: c.when(script == k, get(SCRIPTS[k])), list(SCRIPTS)[1:], F.when(script == "greek", get(SCRIPTS["greek"])))
-    consonants, vowels = by(lambda x: F.lit(x[0])), by(lambda x: F.lit(x[1]))
-    ends = _ends(script, gender, lambda x: F.array(*map(F.lit, x)))
-    syllables = F.transform(F.sequence(F.lit(0), extra + 3), lambda i: F.concat(_pick(consonants, _byte(stream, i)), _pick(vowels, _byte(stream, i + 8))))
-    return F.initcap(F.concat(F.array_join(syllables, ""), _pick(consonants, _byte(stream, 20)), F.element_at(ends, _byte(stream, 21) % 3 + 1)))
+    of = lambda script, get: reduce(lambda c, k: c.when(script == k, get(SCRIPTS[k])), list(SCRIPTS)[1:], F.when(script == "greek", get(SCRIPTS["greek"])))
+
+    def made(script: Column) -> Column:
+        consonants, vowels = of(script, lambda x: F.lit(x[0])), of(script, lambda x: F.lit(x[1]))
+        ends = of(script, lambda x: F.when(gender == "m", F.array(*map(F.lit, x[2]))).when(gender == "f", F.array(*map(F.lit, x[3]))).otherwise(F.array(*map(F.lit, x[4]))))
+        syllables = _let(F.struct(consonants.alias("c"), vowels.alias("v")), lambda l: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), extra + 3), lambda i: F.concat(_pick(l["c"], _byte(stream, i)), _pick(l["v"], _byte(stream, i + 8)))), ""), _pick(l["c"], _byte(stream, 20))))
+        return F.initcap(F.concat(syllables, F.element_at(ends, _byte(stream, 21) % 3 + 1)))
+
+    return _let(script, made)
 
 
 def _han(name: Column, stream: Column, gender: Column, extra: Column) -> Column:
@@ -196,26 +200,32 @@ def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column,
     longer = F.when(kind == "domain", F.concat(F.repeat(F.lit("a"), extra), body)).when(kind.isin("mailbox", "secret"), F.concat(body, F.repeat(F.lit("a"), spare))).otherwise(body)
     keep = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind.startswith("phone"), kind.substr(6, 1).cast("int")).otherwise(0)
     hexadecimal = (kind == "ipv6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))
-    shaped = _shaped(longer, h, keep, F.when(hexadecimal, "abcdef").otherwise(LOWER))
+    shaped = _let(longer, lambda v: _shaped(v, h, keep, F.when(hexadecimal, "abcdef").otherwise(LOWER)))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(h, i) % 254 + 1).cast("string")), ".")
-    front = shaped.substr(F.lit(1), F.length(shaped) - 1)
-    check = ((10 - _luhn(F.concat(front, F.lit("0")))) % 10).cast("string")
-    card = F.when(_luhn(canon) == 0, F.concat(front, check)).otherwise(shaped)
+
+    def finished(shaped: Column) -> Column:
+        front = shaped.substr(F.lit(1), F.length(shaped) - 1)
+        check = lambda f: F.concat(f, ((10 - _luhn(F.concat(f, F.lit("0")))) % 10).cast("string"))
+        return (
+            F.when(kind == "mailbox", F.concat(shaped, F.lit("@"), F.substring_index(canon, "@", -1)))
+            .when(kind == "domain", F.concat(shaped, top))
+            .when(kind == "card", F.when(_luhn(canon) == 0, _let(front, check)).otherwise(shaped))
+            .otherwise(shaped)
+        )
+
     return (
-        F.when(kind == "mailbox", F.concat(shaped, F.lit("@"), F.substring_index(canon, "@", -1)))
-        .when(kind == "domain", F.concat(shaped, top))
-        .when(kind == "ipv4", octets)
-        .when(kind == "card", card)
+        F.when(kind == "ipv4", octets)
         .when(kind == "han_name", _han(canon, h, gender, extra))
         .when(kind.isin("given", "surname"), _word(canon, h, gender, extra))
-        .otherwise(shaped)
+        .otherwise(_let(shaped, finished))
     )
 
 
 def _cased(form: Column, s: Column) -> Column:
     """``s`` in the case of ``form``, letter by letter as far as both go."""
-    one = lambda i: F.when(form.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(s.substr(i, F.lit(1)))).otherwise(s.substr(i, F.lit(1)))
-    return F.when((form != F.lower(form)) & (F.length(s) > 0), F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")).otherwise(s)
+    one = lambda form, s, i: F.when(form.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(s.substr(i, F.lit(1)))).otherwise(s.substr(i, F.lit(1)))
+    cased = lambda form, s: F.when((form != F.lower(form)) & (F.length(s) > 0), F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: one(form, s, i)), "")).otherwise(s)
+    return _let(F.struct(form.alias("form"), s.alias("s")), lambda x: cased(x["form"], x["s"]))
 
 
 def _like_word(word: Column, s: Column) -> Column:

@@ -65,7 +65,9 @@ class Space:
 
     @staticmethod
     def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * idf
+        x = counts.astype(np.float32)
+        np.log1p(x, out=x)
+        x *= idf
         grams = x[:, :TRIGRAMS]
         grams /= np.linalg.norm(grams, axis=1, keepdims=True) + 1e-9
         x[:, TRIGRAMS:] /= 8  # a text has 80 shape terms at most, so that they don't outweigh its trigrams
@@ -122,7 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     rows = sorted(found.groupBy("label_id").agg(F.min(F.struct("terms", "label")).alias("x")).select("label_id", "x.*").collect())  # `sample` rows at most
     if not rows:
         return Space(np.zeros(0), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(zlib.decompress(r.terms), np.uint32) for r in rows])
+    counts = np.zeros((len(rows), TRIGRAMS + SHAPES * len(LEVELS)), np.float32)  # the one large table on the driver: 17 kB a row of the sample
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(zlib.decompress(r.terms), np.uint32)
     return Space.fit(counts, np.array([r.label for r in rows]))
 
 
