@@ -26,6 +26,8 @@ TREES, BITS = 32, 64
 CELL_ROWS, CELL_QUERIES = 8_192, 4_096
 #: Queries that the number of entries is fitted on, and the recall that it has to reach there.
 SAMPLE_QUERIES, SAMPLE_RECALL = 128, 0.95
+#: Cells whose table of sizes is broadcast, at some 50 bytes each; longer tables are joined by shuffles.
+BROADCAST_CELLS = 200_000
 #: Rows of a block whose products with some queries are made at once.
 BLOCK_ROWS = 4_096
 
@@ -242,10 +244,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     def meeting(entries: DataFrame, asked: DataFrame):
         """Cells of rows with the queries that visit them: rows in parts and queries in lots of bounded size, which all meet."""
         own, others = ([c for c in t.columns if c not in ("tree", "cell")] for t in (entries, asked))
-        lots = checkpointed(asked.groupBy("tree", "cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("lots")))
-        asked = asked.join(lots, ["tree", "cell"]).join(cells, ["tree", "cell"]).withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("lots")).cast("int"))
+        lots = asked.groupBy("tree", "cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("lots"))
+        sizes = checkpointed(lots.join(cells.select("tree", "cell", "row_parts"), ["tree", "cell"]))
+        if sizes.count() <= BROADCAST_CELLS:  # entries then travel once, to the tasks that score them
+            sizes = F.broadcast(sizes)
+        asked = asked.join(sizes, ["tree", "cell"]).withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("lots")).cast("int"))
         asked = asked.select("tree", "cell", "lot", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)).alias("part"), *others)
-        entries = entries.join(lots, ["tree", "cell"]).join(cells, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int"))
+        entries = entries.join(sizes, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int"))
         entries = entries.select("tree", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), *own)
         by = ["tree", "cell", "part", "lot"]
         return entries.groupBy(*by).cogroup(asked.groupBy(*by))
