@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 from .common import by_size, checkpointed, strings_of
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same for lower-case ASCII, in less time.
+ASCII_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
 #: Outside of these ranges, letters, numbers and case depend on the Unicode version; there, the library's own
 #: normaliser and splitter are asked.
 UNSURE = regex.compile(r"[^\x00-\u0557\u0590-\u082f\u0900-\u0bff\u0e00-\u0e7f\u1e00-\u2064\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3000-\u9fef\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]")
 LEXICON_WORDS = 65_536
+#: Bytes up to which words are merged side by side, this many at once; longer ones go through a heap.
+FEW, TOGETHER = 48, 4096
 #: Words a worker remembers beside the lexicon before it forgets them all.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 #: Characters whose words a worker holds at once; a longer text is held alone.
 CHARS_AT_ONCE = 2_000_000
 
@@ -163,14 +168,25 @@ class Bpe:
 
         spec = json.loads(content)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab = model["vocab"]
-        self.rank = {(a, b): i for i, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"])}
+        suffix = model["end_of_word_suffix"] or ""
+        vocab = model["vocab"]
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        #: Rank of each pair of ids that merges, under both in one number, and the id that each rank gives.
+        self.rank = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.pairs = np.sort(np.fromiter(self.rank, np.int64, len(self.rank)))
+        self.pair_ranks = np.array([self.rank[x] for x in self.pairs.tolist()], np.int32)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.letters = byte_letters()
-        self.bytes = {c: b for b, c in self.letters.items()}
+        letters = byte_letters()
+        #: The id of each byte within a word and at its end, and the ranks of bytes side by side.
+        self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
+        self.letter_ranks = self.rank_of(self.first[:, None], self.first)
+        self.last_ranks = self.rank_of(self.first[:, None], self.last)
+        self.bytes = {c: b for b, c in letters.items()}
         self.library = Tokenizer.from_str(content)
 
     def words(self, text: str) -> list[str]:
@@ -184,37 +200,95 @@ class Bpe:
 
     def plain_words(self, text: str) -> list[str]:
         if text.isascii():
-            return WORDS.findall(text.lower())
+            return ASCII_WORDS.findall(text.lower())
         if UNSURE.search(text):
             pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.bytes[c] for c in piece).decode("utf-8") for piece, _ in pieces]
         return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # each sigma by itself
 
-    def merge(self, word: str) -> list[int]:
-        """The exact ids of one word: the pair of the lowest rank merges first, of equal ones the leftmost."""
-        if word[:1] == "\0" and word[1:] in self.added:
-            return [self.added[word[1:]]]
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        n = len(parts)
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """The exact ids of each word: the pair of the lowest rank merges first, of equal ones the leftmost.
+
+        Words of about one length are merged together, long ones by themselves.
+        """
+        data = [w.encode() for w in words]
+        out: list[list[int]] = [[self.added[w[1:]]] if w[:1] == "\0" and w[1:] in self.added else [] for w in words]
+        order = sorted((i for i in range(len(data)) if not out[i]), key=lambda i: len(data[i]))
+        few = next((n for n, i in enumerate(order) if len(data[i]) > FEW), len(order))
+        for lo in range(0, few, TOGETHER):
+            some = order[lo : min(lo + TOGETHER, few)]
+            for i, ids in zip(some, self.merge_together([data[i] for i in some]), strict=True):
+                out[i] = ids
+        for i in order[few:]:
+            out[i] = self.merge_long(data[i])
+        return out
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, the number of ranks if it never merges."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], len(self.merged)).astype(np.int32)
+
+    def merge_together(self, words: list[bytes]) -> list[list[int]]:
+        """Merge short words side by side: in each step, every word's pair of the least rank, of equal ones the leftmost."""
+        never, n = len(self.merged), len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        wide = int(size.max(initial=0)) + 2  # a column on each side that never merges
+        inside = np.arange(wide - 2) < size[:, None]
+        ids = np.full((n, wide), -1, np.int32)
+        data = np.zeros((n, wide - 2), np.int64)
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        ids[:, 1:-1][inside] = self.first[data[inside]]
+        ids[np.arange(n), size] = self.last[data[np.arange(n), size - 1]]
+        ranks = np.full((n, wide), never, np.int32)
+        ranks[:, 1:-2] = np.where(inside[:, 1:], self.letter_ranks[data[:, :-1], data[:, 1:]], never)
+        two = np.flatnonzero(size > 1)
+        ranks[two, size[two] - 1] = self.last_ranks[data[two, size[two] - 2], data[two, size[two] - 1]]
+        before, after = np.tile(np.arange(-1, wide - 1), n), np.tile(np.arange(1, wide + 1), n)
+        kept = np.zeros((n, wide), bool)
+        kept[:, 1:-1] = inside
+        flat_ids, flat_ranks, flat_kept = ids.reshape(-1), ranks.reshape(-1), kept.reshape(-1)
+        live = np.arange(n)
+        while len(live):
+            some = ranks[live]
+            at = some.argmin(1)
+            low = some[np.arange(len(live)), at]
+            ok = low < never
+            live, at, low = live[ok], at[ok], low[ok]
+            row = live * wide
+            i, j = row + at, row + after[row + at]
+            k = row + after[j]
+            flat_ids[i] = self.merged[low]
+            flat_kept[j], flat_ranks[j] = False, never
+            after[i], before[k] = after[j], at
+            flat_ranks[i] = self.rank_of(flat_ids[i], flat_ids[k])
+            h = row + before[i]
+            flat_ranks[h] = self.rank_of(flat_ids[h], flat_ids[i])
+        flat, ends = flat_ids[flat_kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """Merge one word through a heap over a linked list, in n log n steps."""
+        ids = [*self.first[list(word[:-1])].tolist(), int(self.last[word[-1]])]
+        get, n = self.rank.get, len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        todo = [(r, i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.rank.get(pair)) is not None]
+        gone = [False] * n
+        todo = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(a << 32 | b)) is not None]
         heapq.heapify(todo)
         while todo:
             r, i = heapq.heappop(todo)
             j = after[i]
-            if j >= n or self.rank.get((parts[i], parts[j])) != r:
+            if gone[i] or j >= n or get(ids[i] << 32 | ids[j]) != r:
                 continue  # one of the two has been merged since
-            parts[i] += parts[j]
-            parts[j] = ""
+            ids[i] = int(self.merged[r])
+            gone[j] = True
             after[i] = after[j]
-            after[j] = n
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.rank.get((parts[x], parts[y]))) is not None:
+                if x >= 0 and y < n and (r := get(ids[x] << 32 | ids[y])) is not None:
                     heapq.heappush(todo, (r, x))
-        return [self.vocab[p] for p in parts if p]
+        return [t for t, lost in zip(ids, gone, strict=True) if not lost]
 
 
 @lru_cache(maxsize=2)
@@ -235,25 +309,32 @@ class Encoder:
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.listed: dict[str, tuple[int, str, str]] = {}  # what the lexicon gave so far, which is kept
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.memo.keys())
+        new = list(words - self.memo.keys())
+        if len(self.memo) - len(self.listed) + len(new) > MEMO_WORDS:
+            self.memo = dict(self.listed)
+            new = list(words - self.memo.keys())
         if not new:
             return
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = sorted(words)
+        digits, names, rest = self.bpe.digits.__getitem__, self.bpe.names.__getitem__, []
         for w, rank in zip(new, self.lexicon.ranks([w.encode() for w in new]).tolist(), strict=True):
-            ids = self.lexicon.outputs(rank) if rank >= 0 else self.bpe.merge(w)
-            self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.bpe.names[i] for i in ids))
+            if rank >= 0:
+                ids = self.lexicon.outputs(rank)
+                self.memo[w] = self.listed[w] = (len(ids), " ".join(map(digits, ids)), " ".join(map(names, ids)))
+            else:
+                rest.append(w)
+        for w, ids in zip(rest, self.bpe.merge(rest), strict=True):
+            self.memo[w] = (len(ids), " ".join(map(digits, ids)), " ".join(map(names, ids)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, the ids joined by spaces, and their tokens joined by spaces (the decoding)."""
         split = [self.bpe.words(t) for t in texts]
         self.learn(set().union(*split) if split else set())
         for words in split:
-            found = [self.memo[w] for w in words]
-            yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            sizes, ids, tokens = zip(*map(self.memo.__getitem__, words), strict=True) if words else ((), (), ())
+            yield sum(sizes), " ".join(ids), " ".join(tokens)
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -297,7 +378,8 @@ def lexicon_of(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str
         total += r.words
         chosen = chosen | (F.col("level") == r.level)
     bpe = bpe_of(content(path))
-    return Lexicon.compile({r.word.encode(): bpe.merge(r.word) for r in counts.where(chosen).select("word").limit(size).collect()})
+    words = [r.word for r in counts.where(chosen).select("word").limit(size).collect()]
+    return Lexicon.compile(dict(zip((w.encode() for w in words), bpe.merge(words), strict=True)))
 
 
 def encode(docs: DataFrame, path: str, fields: Callable[[tuple[int, str, str]], tuple], schema: str, size: int = LEXICON_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,11 +26,29 @@ def test_long_words_merge_in_time_and_exactly():
     for n in (1, 2, 3, 50, 700, 40_000):
         for word in ("a" * n, "".join(rng.choices("etaoinshr", k=n)), "ab" * (n // 2) + "b"):
             began = time.process_time()
-            ids = bpe.merge(word)
+            ids = bpe.merge([word])[0]
             assert time.process_time() - began < 3
             assert ids == library.encode(word, add_special_tokens=False).ids
 
 
+def test_words_merged_side_by_side_and_a_small_memory(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = o7.default_path(), random.Random(4)
+    bpe, library = o7.bpe_of(o7.content(path)), Tokenizer.from_file(path)
+    words = ["".join(rng.choices("etaoinshrlé漢ß", k=rng.randrange(1, 70))) for _ in range(9000)]
+    got = bpe.merge(words)
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert got[:200] == [bpe.merge_long(w.encode()) for w in words[:200]]
+    monkeypatch.setattr(o7, "MEMO_WORDS", 50)
+    coder = o7.Encoder(bpe, o7.Lexicon(o7.Lexicon.compile({w.encode(): ids for w, ids in zip(words[::3], got[::3], strict=True)})))
+    texts = [" ".join(rng.choices(words, k=40)) + rng.choice(["", "  ", "\x1c it's 1²½ <|endoftext|>x", "\0"]) for _ in range(60)] + [""]
+    for lo in range(0, len(texts), 7):
+        for text, (n, ids, decoded) in zip(texts[lo : lo + 7], coder.encode(texts[lo : lo + 7]), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert ([int(i) for i in ids.split()], n, decoded) == (want, len(want), library.decode(want, skip_special_tokens=False))
+
+
 def test_encoding_of_odd_tables(spark):
     path, schema = o7.default_path(), "n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = [(1, "same text", "en", None, 9)] * 3 + [(None, None, None, None, None), (None, "x" * 30_000 + " y", "en", "s", 1)]
