@@ -5,11 +5,13 @@ Slots ``oA..oT`` count the bases that follow the canonical k-mer, ``iA..iT`` tho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import BASES, complement, default_p, is_canonical, minimizer_of, partition_id, reverse_complement, unpack
+from ..functions import packed as B
+from ..functions.dna import BASES, complement, default_p, is_canonical, reverse_complement
 from .kmers import check_k, kmer_occurrences, piece_occurrences, superkmer_sequences, superkmers
+from .numbering import numbered
 
 OUT, IN = [f"o{b}" for b in BASES], [f"i{b}" for b in BASES]
 SLOTS = OUT + IN
@@ -37,30 +39,31 @@ def edge_counts(occurrences: DataFrame, mode: str = "lex", by: tuple[str, ...] =
     return sided.groupBy(*by, "kmer").agg(*counts).withColumn("cov", coverage())
 
 
-#: The longest k whose k-mers are counted as numbers.
-LONGEST_NUMBER = 31
+def count_reads(reads: DataFrame, k: int, mode: str = "lex", packed: bool = False) -> DataFrame:
+    """A-01 of reads (``seq``): the same as edge_counts of their occurrences, counted by packed k-mers.
 
-
-def count_reads(reads: DataFrame, k: int, mode: str = "lex") -> DataFrame:
-    """A-01 of reads (``seq``): the same as edge_counts of their occurrences, counted by k-mers as numbers.
-
-    Both strands of a read are turned to digits once; a k-mer's number and its reverse complement's are then read off,
-    and the smaller is the canonical one, as bases are ordered like their digits.
+    Both strands of a read are turned to words of 31 bases once; a k-mer and its reverse complement are then cut from
+    them by shifts, and the smaller is the canonical one. ``packed`` keeps ``kmer`` a key (functions/packed.py).
     """
     check_k(k)
-    if mode != "lex" or k > LONGEST_NUMBER:
-        return edge_counts(kmer_occurrences(reads.select("seq"), k), mode)
+    if mode != "lex":
+        counted = edge_counts(kmer_occurrences(reads.select("seq"), k), mode)
+        return B.packed(counted, k) if packed else counted
     length = F.length("seq")
-    held = reads.where(length >= k).select("seq", F.translate("seq", "ACGT", "0123").alias("there"), F.translate(F.reverse("seq"), "ACGT", "3210").alias("back"), length.alias("length"))
-    at = held.select("*", F.explode(F.sequence(F.lit(1), F.col("length") - k + 1)).alias("i"))
-    i = F.col("i")
-    number = lambda digits, start: F.conv(digits.substr(start, F.lit(k)), 4, 10).cast("bigint")
-    at = at.select("seq", "i", "length", number(F.col("there"), i).alias("x"), number(F.col("back"), F.col("length") - i - k + 2).alias("y"))
-    post, pre = F.when(i + k <= F.col("length"), F.col("seq").substr(i + k, F.lit(1))), F.when(i > 1, F.col("seq").substr(i - 1, F.lit(1)))
-    same = F.col("x") <= F.col("y")
-    sided = at.select(F.least("x", "y").alias("number"), F.when(same, post).otherwise(complement(pre)).alias("out"), F.when(same, complement(pre)).otherwise(post).alias("in"))
-    counts = [F.count(F.when(F.col(side) == b, 1)).alias(f"{side[0]}{b}") for side in ("out", "in") for b in BASES]
-    return sided.groupBy("number").agg(*counts).select(unpack(F.col("number"), k).alias("kmer"), *SLOTS).withColumn("cov", coverage())
+    d = B.digits(F.col("seq"))
+    back = F.translate(F.reverse("seq"), "ACGT", "3210")
+    held = reads.where(length >= k).select(B.read_words(d, length).alias("there"), B.read_words(back, length).alias("back"), length.alias("length"))
+    at = held.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - k)).alias("i"))
+    i, there, length = F.col("i"), F.col("there"), F.col("length")
+    x, y = B.read_window(there, i, k), B.read_window(F.col("back"), length - i - k, k)
+    post = F.when(i + k < length, B.read_window(there, i + k, 1)[0])
+    pre = F.when(i > 0, B.read_window(there, F.greatest(i - 1, F.lit(0)), 1)[0])
+    at = at.select(B.key_of(x).alias("x"), B.key_of(y).alias("y"), post.alias("post"), pre.alias("pre"))
+    same = B.not_above(F.col("x"), F.col("y"), k)
+    sided = at.select(F.when(same, F.col("x")).otherwise(F.col("y")).alias("kmer"), F.when(same, F.col("post")).otherwise(3 - F.col("pre")).alias("out"), F.when(same, 3 - F.col("pre")).otherwise(F.col("post")).alias("in"))
+    counts = [F.count(F.when(F.col(side) == code, 1)).alias(f"{side[0]}{b}") for side in ("out", "in") for code, b in enumerate(BASES)]
+    counted = sided.groupBy("kmer").agg(*counts).withColumn("cov", coverage())
+    return counted if packed else B.unpacked(counted, k)
 
 
 def count_superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512, mode: str = "lex") -> DataFrame:
@@ -112,25 +115,26 @@ def linears(classified: DataFrame, cutoff: int = 1) -> DataFrame:
 
 
 def with_partition(vertices: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:
-    """S-07: the logical partition of each k-mer."""
+    """S-07: the logical partition of each k-mer, by shifts on its key."""
     p = p or default_p(k)
-    strands = vertices.withColumn("_rc", reverse_complement(F.col("kmer")))
-    smallest = strands.withColumn("_min", minimizer_of(F.col("kmer"), F.col("_rc"), k, p))
+    key = F.col("kmer") if B.is_packed(vertices) else B.pack(F.col("kmer"), k)
+    strands = vertices.withColumn("_x", key).withColumn("_y", B.reverse_complement(F.col("_x"), k))
+    smallest = strands.withColumn("_min", B.minimizer(F.col("_x"), F.col("_y"), k, p))
     # never null: a join's test for nulls would carry the whole expression below it, again and again
-    pid = F.coalesce(partition_id(F.col("_min"), p, n_parts).cast("bigint"), F.lit(0).cast("bigint"))
-    return smallest.withColumn("pid", pid).drop("_rc", "_min")
+    pid = F.coalesce(B.partition_id(F.col("_min"), p, n_parts), F.lit(0).cast("bigint"))
+    return smallest.withColumn("pid", pid).drop("_x", "_y", "_min")
 
 
 def vertex_ids(classified: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:
     """W-01, W-02, O-01: ``vid`` from 0 within the partition, junctions first, then in k-mer order; ``gid`` over all.
 
-    Sizes of partitions are added up in a table of at most ``n_parts`` rows, the only ordering over all of them.
+    Rows are numbered by ranges of that order, whose sizes follow the data; a partition's first number, a table of at
+    most ``n_parts`` rows, is what is broadcast.
     """
-    parts = with_partition(classified, k, n_parts, p)
-    local = parts.withColumn("vid", (F.row_number().over(Window.partitionBy("pid").orderBy("cls", "kmer")) - 1).cast("bigint"))
-    sizes = parts.groupBy("pid").agg(F.count("*").alias("n"))
-    offsets = sizes.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("offset"))
-    return local.join(F.broadcast(offsets), "pid").select("kmer", "cls", "pid", "vid", (F.col("offset") + F.col("vid")).alias("gid"))
+    parts = with_partition(classified, k, n_parts, p).select("kmer", "cls", "pid")
+    every = numbered(parts, "pid", "cls", "kmer", name="gid")
+    first = every.groupBy("pid").agg(F.min("gid").alias("first"))
+    return every.join(F.broadcast(first), "pid").select("kmer", "cls", "pid", (F.col("gid") - F.col("first")).alias("vid"), "gid")
 
 
 def sorted_vertices(vertices: DataFrame, k: int, n_parts: int = 512, p: int | None = None) -> DataFrame:

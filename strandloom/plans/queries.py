@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions import packed as B
 from ..operators import edges as E
 from ..operators import kmers as K
 from ..operators import paths as P
+from ..operators import unitig_graph as U
 from ..operators import vertices as V
 from ..session import checkpoint_folder
 from ..sources.reads import LETTERS, filter_reads, read_fasta, read_fastq, read_lines, reads_from_text, spread
-from ..sources.sinks import fasta_records, read_graph, read_superkmers, write_graph, write_superkmers
+from ..sources.sinks import fasta_records, gfa_lines, read_graph, read_superkmers, write_graph, write_superkmers
 
 KMER, MINIMIZER, PARTS = 21, 11, 512
 
@@ -28,16 +30,16 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads_from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def vertices(spark: SparkSession, sf_dir: str, mode: str = "lex") -> DataFrame:
-    return V.count_reads(reads(spark, sf_dir), KMER, mode)
+def vertices(spark: SparkSession, sf_dir: str, mode: str = "lex", packed: bool = False, k: int = KMER) -> DataFrame:
+    return V.count_reads(reads(spark, sf_dir), k, mode, packed)
 
 
-def graph(spark: SparkSession, sf_dir: str, cutoff: int = 1) -> DataFrame:
-    return V.classify(V.filter_vertices(vertices(spark, sf_dir), cutoff), cutoff)
+def graph(spark: SparkSession, sf_dir: str, cutoff: int = 1, packed: bool = False, k: int = KMER) -> DataFrame:
+    return V.classify(V.filter_vertices(vertices(spark, sf_dir, "lex", packed, k), cutoff), cutoff)
 
 
-def kept_graph(spark: SparkSession, sf_dir: str, cutoff: int = 1) -> DataFrame:
-    return graph(spark, sf_dir, cutoff).persist(StorageLevel.MEMORY_AND_DISK)
+def kept_graph(spark: SparkSession, sf_dir: str, cutoff: int = 1, packed: bool = True, k: int = KMER) -> DataFrame:
+    return graph(spark, sf_dir, cutoff, packed, k).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def digest(df: DataFrame, *by: str) -> DataFrame:
@@ -48,38 +50,58 @@ def digest(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-01 to S-10 on the first k-mer of every read."""
-    x = F.col("seq").substr(1, KMER)
-    rows = reads(spark, sf_dir).select("doc_id", "pos", "seq", x.alias("x")).withColumn("m", dna.minimizer(F.col("x"), MINIMIZER))
-    c = F.col("x")
+    """S-01 to S-10 on every k-mer of every read; ``second`` is the one after it, null at a read's end."""
+    c = F.col("kmer")
+    rows = K.kmer_occurrences(reads(spark, sf_dir), KMER).withColumn("m", dna.minimizer(c, MINIMIZER))
+    second = F.when(F.col("post").isNotNull(), F.concat(dna.kmer_at(c, F.lit(2), KMER - 1), "post"))
     out = rows.select(
-        "doc_id", "pos",
-        dna.reverse_complement(c).alias("rc"), dna.canonical(c).alias("canon"), dna.is_canonical(c).cast("int").alias("same"), dna.pack(c).alias("packed"), dna.unpack(dna.pack(c), KMER).alias("unpacked"),
-        dna.kmer_at(F.col("seq"), F.lit(2), KMER).alias("second"), dna.shift_append(c, F.lit("G")).alias("shifted"), dna.reverse_edge_base(c).alias("back"), F.array_join(dna.pmers(c, MINIMIZER), ",").alias("pmers"),
+        "doc_id", "pos", "i",
+        dna.reverse_complement(c).alias("rc"), dna.canonical(c).alias("canon"), dna.is_canonical(c).cast("int").alias("same"), B.pack(c, KMER).alias("packed"), B.unpack(B.pack(c, KMER), KMER).alias("unpacked"),
+        second.alias("second"), dna.shift_append(c, F.lit("G")).alias("shifted"), dna.reverse_edge_base(c).alias("back"), F.array_join(dna.pmers(c, MINIMIZER), ",").alias("pmers"),
         F.col("m").alias("min"), dna.partition_id(F.col("m"), MINIMIZER, PARTS).alias("pid"),
     )
     return digest(out, "doc_id")
 
 
+#: A length whose keys have two words.
+LONG = 47
+
+
+def _long_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01, S-02, S-04, S-09 on keys of two words, for every k-mer of 47 bases."""
+    rows = K.kmer_occurrences(reads(spark, sf_dir), LONG).select("doc_id", "pos", "i", "kmer", B.pack(F.col("kmer"), LONG).alias("x"))
+    x = F.col("x")
+    rows = rows.withColumn("y", B.reverse_complement(x, LONG))
+    out = rows.select(
+        "doc_id", "pos", "i", B.unpack(x, LONG).alias("unpacked"), B.unpack(F.col("y"), LONG).alias("rc"), B.unpack(B.shift_append(x, F.lit(2), LONG), LONG).alias("shifted"), B.unpack(B.prepend(x, F.lit(1), LONG), LONG).alias("before"),
+        B.not_above(x, F.col("y"), LONG).cast("int").alias("same"), B.words(x, LONG)[0].alias("w0"), B.words(x, LONG)[1].alias("w1"),
+    )
+    return digest(out, "doc_id")
+
+
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-02: the canonical first k-mers of reads, looked up among the vertices of coverage 2 and more."""
-    wanted = reads(spark, sf_dir).select(dna.canonical(F.col("seq").substr(1, KMER)).alias("kmer")).distinct()
-    found = E.lookup(wanted, V.filter_vertices(vertices(spark, sf_dir), 2).select("kmer", "cov"))
+    """J-02: the canonical k-mers of reads, looked up among the vertices of coverage 2 and more."""
+    counted = vertices(spark, sf_dir, packed=True)
+    found = B.unpacked(E.lookup(counted.select("kmer"), V.filter_vertices(counted, 2).select("kmer", "cov")), KMER)
     return found.groupBy(F.substring("kmer", 1, 3).alias("head")).agg(F.count("*").alias("n"), F.count("cov").alias("found"), F.coalesce(F.sum("cov"), F.lit(0)).alias("cov"))
 
 
-def _edges(spark: SparkSession, sf_dir: str, rows=E.edges) -> DataFrame:
-    return digest(rows(graph(spark, sf_dir)).withColumn("head", F.substring("kmer", 1, 3)), "head")
+def _edges(spark: SparkSession, sf_dir: str, k: int = KMER, cutoff: int = 1) -> DataFrame:
+    return _by_head(B.unpacked(E.edges(graph(spark, sf_dir, cutoff, True, k), cutoff, k=k), k, "kmer", "nb"))
+
+
+def _reciprocal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_head(B.unpacked(E.reciprocal_edges(graph(spark, sf_dir, packed=True), k=KMER), KMER, "kmer", "nb"))
 
 
 def _neighbour_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = kept_graph(spark, sf_dir)
-    return digest(E.neighbour_ids(E.edges(g), V.vertex_ids(g, KMER, PARTS)).withColumn("head", F.substring("kmer", 1, 3)), "head")
+    return _by_head(B.unpacked(E.neighbour_ids(E.edges(g, k=KMER), V.vertex_ids(g, KMER, PARTS)), KMER))
 
 
 def _neighbour_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = kept_graph(spark, sf_dir)
-    rows = E.neighbour_array(E.neighbour_ids(E.edges(g), V.vertex_ids(g, KMER, PARTS)))
+    rows = E.neighbour_array(E.neighbour_ids(E.edges(g, k=KMER), V.vertex_ids(g, KMER, PARTS)))
     return digest(rows.select((F.col("id") % 64).alias("bucket"), "id", F.array_join("nbs", ",", "-").alias("nbs")), "bucket")
 
 
@@ -149,10 +171,11 @@ def _superkmer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph_files(spark: SparkSession, sf_dir: str, table: int) -> DataFrame:
     """SNK-03, SNK-04: the raw graph written in subgraph folders and read again."""
-    path, g = scratch(spark, "graph"), kept_graph(spark, sf_dir)
-    write_graph(g, E.edges(g), path, KMER, 16)
+    path, g = scratch(spark, "graph"), kept_graph(spark, sf_dir, packed=False)
+    edge_table = E.edges(g, k=KMER)
+    write_graph(g, edge_table, path, KMER, 16)
     rows = read_graph(spark, path)[table].drop("pid")
-    return _by_head(rows.select(*(g if table == 0 else E.edges(g)).columns))
+    return _by_head(rows.select(*(g, edge_table)[table].columns))
 
 
 def _sorted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +189,7 @@ def _all_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-01 to S-04, S-09, S-10 on every k-mer of every read."""
     x = F.col("kmer")
     rows = K.kmer_occurrences(reads(spark, sf_dir), KMER)
-    out = rows.select("doc_id", "pos", "i", dna.reverse_complement(x).alias("rc"), dna.canonical(x).alias("canon"), dna.is_canonical(x).cast("int").alias("same"), dna.pack(x).alias("packed"), dna.unpack(dna.pack(x), KMER).alias("unpacked"), dna.shift_append(x, F.lit("G")).alias("shifted"), dna.reverse_edge_base(x).alias("back"))
+    out = rows.select("doc_id", "pos", "i", dna.reverse_complement(x).alias("rc"), dna.canonical(x).alias("canon"), dna.is_canonical(x).cast("int").alias("same"), B.pack(x, KMER).alias("packed"), B.unpack(B.pack(x, KMER), KMER).alias("unpacked"), dna.shift_append(x, F.lit("G")).alias("shifted"), dna.reverse_edge_base(x).alias("back"))
     return digest(out, "doc_id")
 
 
@@ -183,7 +206,34 @@ EVEN = 20
 def _pruned_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-01 for an even k, which has edges without a partner."""
     counted = V.classify(V.filter_vertices(V.count_reads(reads(spark, sf_dir), EVEN)))
-    return _by_head(E.prune_unreciprocated(counted))
+    return _by_head(E.prune_unreciprocated(counted, k=EVEN))
+
+
+def _half_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.half_edges(kept_graph(spark, sf_dir), KMER)
+    return rows.select(B.unpack(F.col("z"), KMER).alias("z"), B.base(F.col("code")).alias("base"), "linear")
+
+
+def compacted_graph(spark: SparkSession, sf_dir: str) -> U.UnitigGraph:
+    return U.unitig_graph(kept_graph(spark, sf_dir), KMER)
+
+
+def _unitig_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-04: branches with the junction at the other end, length and unitig."""
+    rows = compacted_graph(spark, sf_dir).branches
+    z, opp = (B.unpack(F.col(c), KMER).alias(c) for c in ("z", "opp_z"))
+    return rows.select(z, B.base(F.col("code")).alias("base"), "cnt", opp, B.base(F.col("opp_code")).alias("opp_base"), "length", "uid", F.col("forward").cast("int").alias("forward"))
+
+
+def _gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(gfa_lines(compacted_graph(spark, sf_dir)), "rank")
+
+
+def _unitigs_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unitigs of reads that leave out no letter: the last ends with the text, and short texts are reads of their own."""
+    whole = reads_from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), anchored=True)
+    g = V.classify(V.filter_vertices(V.count_reads(whole, KMER, packed=True))).persist(StorageLevel.MEMORY_AND_DISK)
+    return P.unitigs(g, KMER)
 
 
 QUERIES = {
@@ -208,29 +258,38 @@ QUERIES = {
     "superkmers": lambda s, d: digest(K.superkmers(reads(s, d), KMER, MINIMIZER, PARTS).drop("seq"), "doc_id"),
     "superkmer_sequences": lambda s, d: digest(K.superkmer_sequences(K.superkmers(reads(s, d), KMER, MINIMIZER, PARTS), KMER), "pid"),
     "edge_counts": lambda s, d: digest(vertices(s, d).withColumn("head", F.substring("kmer", 1, 3)), "head"),
-    "filter_vertices": lambda s, d: V.filter_vertices(vertices(s, d), 20),
+    "filter_vertices": lambda s, d: _by_head(V.filter_vertices(vertices(s, d), 3)),
     "classify": lambda s, d: V.junctions(graph(s, d)),
     "linear_vertices": lambda s, d: digest(V.linears(graph(s, d)).withColumn("head", F.substring("kmer", 1, 3)), "head"),
-    "degree_histogram": lambda s, d: V.degree_histogram(graph(s, d)),
-    "degree_histogram_cutoff2": lambda s, d: V.degree_histogram(graph(s, d, 2)),
-    "graph_statistics": lambda s, d: V.statistics(graph(s, d)),
-    "partition_statistics": lambda s, d: V.partition_statistics(vertices(s, d), KMER, PARTS),
-    "sorted_vertices": lambda s, d: digest(V.sorted_vertices(vertices(s, d), KMER, PARTS), "pid"),
-    "vertex_ids": lambda s, d: digest(V.vertex_ids(graph(s, d), KMER, PARTS), "pid"),
-    "branches": lambda s, d: _edges(s, d, E.branches),
+    "degree_histogram": lambda s, d: V.degree_histogram(graph(s, d, packed=True)),
+    "degree_histogram_cutoff2": lambda s, d: V.degree_histogram(graph(s, d, 2, True)),
+    "graph_statistics": lambda s, d: V.statistics(graph(s, d, packed=True)),
+    "partition_statistics": lambda s, d: V.partition_statistics(vertices(s, d, packed=True), KMER, PARTS),
+    "sorted_vertices": lambda s, d: digest(B.unpacked(V.sorted_vertices(vertices(s, d, packed=True), KMER, PARTS), KMER), "pid"),
+    "vertex_ids": lambda s, d: digest(B.unpacked(V.vertex_ids(graph(s, d, packed=True), KMER, PARTS), KMER), "pid"),
+    "branches": lambda s, d: _by_head(E.branches(graph(s, d))),
     "edges": _edges,
-    "reciprocal_edges": lambda s, d: _edges(s, d, E.reciprocal_edges),
-    "pruned_vertices": lambda s, d: digest(E.prune_unreciprocated(graph(s, d)).withColumn("head", F.substring("kmer", 1, 3)), "head"),
+    "reciprocal_edges": _reciprocal_edges,
+    "pruned_vertices": lambda s, d: _by_head(B.unpacked(E.prune_unreciprocated(graph(s, d, packed=True), k=KMER), KMER)),
     "kmer_lookup": _lookup,
     "neighbour_ids": _neighbour_ids,
     "neighbour_arrays": _neighbour_arrays,
-    "half_edges": lambda s, d: P.half_edges(kept_graph(s, d)),
+    "half_edges": _half_edges,
     "list_rank": lambda s, d: digest(P.ranked(kept_graph(s, d), KMER).withColumn("head", F.substring("end_kmer", 1, 3)), "head"),
     "cycle_vertices": lambda s, d: P.cycle_vertices(kept_graph(s, d), KMER),
     "unitigs": lambda s, d: P.unitigs(kept_graph(s, d), KMER),
     "unitigs_cutoff2": lambda s, d: P.unitigs(kept_graph(s, d, 2), KMER, 2),
     "fasta": lambda s, d: fasta_records(P.unitigs(kept_graph(s, d), KMER)),
     "murmur_classes": _murmur,
+    "kmer_functions_k47": _long_functions,
+    "edge_counts_k47": lambda s, d: _by_head(vertices(s, d, k=LONG)),
+    "edges_k47": lambda s, d: _edges(s, d, LONG),
+    "unitigs_k47": lambda s, d: P.unitigs(kept_graph(s, d, k=LONG), LONG),
+    "unitigs_whole_texts": _unitigs_of_whole_texts,
+    "unitig_records": _unitig_records,
+    "unitig_links": lambda s, d: compacted_graph(s, d).links.select("a", F.col("a_forward").cast("int").alias("a_forward"), "b", F.col("b_forward").cast("int").alias("b_forward"), "overlap"),
+    "unitig_degrees": lambda s, d: U.degrees(compacted_graph(s, d)),
+    "gfa": _gfa,
 }
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -340,12 +399,10 @@ runs as (select doc_id, pos, any_value(seq) as seq, min(i) as start, count(*) as
 sides as (select *, cast(start > 1 as int) as l, cast(start + n_kmers + {KMER} - 1 <= 64 as int) as r from runs),
 pieces as (select *, substr(seq, cast(start - l as bigint), cast(n_kmers + {KMER} - 1 + l + r as bigint)) as piece, l = 1 and r = 0 as reversed from sides),
 supers as (select doc_id, pos, start, n_kmers, pid, case when reversed then false else l = 1 end as has_left, case when reversed then true else r = 1 end as has_right, reversed, case when reversed then {rc('piece')} else piece end as piece from pieces)"""
-_X = f"substr(seq, 1, {KMER})"
 _PACKED = " + ".join(f"(instr('ACGT', substr(x, {i + 1}, 1)) - 1) * {4 ** (KMER - 1 - i)}::bigint" for i in range(KMER))
-_SCALAR = f"""{_READS},
-xs as (select doc_id, pos, seq, {_X} as x from reads),
-ms as (select *, {_min_sql('x', KMER)} as m from xs),
-scal as (select doc_id, pos, {rc('x')} as rc, least(x, {rc('x')}) as canon, cast(x <= {rc('x')} as int) as same, {_PACKED} as packed, x as unpacked, substr(seq, 2, {KMER}) as second, substr(x, 2) || 'G' as shifted,
+_SCALAR = f"""{_OCC},
+ms as (select doc_id, pos, i, kmer as x, case when post is not null then substr(kmer, 2) || post end as second, {_min_sql('kmer', KMER)} as m from occ),
+scal as (select doc_id, pos, i, {rc('x')} as rc, least(x, {rc('x')}) as canon, cast(x <= {rc('x')} as int) as same, {_PACKED} as packed, x as unpacked, second, substr(x, 2) || 'G' as shifted,
          translate(substr(x, 1, 1), 'ACGT', 'TGCA') as back, concat_ws(',', {', '.join(f'substr(x, {i}, {MINIMIZER})' for i in range(1, KMER - MINIMIZER + 2))}) as pmers, m as min, {_pid_sql('m')} as pid from ms)"""
 _HEAD = "substr(kmer, 1, 3) as head"
 _HIST = "select out_deg, in_deg, count(*) as n from graph group by out_deg, in_deg"
@@ -390,6 +447,39 @@ _PRUNED = f"""
 pruned as (select kmer, {', '.join(f"cast(coalesce(sum(cnt) filter (where strand = {int(c[0] == 'i')} and base = '{c[1]}'), 0) as bigint) as {c}" for c in _SLOT_NAMES)} from recip group by kmer)"""
 #: The same tables for k-mers of an even length.
 _RECIP_EVEN = _RECIP.replace(f"substr(seq, i, {KMER})", f"substr(seq, i, {EVEN})").replace(f"i <= {64 - KMER} ", f"i <= {64 - EVEN} ").replace(f"i + {KMER}", f"i + {EVEN}").replace(f"range(1, {66 - KMER})", f"range(1, {66 - EVEN})")
+_SLOTS_OF_LONG = f"kmer, {', '.join(_SLOT_NAMES)}, cov"
+
+
+def _of_length(sql: str, k: int) -> str:
+    """The same tables for k-mers of another length."""
+    for old, new in ((f"substr(seq, i, {KMER})", f"substr(seq, i, {k})"), (f"i <= {64 - KMER} ", f"i <= {64 - k} "), (f"i + {KMER}", f"i + {k}"), (f"range(1, {66 - KMER})", f"range(1, {66 - k})")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _of_whole_texts(sql: str) -> str:
+    """The same tables for reads that leave out no letter, some of which are short."""
+    for old, new in ((_READS, _WHOLE), (f"i <= {64 - KMER} ", f"i <= length(seq) - {KMER} "), (f"range(1, {66 - KMER})", f"range(1, length(seq) - {KMER - 2})")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+_LONG_WORDS = ", ".join(
+    f"{' + '.join(f"(instr('ACGT', substr(x, {at + i + 1}, 1)) - 1) * {4 ** (n - 1 - i)}::bigint" for i in range(n))} as w{j}" for j, (at, n) in enumerate(((0, 31), (31, LONG - 31)))
+)
+_LONG_SCALAR = f"""{_of_length(_OCC, LONG)},
+scal as (select doc_id, pos, i, x as unpacked, {rc('x')} as rc, substr(x, 2) || 'G' as shifted, 'C' || substr(x, 1, {LONG - 1}) as before, cast(x <= {rc('x')} as int) as same, {_LONG_WORDS} from (select doc_id, pos, i, kmer as x from occ))"""
+#: Half-edges with their unitigs, from the sequences of all paths read both ways.
+_HALVES = f"""{_unitig_sql(1)},
+halves as (
+  select substr(seq, 1, {KMER}) as z, substr(seq, {KMER + 1}, 1) as base, {rc(f'right(seq, {KMER})')} as opp_z, translate(substr(seq, length(seq) - {KMER}, 1), 'ACGT', 'TGCA') as opp_base,
+         cast(length(seq) as bigint) as length, cast(seq <= {rc('seq')} as int) as forward, least(seq, {rc('seq')}) as own from (select * from through union all select * from direct)
+), recs as materialized (
+  select h.*, cast(dense_rank() over (order by least(h.z || h.base, h.opp_z || h.opp_base)) - 1 as bigint) as uid, e.cnt
+  from halves h join (select *, case when strand = 0 then kmer else {rc('kmer')} end as at from edges) e on e.at = h.z and e.base = h.base
+), joins as materialized (
+  select a.uid as a, 1 - a.forward as a_forward, b.uid as b, b.forward as b_forward, {KMER} as overlap from recs a join recs b on b.z = {rc('a.z')} where a.z || a.base <= b.z || b.base
+)"""
 _ALL_SLOTS = ", ".join(_SLOT_NAMES)
 ORACLE_SQL = {
     "filtered_reads": _with(_CANDIDATES, _digest_sql("kept", "pos, seq", "doc_id")),
@@ -412,12 +502,12 @@ wanted as (select distinct least(kmer, {rc('kmer')}) as kmer from occ)""",
     "graph_files_vertices": _with(_graph_sql(1), _digest_sql(f"(select *, {_HEAD} from graph)", f"kmer, {_ALL_SLOTS}, cov, out_deg, in_deg, cls", "head")),
     "graph_files_edges": _with(_edges_sql(1), _digest_sql(f"(select *, {_HEAD} from edges)", "kmer, strand, base, nb, nb_strand, cnt", "head")),
     "reads": _with(_READS, _digest_sql("reads", "pos, seq", "doc_id")),
-    "kmer_functions": _with(_SCALAR, _digest_sql("scal", "pos, rc, canon, same, packed, unpacked, second, shifted, back, pmers, min, pid", "doc_id")),
+    "kmer_functions": _with(_SCALAR, _digest_sql("scal", "pos, i, rc, canon, same, packed, unpacked, second, shifted, back, pmers, min, pid", "doc_id")),
     "kmer_occurrences": _with(_OCC, _digest_sql("occ", "pos, i, kmer, post, pre", "doc_id")),
     "superkmers": _with(_PIDS, _digest_sql("supers", "pos, start, n_kmers, pid", "doc_id")),
     "superkmer_sequences": _with(_PIDS, _digest_sql("supers", "doc_id, pos, start, n_kmers, has_left, has_right, reversed, piece", "pid")),
     "edge_counts": _with(_VERT, _digest_sql(f"(select *, {_HEAD} from vert)", f"kmer, {_ALL_SLOTS}, cov", "head")),
-    "filter_vertices": _with(_VERT, "select * from vert where cov >= 20"),
+    "filter_vertices": _with(_VERT, _digest_sql(f"(select *, {_HEAD} from vert where cov >= 3)", f"kmer, {_ALL_SLOTS}, cov", "head")),
     "classify": _with(_graph_sql(1), "select * from graph where cls = 'junction'"),
     "linear_vertices": _with(_rank_sql(1).split(",\nnodes as")[0], _digest_sql(f"(select *, {_HEAD} from lin)", "kmer, post_base, pre_base", "head")),
     "degree_histogram": _with(_graph_sql(1), _HIST),
@@ -438,9 +528,8 @@ pruned as (select kmer, {', '.join(f"cast(coalesce(sum(cnt) filter (where strand
         _digest_sql(f"(select *, {' + '.join(_SLOT_NAMES)} as cov, {_HEAD} from pruned)", f"kmer, {_ALL_SLOTS}, cov", "head"),
     ),
     "kmer_lookup": _with(
-        f"""{_VERT},
-wanted as (select distinct least({_X}, {rc(_X)}) as kmer from reads)""",
-        "select substr(w.kmer, 1, 3) as head, count(*) as n, count(v.cov) as found, cast(coalesce(sum(v.cov), 0) as bigint) as cov from wanted w left join (select * from vert where cov >= 2) v on w.kmer = v.kmer group by 1",
+        _VERT,
+        f"select {_HEAD}, count(*) as n, count(*) filter (where cov >= 2) as found, cast(coalesce(sum(cov) filter (where cov >= 2), 0) as bigint) as cov from vert group by 1",
     ),
     "neighbour_ids": _with(_NB, _digest_sql(f"(select *, {_HEAD} from nbids)", "kmer, strand, base, id, nb_id, nb_strand, cnt", "head")),
     "neighbour_arrays": _with(
@@ -464,4 +553,25 @@ rk as (select least(x, {rc('x')}) as kmer, cast(x > {rc('x')} as bigint) as stra
     "unitigs_cutoff2": _with(_unitig_sql(2), "select * from unitigs"),
     "fasta": _with(_unitig_sql(1), "select '>' || (row_number() over (order by length desc, seq) - 1) || ' length ' || length || ' cvg_1_tip_0' || chr(10) || seq as record from unitigs"),
     "murmur_classes": _with(_graph_sql(1), "select least(out_deg, in_deg) as low, greatest(out_deg, in_deg) as high, count(*) as n, cast(sum(cov) as bigint) as cov from graph group by 1, 2"),
+    "kmer_functions_k47": _with(_LONG_SCALAR, _digest_sql("scal", "pos, i, unpacked, rc, shifted, before, same, w0, w1", "doc_id")),
+    "edge_counts_k47": _with(_of_length(_VERT, LONG), _digest_sql(f"(select *, {_HEAD} from vert)", _SLOTS_OF_LONG, "head")),
+    "edges_k47": _with(_of_length(_edges_sql(1), LONG), _digest_sql(f"(select *, {_HEAD} from edges)", "kmer, strand, base, nb, nb_strand, cnt", "head")),
+    "unitigs_k47": _with(_of_length(_unitig_sql(1), LONG), "select * from unitigs"),
+    "unitigs_whole_texts": _with(_of_whole_texts(_unitig_sql(1)), "select * from unitigs"),
+    "unitig_records": _with(_HALVES, "select z, base, cnt, opp_z, opp_base, length, uid, forward from recs"),
+    "unitig_links": _with(_HALVES, "select * from joins"),
+    "unitig_degrees": _with(
+        f"""{_HALVES},
+sides as (select a as uid, a_forward as at_end from joins union all select b, 1 - b_forward from joins)""",
+        "select r.uid, length, count(s.at_end) filter (where at_end = 0) as at_start, count(s.at_end) filter (where at_end = 1) as at_end from (select distinct uid, length from recs) r left join sides s on r.uid = s.uid group by 1, 2",
+    ),
+    "gfa": _with(
+        f"""{_HALVES},
+lines as (
+  select 0 as rank, 'H' || chr(9) || 'VN:Z:1.0' as line
+  union all select 1, concat_ws(chr(9), 'S', uid, own, 'LN:i:' || length) from (select distinct uid, own, length from recs)
+  union all select 2, concat_ws(chr(9), 'L', a, case a_forward when 1 then '+' else '-' end, b, case b_forward when 1 then '+' else '-' end, overlap || 'M') from joins
+)""",
+        _digest_sql("lines", "line", "rank"),
+    ),
 }
