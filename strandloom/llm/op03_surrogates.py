@@ -8,7 +8,8 @@ on over the whole corpus (neither, if they don't), so a neutral title or none le
 words or more that a text has with a title is replaced in that text where it has none as well.
 
 A surrogate is a pure expression of the entity and a number of attempts. The check collects distinct entities in a
-table, and only those whose surrogate is taken, or is itself an entity of the corpus, try again; documents with such an
+table, and only those whose surrogate is taken, or is itself an entity of the corpus, try again; numbers of a form whose
+space is full are permuted within it; documents with such an
 entity, or with a given name of several titles, get what the table says by a join, all others need none.
 """
 
@@ -36,13 +37,14 @@ ARABIC_WORD = r"[\p{IsArabic}&&\p{L}]{2,}+"
 PATTERNS = {
     "secret": r"(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})",
     "access_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "credential": r"(?<![A-Za-z0-9_-])(?:Bearer [A-Za-z0-9._~+/-]{16,}={0,2}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[opsru]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:.])|(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\p{L}\p{N}:.])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:.])|(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\p{L}\p{N}:.])|(?:(?<![\p{L}\p{N}:.\[(])|(?<=//\[))(?=[0-9A-Fa-f:]{0,40}[0-9])(?:[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:.])",
     "han_name": rf"[\p{{IsHan}}]{{2,4}}(?:{'|'.join((HAN_MALE, *HAN_FEMALE))})",
     "arabic_name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*ARABIC_FEMALE, *ARABIC_MALE))}) {ARABIC_WORD}(?: {ARABIC_WORD})?",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )?{NAME_WORD})*+",
@@ -66,6 +68,12 @@ SCRIPTS = {
 #: Common characters of Chinese names: surnames, then given names of men, of women and of both.
 HAN = ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧", "伟强磊军勇杰涛超刚平辉鹏鑫波斌浩健峰龙建", "芳娜敏静丽艳娟霞秀玲桂英红玉兰梅琳雪莹洁", "华明文晓志云永春金林宁清新国安宇晨乐佳子")
 MOST_ATTEMPTS = 50
+#: Kinds whose surrogates can't grow, as their length is fixed. Where some of one form still collide after so many attempts
+#: (its space may be full), all of that form are settled by a keyed permutation of its space, so that none can collide.
+FIXED_KINDS = ("ssn", "card", "ipv4", "ipv6", "iban", "access_key", "phone0", "phone1", "phone2", "phone3")
+SETTLED_AFTER, PERMUTED = 4, -1
+#: What stays of a credential, and of the others of its kind.
+CREDENTIAL_HEAD = "^(?:Bearer |(?:sk|pk|rk)[-_](?:live_|test_|proj-)?|gh[opsru]_|github_pat_|glpat-|xox[abprs]-|AIza|eyJ)"
 #: Attempts after which a surrogate may be a character longer, so that no space of surrogates is ever used up.
 GROWS_AFTER = 8
 #: Characters that a mailbox's surrogate has at least.
@@ -107,15 +115,45 @@ def _pick(letters: Column, number: Column) -> Column:
     return letters.substr(number % F.length(letters) + 1, F.lit(1))
 
 
+def _among(ch: Column, first: str, last: str) -> Column:
+    return (ch >= first) & (ch <= last)
+
+
+def _letters(ch: Column, small: Column) -> Column:
+    """The class of a character, as all its members; a character of no class is the only one of its own."""
+    return F.when(_among(ch, "0", "9"), F.lit(DIGITS)).when(_among(ch, "a", "z"), small).when(_among(ch, "A", "Z"), F.lit(UPPER)).otherwise(ch)
+
+
+def _characters(value: Column) -> Column:
+    """A string's characters as an array: reading each by its place would take time in the square of the length."""
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
 def _shaped(value: Column, stream: Column, keep: Column, small: Column) -> Column:
     """Digits, small and capital letters replaced by others of their class; the first ``keep`` characters stay."""
+    one = lambda ch, i: _pick(F.when(i < keep, ch).otherwise(_letters(ch, small)), _byte(stream, i + 1))
+    return F.when(F.length(value) > 0, F.array_join(F.transform(_characters(value), one), "")).otherwise(value)
+
 
-    def one(i: Column) -> Column:
-        ch = value.substr(i, F.lit(1))
-        letters = F.when(i <= keep, ch).when(ch.rlike("[0-9]"), F.lit(DIGITS)).when(ch.rlike("[a-z]"), small).when(ch.rlike("[A-Z]"), F.lit(UPPER)).otherwise(ch)
-        return _pick(letters, _byte(stream, i))
+def _permuted(value: Column, keep: Column, key: str, kind: Column, small: Column) -> Column:
+    """A keyed permutation of the strings of a form: no two have the same result.
+
+    Each character moves on within its class by a hash of the results before it, then, from the end, by a hash of the
+    results behind it; either step can be undone, and together every character depends on all others.
+    """
 
-    return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")).otherwise(value)
+    def turn(word: Column, salt: str, from_end: bool) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            at = F.length(word) - i + 1 if from_end else i
+            ch = word.substr(at, F.lit(1))
+            among = F.when(at <= keep, ch).otherwise(_letters(ch, small))
+            move = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(salt), kind, at.cast("string"), done), 256), 1, 12), 16, 10).cast("long")
+            new = _let(among, lambda l: l.substr(((F.instr(l, ch) - 1 + move) % F.length(l) + 1).cast("int"), F.lit(1)))
+            return F.concat(new, done) if from_end else F.concat(done, new)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.lit(""), step)
+
+    return _let(turn(value, "there", False), lambda w: turn(w, "back", True))
 
 
 def _luhn(digits: Column) -> Column:
@@ -187,20 +225,47 @@ def units(entity: Column, kind: Column) -> Column:
     return F.when(kind.isin("name", "arabic_name", "mention"), name_units).when(kind == "email", address).otherwise(alone)
 
 
-def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, h: Column) -> Column:
+def _keep(kind: Column, canon: Column) -> Column:
+    """How many characters of a unit stay as they are."""
+    head = F.length(F.regexp_extract(canon, CREDENTIAL_HEAD, 0))
+    return F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind.startswith("phone"), kind.substr(6, 1).cast("int")).when(kind == "credential", head).otherwise(0)
+
+
+def _form(kind: Column, canon: Column) -> Column:
+    """What a unit of a fixed kind shares with all that its surrogate may be."""
+    rest = canon.substr(_keep(kind, canon) + 1, F.length(canon))
+    shape = F.translate(rest, DIGITS + LOWER + UPPER, "0" * 10 + "a" * 26 + "A" * 26)
+    return F.when(kind == "ipv4", "").otherwise(F.concat(canon.substr(F.lit(1), _keep(kind, canon)), shape))
+
+
+def _settled(kind: Column, canon: Column, key: str) -> Column:
+    """The surrogate of a unit of a fixed kind by a permutation of its form's space."""
+    small = F.when(kind == "ipv6", "abcdef").otherwise(LOWER)
+    octets = F.transform(F.split(canon, r"\."), lambda o: F.format_string("%02x", o.cast("int")))
+    address = _let(F.array_join(octets, ""), lambda x: _permuted(F.translate(x, HEX, LOWER[:16]), F.lit(0), key, kind, F.lit(LOWER[:16])))
+    dotted = _let(address, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.translate(x.substr(i, F.lit(2)), LOWER[:16], HEX), 16, 10)), "."))
+    # a card's check digit stays as far from the right one as it was
+    body = canon.substr(F.lit(1), F.length(canon) - 1)
+    off = _luhn(canon)
+    card = _let(_permuted(body, F.lit(1), key, kind, small), lambda b: F.concat(b, ((20 - _luhn(F.concat(b, F.lit("0"))) + off) % 10).cast("string")))
+    return F.when(kind == "ipv4", dotted).when(kind == "card", card).otherwise(_permuted(canon, _keep(kind, canon), key, kind, small))
+
+
+def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, h: Column, key: str) -> Column:
     """The surrogate of a unit in canonical form from its stream ``h``, a pure expression of its arguments.
 
     Of an address it is the new mailbox before the old domain.
     """
-    extra = F.floor(attempt / GROWS_AFTER).cast("int")
+    extra = F.floor(F.greatest(attempt, F.lit(0)) / GROWS_AFTER).cast("int")
     local, top = F.substring_index(canon, "@", 1), F.substring_index(canon, ".", -1)
     body = F.when(kind == "mailbox", local).when(kind == "domain", canon.substr(F.lit(1), F.length(canon) - F.length(top))).otherwise(canon)
     # mailboxes of a few characters would soon have no other of their length left
     spare = extra + F.when(kind == "mailbox", F.greatest(F.lit(0), F.lit(SHORT_MAILBOX) - F.length(body))).otherwise(0)
-    longer = F.when(kind == "domain", F.concat(F.repeat(F.lit("a"), extra), body)).when(kind.isin("mailbox", "secret"), F.concat(body, F.repeat(F.lit("a"), spare))).otherwise(body)
-    keep = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind.startswith("phone"), kind.substr(6, 1).cast("int")).otherwise(0)
+    longer = F.when(kind == "domain", F.concat(F.repeat(F.lit("a"), extra), body)).when(kind.isin("mailbox", "secret", "credential"), F.concat(body, F.repeat(F.lit("a"), spare))).otherwise(body)
+    keep = _keep(kind, canon)
     hexadecimal = (kind == "ipv6") | ((kind == "secret") & canon.rlike("^[0-9a-f]+$"))
-    shaped = _let(longer, lambda v: _shaped(v, h, keep, F.when(hexadecimal, "abcdef").otherwise(LOWER)))
+    # what does not differ between characters is evaluated once, not for each of them
+    shaped = _let(F.struct(longer.alias("v"), keep.alias("keep"), F.when(hexadecimal, "abcdef").otherwise(LOWER).alias("small")), lambda x: _shaped(x["v"], h, x["keep"], x["small"]))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(h, i) % 254 + 1).cast("string")), ".")
 
     def finished(shaped: Column) -> Column:
@@ -214,7 +279,8 @@ def unit_surrogate(kind: Column, canon: Column, gender: Column, attempt: Column,
         )
 
     return (
-        F.when(kind == "ipv4", octets)
+        F.when(attempt == PERMUTED, _settled(kind, canon, key))
+        .when(kind == "ipv4", octets)
         .when(kind == "han_name", _han(canon, h, gender, extra))
         .when(kind.isin("given", "surname"), _word(canon, h, gender, extra))
         .otherwise(_let(shaped, finished))
@@ -280,7 +346,8 @@ def settled_units(docs: DataFrame, text: str, key: str) -> DataFrame | None:
 
     These are units whose first surrogate would collide, and given names whose titles do not all tell the same. A
     surrogate collides if another unit of its kind has it or a unit of the corpus is it. Of units that want the same
-    one, the first in code-point order has it; the others try again.
+    one, the first in code-point order has it; the others try again. Units of a fixed form that may have no free
+    surrogate left are settled by a permutation: then they are distinct, but may be other units of the corpus.
     """
     found = with_entities(docs.select(F.col(f"`{text}`").alias("text")), F.col("text"), "e", "pattern", "known")
     # outer, as a filter on the entities would be moved below them and evaluate every pattern again
@@ -293,26 +360,31 @@ def settled_units(docs: DataFrame, text: str, key: str) -> DataFrame | None:
     table = checkpointed(unit.select("kind", "canon", F.lit(0).alias("attempt"), gender.alias("gender"), mixed.alias("mixed"), F.lit(None).cast("string").alias("s")))
     real = table.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
     tasks = parts(table.count(), TASK_UNITS)
-    for _ in range(MOST_ATTEMPTS):
+    for turns in range(MOST_ATTEMPTS):
         made = table.repartition(tasks, "kind", "canon").withColumn("h", F.when(F.col("s").isNull(), _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
-        made = made.withColumn("s", F.when(F.col("s").isNull(), unit_surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), F.col("h"))).otherwise(F.col("s"))).drop("h")
+        made = made.withColumn("s", F.when(F.col("s").isNull(), unit_surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), F.col("h"), key)).otherwise(F.col("s"))).drop("h")
         turn = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "canon"))
         seen = made.withColumn("turn", turn).join(real, ["kind", "s"], "left")
-        again = (F.col("turn") > 1) | F.coalesce("real", F.lit(False))
+        again = ((F.col("turn") > 1) | F.coalesce("real", F.lit(False))) & (F.col("attempt") != PERMUTED)
         seen = checkpointed(seen.select("kind", "canon", "attempt", "gender", "mixed", "s", again.alias("again")))
         if not seen.where("again").limit(1).count():
-            changed = seen.where("attempt > 0 or mixed").select("kind", "canon", "attempt", "gender")
+            changed = seen.where("attempt <> 0 or mixed").select("kind", "canon", "attempt", "gender")
             return changed if changed.limit(1).count() else None
+        if turns >= SETTLED_AFTER:  # all of a form at once, as only then they can't meet
+            form = _form(F.col("kind"), F.col("canon"))
+            full = seen.where(F.col("again") & F.col("kind").isin(*FIXED_KINDS)).select(F.col("kind").alias("full"), form.alias("form")).distinct()
+            seen = seen.join(full, (F.col("kind") == F.col("full")) & (form == F.col("form")), "left").withColumn("settles", F.col("full").isNotNull())
+            seen = seen.withColumns({"attempt": F.when(F.col("settles"), PERMUTED).otherwise(F.col("attempt")), "s": F.when(~F.col("settles"), F.col("s")), "again": F.col("again") & ~F.col("settles")})
         table = seen.select("kind", "canon", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), "gender", "mixed", F.when(~F.col("again"), F.col("s")).alias("s"))
     raise ValueError(f"{MOST_ATTEMPTS} attempts did not make all surrogates distinct: a kind's space is too small")
 
 
-def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with its texts' entities replaced, and ``n_replaced``, the number of entities.
 
     ``key`` decides the surrogates; keep it secret. Without one, a key of this process is drawn, so that runs of one
     process agree. All rows and columns are kept; a column of its own called n_replaced is replaced. Null texts stay
-    null (0 replaced), empty ones empty. Rows may repeat or lack a doc_id; an empty table gives an empty result. What
+    null (0 replaced), empty ones empty. Rows may repeat, and no column but the text is read; an empty table gives an empty result. What
     surrogates an entity has depends on the key, and, where two collide or titles differ, on the corpus.
     """
     key = key or drawn_key()
@@ -327,11 +399,12 @@ def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text",
     if changed is not None and changed.count() <= TOLD_UNITS:
         docs = docs.withColumn(told, changed.agg(F.map_from_entries(F.collect_list(entry))).scalar())
         says_all = F.col(told)
-    elif changed is not None:  # documents that hold such a unit get a map of what the table says
-        holds = with_entities(docs.select(F.col(f"`{doc_id}`").alias(ids), t.alias("text")), F.col("text"), e, pattern, known).select(ids, F.explode_outer(e).alias("e")).where("e is not null")
+    elif changed is not None:  # rows that hold such a unit get a map of what the table says
+        docs = checkpointed(docs.withColumn(ids, F.monotonically_increasing_id()))
+        holds = with_entities(docs.select(ids, t.alias("text")), F.col("text"), e, pattern, known).select(ids, F.explode_outer(e).alias("e")).where("e is not null")
         holds = holds.select(ids, F.explode(units(F.col("e"), kind_of(F.col("e")))).alias("u")).select(ids, "u.kind", "u.canon").distinct()
         maps = holds.join(changed, ["kind", "canon"]).groupBy(ids).agg(F.map_from_entries(F.collect_set(entry)).alias(told))
-        docs = docs.join(maps, docs[f"`{doc_id}`"].eqNullSafe(maps[f"`{ids}`"]), "left").drop(ids)
+        docs = docs.join(maps, ids, "left").drop(ids)
         says_all = F.col(told)
 
     def streamed(u: Column) -> Column:
@@ -343,7 +416,7 @@ def with_surrogates(docs: DataFrame, key: str | None = None, text: str = "text",
     out = with_entities(docs, t, e, pattern, known)
     out = out.withColumn(k, F.transform(e, kind_of))
     out = out.withColumn(u, F.zip_with(e, k, lambda e, k: F.transform(units(e, k), streamed)))
-    out = out.withColumn(s, F.transform(u, lambda us: F.transform(us, lambda u: unit_surrogate(u["kind"], u["canon"], u["gender"], u["attempt"], u["h"]))))
+    out = out.withColumn(s, F.transform(u, lambda us: F.transform(us, lambda u: unit_surrogate(u["kind"], u["canon"], u["gender"], u["attempt"], u["h"], key))))
     out = out.withColumn(r, F.transform(F.arrays_zip(F.col(e).alias("e"), F.col(k).alias("k"), F.col(s).alias("s")), lambda z: _whole(z["e"], z["k"], z["s"])))
     some = F.size(e) > 0
     out = out.withColumn(pieces, F.when(some & F.col(pattern).isNotNull(), F.split(t, F.col(pattern), -1)).when(some, F.split(t, ANY, -1)))

@@ -72,3 +72,69 @@ def test_whole_table_stays_distinct(spark):
     pairs = {(a, b) for r in docs.collect() for a, b in zip(pattern.findall(r.text or ""), pattern.findall(new[r.doc_id] or ""), strict=True)}
     old, made = {a for a, _ in pairs}, {b for _, b in pairs}
     assert len(pairs) == len(old) == len(made) > 0 and not old & made
+
+
+def test_full_spaces_are_permuted(spark):
+    """All phone numbers of four free digits, all one-digit addresses, cards of 13 digits that share nine: every one has a surrogate of its own."""
+    phones = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(10_000)]
+    hosts = [f"{a}::{b}" for a in range(10) for b in range(10)]
+    texts = [" , ".join(phones[i : i + 500]) for i in range(0, 10_000, 500)] + [" , ".join(hosts)]
+    rows = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = [r.text for r in o3.with_surrogates(rows, "k").collect()]
+    made = sorted({x for t in got for x in t.split(" , ")})
+    assert made == sorted(phones + hosts)  # a full space: the surrogates are all of it
+    twice = sorted(got)
+    assert twice[::2] == twice[1::2]
+    changed = sum(a != b for t, g in zip(texts, (o for o in got[: len(texts)]), strict=True) for a, b in zip(t.split(" , "), g.split(" , "), strict=True))
+    assert changed > 9_000
+
+
+def test_permutation_keeps_forms_and_check_digits(spark):
+    import random
+
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = [("card", "4" + digits(15)) for _ in range(300)] + [("ssn", digits(9)) for _ in range(50)] + [("ipv4", f"{a}.0.255.{b}") for a in (0, 9) for b in range(256)]
+    rows += [("phone2", "49" + digits(6)) for _ in range(50)] + [("ipv6", f"{a}:{b}::1f") for a in "09af" for b in "19bc"] + [("iban", "DE" + digits(18)) for _ in range(50)]
+    rows = sorted(set(rows))
+    out = spark.createDataFrame(rows, "kind string, canon string").withColumn("s", o3._settled(F.col("kind"), F.col("canon"), "k")).collect()
+    assert len({(r.kind, r.s) for r in out}) == len(rows) and sum(r.s != r.canon for r in out) > 0.9 * len(rows)
+    shape = lambda x: re.sub("[a-z]", "a", re.sub("[0-9]", "0", x))
+    luhn = lambda x: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(x))) % 10
+    for r in out:
+        if r.kind == "ipv4":
+            assert all(0 <= int(o) <= 255 for o in r.s.split(".")) and r.s.count(".") == 3
+        else:
+            assert shape(r.s) == shape(r.canon) and r.s[0] == (r.canon[0] if r.kind in ("card", "phone2", "iban") else r.s[0])
+        assert r.kind != "card" or luhn(r.s) == luhn(r.canon)
+
+
+def test_long_secret_in_time(spark):
+    import time
+
+    docs_of(spark, ["token=abcdefgh"]).transform(lambda d: o3.with_surrogates(d, "k")).collect()
+    began = time.time()
+    texts = ["token=" + "aB3" * 350_000, "mail a@b.com " + "word " * 10]
+    got = replaced(spark, texts)
+    assert time.time() - began < 60 and len(got[0]) == len(texts[0]) and got[0] != texts[0] and re.fullmatch("token=[a-zA-Z0-9]+", got[0])
+
+
+def test_short_addresses_and_credentials(spark):
+    kept = ["std::vector a[::2] x[1::3] add::face 12:30 b::c at 10:20:30", "ask-me-anything-you-want risk-"]
+    texts = ["fe80::1 and ::1 and 2001:db8:: or http://[::1]:80/ .", "sk-abcdefghij0123456789ABCD ghp_0123456789abcdefghijABCDEFGHIJ012345", "Authorization: Bearer abc.def-0123456789_XYZ~", *kept]
+    got = replaced(spark, texts)
+    m = re.fullmatch(r"([a-f]{2}\d\d::\d) and (::\d) and (\d{4}:[a-f]{2}\d::) or http://\[(::\d)\]:80/ \.", got[0])
+    assert m and m[1] != "fe80::1" and m[2] == m[4] != "::1"
+    assert re.fullmatch(r"sk-[a-z]{10}\d{10}[A-Z]{4} ghp_\d{10}[a-z]{10}[A-Z]{10}\d{6}", got[1]) and "abcdefghij" not in got[1]
+    assert got[2].startswith("Authorization: Bearer ") and "0123456789" not in got[2]
+    assert [got[3], got[4]] == kept
+
+
+def test_many_changed_units_over_rows_without_id(spark, monkeypatch):
+    """More units than one map may tell of, in rows that share an id or have none: each row gets its own map."""
+    monkeypatch.setattr(o3, "TOLD_UNITS", 3)
+    texts = [f"Mr Ivan{chr(97 + i // 26)}{chr(97 + i % 26)} Smith and Mrs Ivan{chr(97 + i // 26)}{chr(97 + i % 26)} Stone" for i in range(60)]
+    df = docs_of(spark, texts, ids=[None] * 40 + [1] * 20).drop("doc_id")
+    got = [r.text for r in o3.with_surrogates(df, "k").collect()]
+    names = [re.fullmatch(r"Mr (\w+) (\w+) and Mrs (\w+) (\w+)", t) for t in got]
+    assert all(m and m[1] == m[3] for m in names) and len({m[1] for m in names}) == 60 and len({(m[2], m[4]) for m in names}) == 1
