@@ -234,7 +234,11 @@ WORDS, SIMILARITY = 5, 0.8
 FREQUENT = 65_536
 #: Bits of the filter of rows whose texts are wanted, and nodes that a task remembers to send their keys once.
 FILTER_BITS, REMEMBERED = 1 << 24, 1_000_000
-SHAPES = "row long, doc_id long, node long, fp long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
+SHAPES = "row long, doc_id long, node long, fp long, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long, odd binary"
+#: Nodes that share a prefix shingle above which it counts as frequent, so that prefixes are chosen anew without it.
+CROWDED = 1_000
+#: Parity bits that a set has for each of its members, at least.
+ODD_BITS = 4
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -242,11 +246,8 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS, 9))
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and the rank of each, the most frequent last; at most ``FREQUENT``.
-
-    They are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit.
-    """
+def counted_shingles(docs: DataFrame) -> DataFrame:
+    """``h, n``: shingles that occur more than twice in some batch, with those occurrences added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +255,15 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             found, many = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found[many > 2].view(np.int64)), pa.array(many[many > 2])], ["h", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts.withColumn("level", F.floor(F.log2("n") * 4).cast("int")))
+    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles (of ``h, n``) and the rank of each, the most frequent last; at most ``FREQUENT``.
+
+    They are taken by levels of frequency (four to a doubling), the highest first, as long as whole levels fit.
+    """
+    counts = counts.withColumn("level", F.floor(F.log2("n") * 4).cast("int"))
     total, least = 0, None
     for r in sorted(counts.groupBy("level").agg(F.count("*").alias("many")).collect(), reverse=True):
         total += r.many
@@ -297,20 +305,40 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8).view(np.int64)
 
 
-def shapes(docs: DataFrame, similarity: float) -> DataFrame:
-    """``SHAPES`` of every row: its node, the SimHash and number of its shingles, the prefix (none if its task gave it before) and the parity bits."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT
+def odd_bits(hashes: np.ndarray) -> bytes:
+    """Parity bits as of ``parity``, a power of two of them that is ODD_BITS for each member or more; by the hashes' lowest bits."""
+    size = max(64, 1 << (ODD_BITS * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many parity bits two sets differ, never more than in members: the longer ones are folded to the shorter's length."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def shapes(docs: DataFrame, similarity: float, shingles: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``SHAPES`` of every row: its node, the SimHash and number of its shingles, the prefix and the long parity bits (none if its task
+    gave the node's before) and the short ones. ``shingles`` are the frequent ones, which stand last in the order of prefixes."""
+    frequent = docs.sparkSession.sparkContext.broadcast(shingles)  # at most FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, prints, many, keys, bits = [], [], [], [], []
+            nodes, prints, many, keys, bits, odd = [], [], [], [], [], []
             for t in texts_of(batch.column(2)):
                 nodes.append(node_of(t))
                 hashes = shingle_set(t)
                 prints.append(fingerprint(hashes))
                 many.append(len(hashes))
-                keys.append(prefix(hashes[:0] if nodes[-1] in seen else hashes, *frequent.value, similarity).view(np.int64))
+                told = nodes[-1] in seen
+                keys.append(prefix(hashes[:0] if told else hashes, *frequent.value, similarity).view(np.int64))
+                odd.append(None if told else odd_bits(hashes))
                 if len(seen) < REMEMBERED:
                     seen.add(nodes[-1])
                 bits.append(parity(hashes))
@@ -318,8 +346,8 @@ def shapes(docs: DataFrame, similarity: float) -> DataFrame:
             keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             bits = np.array(bits, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(many, pa.int32()), keys, *(pa.array(bits[:, i].copy()) for i in range(4))],
-                ["row", "doc_id", "node", "fp", "n", "keys", "b0", "b1", "b2", "b3"],
+                [batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(many, pa.int32()), keys, *(pa.array(bits[:, i].copy()) for i in range(4)), pa.array(odd, pa.binary())],
+                ["row", "doc_id", "node", "fp", "n", "keys", "b0", "b1", "b2", "b3", "odd"],
             )
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, SHAPES)
@@ -384,11 +412,26 @@ def filter_of(rows: DataFrame) -> np.ndarray:
     return bits
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` that the long parity bits leave possible: all at ``similarity`` or more, and few below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            good = [differ(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch.column(4), batch.column(5), most.tolist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").cast("long").alias(f"n{p}"), F.col("odd").alias(f"o{p}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "ox", "oy").mapInArrow(run, "x long, y long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose whole shingle sets are at ``similarity`` or more.
 
-    Texts that are in no pair are left out before any is shuffled; the few that the filter lets pass meet no pair.
+    Pairs that the parity bits rule out go first. Texts that are in no pair are left out before any is shuffled; the few
+    that the filter lets pass meet no pair.
     """
+    pairs = checkpointed(likely(pairs, nodes, similarity))
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(nodes.join(asked, "node", "left_semi").select("row")))
 
@@ -423,17 +466,24 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     First the pairs that the Golay keys of the SimHashes propose are verified, on whole sets. Not every pair at 0.8 is
     within their three bits, but similar sets share a shingle of their prefixes, so the lists of nodes by such a
     shingle hold every link: of each list that the links so far leave apart, a few pairs are verified, then all pairs
-    that are still apart. Only pairs that sizes or parity bits rule out are spared.
+    that are still apart. Only pairs that sizes or parity bits rule out are spared. Frequent shingles stand last in the order
+    of prefixes, so that lists are short: those that a batch shows to be, and those that many rows' prefixes turn out to hold.
     """
-    rows = checkpointed(shapes(docs, similarity))
+    counts = checkpointed(counted_shingles(docs))
+    rows = checkpointed(shapes(docs, similarity, frequent_shingles(counts)))
+    # what no batch shows to be frequent is, if many rows' prefixes hold it; these counts are of all rows
+    held = rows.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
+    crowded = checkpointed(held.join(counts.select("h"), "h", "left_anti"))
+    if not crowded.isEmpty():
+        rows = checkpointed(shapes(docs, similarity, frequent_shingles(checkpointed(counts.union(crowded)))))
     columns = ["n", "b0", "b1", "b2", "b3"]
     entries = rows.select(F.explode("keys").alias("key"), "node").repartition("key")
     lists = entries.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
     lists = checkpointed(lists.groupBy("members").agg(F.min("key").alias("list")))
     members = lists.select("list", F.explode("members").alias("node"))
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("fp", *columns)])
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("fp", *columns, "odd")])
     slim = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi"))
-    members = checkpointed(members.join(slim, "node").select("list", "node", *columns))
+    members = checkpointed(members.join(slim.drop("odd"), "node").select("list", "node", *columns))
     tried = checkpointed(fingerprint_pairs(slim, similarity))
     links = verified(tried, docs, slim, similarity)
 

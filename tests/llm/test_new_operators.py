@@ -204,3 +204,51 @@ def test_copies_within_articles_stay(spark):
     pages = [(i, "http://x.com/", f"<nav>{i}</nav><article><div>Get our app</div>{''.join(f'<p>{p}</p>' for p in t)}</article>") for i, t in enumerate(texts)]
     got = {r.page_id: r.text for r in o13.main_texts(spark.createDataFrame(pages, PAGES)).collect()}
     assert got == {i: "\n\n".join(t) for i, t in enumerate(texts)}
+
+
+def test_parity_bits_never_rule_out_a_similar_pair():
+    import numpy as np
+
+    from strandloom.llm import op08_simhash as o8
+
+    rng = np.random.RandomState(3)
+    ruled = 0
+    for _ in range(300):
+        n = int(rng.choice([0, 1, 5, 40, 700, 5000]))
+        a = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.rand(len(a)) > rng.choice([0, 0.05, 0.3])], rng.randint(0, 2**62, rng.randint(0, n // 3 + 2)).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        found = o8.differ(o8.odd_bits(a), o8.odd_bits(b))
+        assert found <= differ and found == o8.differ(o8.odd_bits(b), o8.odd_bits(a))
+        both = len(np.intersect1d(a, b))
+        ruled += found > (len(a) + len(b)) * 0.2 / 1.8 + 1e-6
+        assert both < 0.8 * (len(a) + len(b) - both) or found <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6
+    assert ruled > 50
+
+
+def test_shingle_frequent_over_batches_only(spark, monkeypatch):
+    """A passage stands once in each of many batches, so no batch tells that it is frequent; links are those of brute force all the same."""
+    from strandloom.llm import op08_simhash as o8
+
+    monkeypatch.setattr(o8, "CROWDED", 20)
+    rng = random.Random(9)
+    passage = prose(rng, 12, 9000)
+    texts = [f"{passage} {prose(rng, 40, 9000)}" for _ in range(60)]
+    texts += [t + " and more" for t in texts[::7]]
+    df = docs_of(spark, texts)
+    told = []
+    real = o8.frequent_shingles
+    monkeypatch.setattr(o8, "frequent_shingles", lambda counts: told.append(real(counts)) or told[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.doc_id: r.component_id for r in o8.similar_documents(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want[i] = want[j]
+                break
+    assert got == want and len(told) == 2 and len(told[0][0]) == 0 < len(told[1][0])
