@@ -44,7 +44,7 @@ PATTERNS = {
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:.])|(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\p{L}\p{N}:.])|(?:(?<![\p{L}\p{N}:.\[(])|(?<=//\[))(?=[0-9A-Fa-f:]{0,40}[0-9])(?:[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:.])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:.])|(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\p{L}\p{N}:.])|(?:(?<![\p{L}\p{N}:.\[(])|(?<=//\[))(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]{0,40}[0-9])(?:[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}:.])",
     "han_name": rf"[\p{{IsHan}}]{{2,4}}(?:{'|'.join((HAN_MALE, *HAN_FEMALE))})",
     "arabic_name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*ARABIC_FEMALE, *ARABIC_MALE))}) {ARABIC_WORD}(?: {ARABIC_WORD})?",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *EITHER))})\.? {NAME_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )?{NAME_WORD})*+",
