@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import canonical_pmers, default_p, partition_id, reverse_complement
+from ..functions import packed as B
+from ..functions.dna import default_p, reverse_complement
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -36,6 +37,25 @@ def kmer_occurrences(reads: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _least_with(values: Column, further: int) -> Column:
+    """Each value of an array, or the one so many places on if that is less."""
+    return let(values, lambda v: F.zip_with(v, F.slice(v, further + 1, F.size(v)), lambda a, b: F.least(a, b)))
+
+
+def sliding_minimum(values: Column, width: int) -> Column:
+    """The least of each ``width`` values in a row of an array (of fewer towards its end), in steps that double the width."""
+    span = 1
+    while 2 * span <= width:
+        values, span = _least_with(values, span), 2 * span
+    return _least_with(values, width - span) if span < width else values
+
+
+def canonical_pmers(there: Column, back: Column, length: Column, p: int) -> Column:
+    """For each place of a read, by the words of both strands, the smaller number of the p-mer and its reverse complement (S-05)."""
+    places = F.sequence(F.lit(0), F.greatest(length - p, F.lit(0)))
+    return F.transform(places, lambda i: F.least(B.read_window(there, i, p)[0], B.read_window(back, F.greatest(length - p - i, F.lit(0)), p)[0]))
+
+
 def superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512) -> DataFrame:
     """P-02, W-03: maximal runs of k-mers of one read with the same partition: ``start`` (from 1), ``n_kmers, pid``.
 
@@ -44,11 +64,15 @@ def superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 51
     """
     check_k(k)
     p = p or default_p(k)
+    if not 0 < p <= min(k, B.WORD):
+        raise ValueError(f"p must be between 1 and {min(k, B.WORD)}, not {p}")
     keys = [c for c in reads.columns if c != "seq"]
-    kmers = F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1)))  # in range wherever filters are moved to
-    held = reads.where(F.length("seq") >= k)
-    smallest = let(canonical_pmers(F.col("seq"), p), lambda pm: F.transform(kmers, lambda i: F.array_min(F.slice(pm, i, k - p + 1))))
-    held = held.withColumn("pids", F.transform(smallest, lambda m: partition_id(m, p, n_parts)))
+    length = F.length("seq")
+    kmers = F.sequence(F.lit(1), F.greatest(length - k + 1, F.lit(1)))  # in range wherever filters are moved to
+    held = reads.where(length >= k)
+    words = F.struct(B.read_words(B.digits(F.col("seq")), length).alias("there"), B.read_words(F.translate(F.reverse("seq"), "ACGT", "3210"), length).alias("back"))
+    smallest = let(words, lambda w: sliding_minimum(canonical_pmers(w["there"], w["back"], length, p), k - p + 1))
+    held = held.withColumn("pids", F.transform(F.slice(smallest, 1, F.greatest(length - k + 1, F.lit(1))), lambda m: B.partition_id(m, p, n_parts)))
     differs = lambda pids: F.filter(kmers, lambda i: (i == 1) | (F.element_at(pids, i) != F.element_at(pids, F.greatest(i - 1, F.lit(1)))))
     held = held.withColumn("starts", let(F.col("pids"), differs))
     runs = held.select(*keys, "seq", "pids", "starts", F.posexplode("starts").alias("at", "start"))
@@ -90,3 +114,52 @@ def piece_occurrences(pieces: DataFrame, k: int) -> DataFrame:
     at = held.select("pid", "piece", "left", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     i, piece = F.col("i") + F.col("left"), F.col("piece")
     return at.select("pid", piece.substr(i, F.lit(k)).alias("kmer"), F.when(i <= F.length(piece) - k, piece.substr(i + k, F.lit(1))).alias("post"), F.when(i > 1, piece.substr(i - 1, F.lit(1))).alias("pre"))
+
+
+#: Flags in the first byte of a packed piece; its low five bits say how many bases the last word has.
+HAS_LEFT, HAS_RIGHT, TURNED = 128, 64, 32
+
+
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    """SNK-02: ``pid, data``: a piece (not empty) as bytes, one of flags, then two bits a base in words of 31 bases.
+
+    Words take eight bytes, the last one as many as its bases ask for.
+    """
+    n, d = F.length("piece"), B.digits(F.col("piece"))
+    flags = sum((F.when(F.col(c), bit).otherwise(0) for c, bit in (("has_right", HAS_RIGHT), ("reversed", TURNED))), F.when(F.col("has_left"), HAS_LEFT).otherwise(0))
+    head = F.lpad(F.hex(flags + (n - 1) % B.WORD + 1), 2, "0")
+    word = lambda i: F.lpad(F.conv(d.substr(i, F.lit(B.WORD)), 4, 16), (2 * F.ceil(F.least(n - i + 1, F.lit(B.WORD)) / 4)).cast("int"), F.lit("0"))
+    return pieces.where(n > 0).select("pid", F.unhex(F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(B.WORD)), word), ""))).alias("data"))
+
+
+def _opened(packed: DataFrame) -> DataFrame:
+    """``pid, flags, words, length`` of packed pieces: words as of a read, with zeros behind the last base."""
+    head = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int")
+    rows = packed.select("pid", "data", head.alias("flags"), F.ceil((F.octet_length("data") - 1) / 8).cast("int").alias("n"))
+    last = F.col("flags").bitwiseAND(F.lit(31))
+    number = lambda i: F.conv(F.hex(F.substring(F.col("data"), i * 8 + 2, F.lit(8))), 16, 10).cast("bigint")
+    filled = lambda i: F.when(i == F.col("n"), F.lit(0).cast("bigint")).when(i < F.col("n") - 1, number(i)).otherwise(F.call_function("shiftleft", number(i), (F.lit(B.WORD) - last) * 2))
+    words = F.transform(F.sequence(F.lit(0), F.col("n")), filled)
+    return rows.select("pid", "flags", words.alias("words"), ((F.col("n") - 1) * B.WORD + last).alias("length"))
+
+
+def unpacked_pieces(packed: DataFrame) -> DataFrame:
+    """The pieces again: ``pid, has_left, has_right, reversed, piece``."""
+    text = F.array_join(F.transform("words", lambda w: B.unpack(w, B.WORD)), "")
+    flag = lambda bit: F.col("flags").bitwiseAND(F.lit(bit)) != 0
+    return _opened(packed).select("pid", flag(HAS_LEFT).alias("has_left"), flag(HAS_RIGHT).alias("has_right"), flag(TURNED).alias("reversed"), F.substring(text, F.lit(1), F.col("length")).alias("piece"))
+
+
+def packed_piece_occurrences(packed: DataFrame, k: int) -> DataFrame:
+    """What piece_occurrences finds, by shifts on the packed bytes: ``pid, x, y`` (keys of the k-mer and its reverse complement)``, post, pre`` (0 to 3)."""
+    flag = lambda bit: (F.col("flags").bitwiseAND(F.lit(bit)) != 0).cast("int")
+    held = _opened(packed).select("pid", "words", "length", flag(HAS_LEFT).alias("left"), flag(HAS_RIGHT).alias("right"), flag(TURNED).alias("turned"))
+    held = held.withColumn("n", F.col("length") - k + 1 - F.col("left") - F.col("right")).where("n > 0")
+    at = held.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1)).alias("i")).withColumn("i", F.col("i") + F.col("left"))
+    i, words = F.col("i"), F.col("words")
+    post = F.when(i + k < F.col("length"), B.read_window(words, i + k, 1)[0])
+    pre = F.when(i > 0, B.read_window(words, F.greatest(i - 1, F.lit(0)), 1)[0])
+    at = at.select("pid", "turned", B.key_of(B.read_window(words, i, k)).alias("a"), post.alias("after"), pre.alias("before")).withColumn("b", B.reverse_complement(F.col("a"), k))
+    # in the read's own direction, so that k-mers which are their own reverse complement keep their sides
+    own = F.col("turned") == 0
+    return at.select("pid", F.when(own, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(own, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(own, F.col("after")).otherwise(3 - F.col("before")).alias("post"), F.when(own, F.col("before")).otherwise(3 - F.col("after")).alias("pre"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packed as B
 from ..functions.dna import BASES, complement, default_p, is_canonical, reverse_complement
-from .kmers import check_k, kmer_occurrences, piece_occurrences, superkmer_sequences, superkmers
+from .kmers import check_k, kmer_occurrences, packed_piece_occurrences, packed_pieces, piece_occurrences, superkmer_sequences, superkmers, unpacked_pieces
 from .numbering import numbered
 
 OUT, IN = [f"o{b}" for b in BASES], [f"i{b}" for b in BASES]
@@ -58,27 +58,36 @@ def count_reads(reads: DataFrame, k: int, mode: str = "lex", packed: bool = Fals
     x, y = B.read_window(there, i, k), B.read_window(F.col("back"), length - i - k, k)
     post = F.when(i + k < length, B.read_window(there, i + k, 1)[0])
     pre = F.when(i > 0, B.read_window(there, F.greatest(i - 1, F.lit(0)), 1)[0])
-    at = at.select(B.key_of(x).alias("x"), B.key_of(y).alias("y"), post.alias("post"), pre.alias("pre"))
+    counted = count_keys(at.select(B.key_of(x).alias("x"), B.key_of(y).alias("y"), post.alias("post"), pre.alias("pre")), k)
+    return counted if packed else B.unpacked(counted, k)
+
+
+def count_keys(occurrences: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """edge_counts of keys: ``x, y`` (a k-mer and its reverse complement)``, post, pre`` (0 to 3, or null)."""
     same = B.not_above(F.col("x"), F.col("y"), k)
-    sided = at.select(F.when(same, F.col("x")).otherwise(F.col("y")).alias("kmer"), F.when(same, F.col("post")).otherwise(3 - F.col("pre")).alias("out"), F.when(same, 3 - F.col("pre")).otherwise(F.col("post")).alias("in"))
+    sided = occurrences.select(*by, F.when(same, F.col("x")).otherwise(F.col("y")).alias("kmer"), F.when(same, F.col("post")).otherwise(3 - F.col("pre")).alias("out"), F.when(same, 3 - F.col("pre")).otherwise(F.col("post")).alias("in"))
     counts = [F.count(F.when(F.col(side) == code, 1)).alias(f"{side[0]}{b}") for side in ("out", "in") for code, b in enumerate(BASES)]
-    counted = sided.groupBy("kmer").agg(*counts).withColumn("cov", coverage())
-    return counted if packed else B.unpacked(counted, k)
+    return sided.groupBy(*by, "kmer").agg(*counts).withColumn("cov", coverage())
 
 
-def count_superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512, mode: str = "lex") -> DataFrame:
+def count_superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512, mode: str = "lex", packed: bool = False) -> DataFrame:
     """A-01 by way of super-k-mers (P-02, P-03): ``pid`` and the columns of edge_counts.
 
-    What is shuffled is a piece of a read for each run of k-mers of one partition, not a row for each k-mer; all
-    occurrences of a k-mer meet in its partition, and are counted there without another shuffle.
+    What is shuffled is a piece of a read for each run of k-mers of one partition, at two bits a base, not a row for
+    each k-mer; all occurrences of a k-mer meet in its partition, and are counted there without another shuffle.
     """
     pieces = superkmer_sequences(superkmers(reads.select("seq"), k, p, n_parts), k)
-    return count_pieces(pieces.select("pid", "has_left", "has_right", "reversed", "piece"), k, mode)
+    return count_pieces(packed_pieces(pieces), k, mode, packed)
 
 
-def count_pieces(pieces: DataFrame, k: int, mode: str = "lex") -> DataFrame:
-    """The same from pieces that are at hand, such as those of files."""
-    return edge_counts(piece_occurrences(pieces.repartition("pid"), k), mode, ("pid",))
+def count_pieces(pieces: DataFrame, k: int, mode: str = "lex", packed: bool = False) -> DataFrame:
+    """The same from packed pieces (``pid, data``) that are at hand, such as those of files."""
+    dealt = pieces.select("pid", "data").repartition("pid")
+    if mode != "lex":
+        counted = edge_counts(piece_occurrences(unpacked_pieces(dealt), k), mode, ("pid",))
+        return B.packed(counted, k) if packed else counted
+    counted = count_keys(packed_piece_occurrences(dealt, k), k, ("pid",))
+    return counted if packed else B.unpacked(counted, k)
 
 
 def filter_vertices(vertices: DataFrame, cutoff: int = 1) -> DataFrame:

@@ -35,28 +35,38 @@ def read_lines(spark: SparkSession, path: str, read_length: int | None = None, a
 
 
 def _records(spark: SparkSession, path: str, mark: str) -> DataFrame:
-    """One row for each record, split at the mark at a line's start; records may span splits of a file."""
+    """SRC-03: ``lines`` of each record, split at the mark at a line's start; records may span splits of a file.
+
+    Lines may end with a carriage return. A file's first record has its mark before it, the others' was the separator.
+    """
     rows = spark.read.option("lineSep", f"\n{mark}").text(path)
-    return rows.select(F.regexp_replace(F.col("value"), f"^{mark}", "").alias("record")).where("record <> ''")
+    record = F.regexp_replace(F.regexp_replace(F.col("value"), f"^{mark}", ""), r"[\r\n]+$", "")
+    return rows.select(record.alias("record")).where("record <> ''").select(F.split("record", "\r*\n").alias("lines"))
 
 
 def read_fasta(spark: SparkSession, path: str, read_length: int | None = None, ambiguous: str = "drop") -> DataFrame:
     """SRC-02: ``name, seq``; a record's sequence lines are joined."""
-    lines = F.split("record", "\r?\n")
+    lines = F.col("lines")
     rows = _records(spark, path, ">").select(F.element_at(lines, 1).alias("name"), F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 1), "").alias("seq"))
     return filter_reads(rows, read_length, ambiguous)
 
 
 def read_fastq(spark: SparkSession, path: str, read_length: int | None = None, ambiguous: str = "drop") -> DataFrame:
-    """SRC-02: ``name, seq`` of four-line records.
+    """SRC-02: ``name, seq`` of records of four lines or of several lines of sequence and of quality.
 
-    A quality line may begin with ``@``; such a piece of a record has no ``+`` line of its own after its second line
-    and is left out.
+    A quality line may begin with ``@``, and what follows is then a piece of its own. It is told from a record by what
+    a record has: a line or more of letters alone, then one that begins with ``+``, then no more characters of quality
+    than of sequence. (Of records of four lines such a piece is a single line. Of longer ones a quality would have to
+    hold a line that begins with ``@``, one of letters alone and one that begins with ``+``, in that order.)
     """
-    lines = F.split("record", "\r?\n")
-    whole = (F.size(lines) >= 3) & F.element_at(lines, F.least(F.lit(3), F.size(lines))).startswith("+")
-    rows = _records(spark, path, "@").where(whole).select(F.element_at(lines, 1).alias("name"), F.element_at(lines, 2).alias("seq"))
-    return filter_reads(rows, read_length, ambiguous)
+    rows = _records(spark, path, "@")
+    places = F.transform("lines", lambda line, i: F.when((i > 1) & line.startswith("+"), i))
+    rows = rows.withColumn("plus", F.array_min(places)).where("plus is not null")
+    bases = F.slice("lines", F.lit(2), F.col("plus") - 1)
+    quality = F.slice("lines", F.col("plus") + 2, F.size("lines"))
+    rows = rows.select(F.element_at("lines", 1).alias("name"), bases.alias("bases"), F.array_join(bases, "").alias("seq"), F.array_join(quality, "").alias("quality"))
+    whole = F.forall("bases", lambda line: line.rlike("^[A-Za-z.*-]*$")) & (F.length("quality") <= F.length("seq"))
+    return filter_reads(rows.where(whole).select("name", "seq"), read_length, ambiguous)
 
 
 def spread(df: DataFrame) -> DataFrame:

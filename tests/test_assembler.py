@@ -113,6 +113,41 @@ def test_read_filter_and_formats(spark, tmp_path):
     assert {(r.name, r.seq) for r in R.read_fastq(spark, str(tmp_path / "x.fq")).collect()} == {("a", "ACGTACGT"), ("b", "TTTTTTTT")}
 
 
+def test_formats_with_carriage_returns_long_records_and_small_splits(spark, tmp_path):
+    """Records of several lines, of any line end, across splits of a kilobyte, in files without a last line end."""
+    rng = random.Random(12)
+    reads = {f"r{i} x": genome(rng.choice([5, 60, 61, 400]), 100 + i) for i in range(120)}
+    wrap = lambda s, n: [s[i : i + n] for i in range(0, len(s), n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for end in ("\n", "\r\n"):
+            for last in ("", end, end * 2):
+                fasta = end.join(line for name, s in reads.items() for line in (f">{name}", *wrap(s, 60)))
+                (tmp_path / "x.fa").write_bytes((fasta + last).encode())
+                got = R.read_fasta(spark, str(tmp_path / "x.fa"))
+                assert {(r.name, r.seq) for r in got.collect()} == set(reads.items()) and got.count() == len(reads) and got.rdd.getNumPartitions() > 5
+                for width in (60, 10_000):
+                    fastq = []
+                    for i, (name, s) in enumerate(reads.items()):
+                        q = [("@" if (i + j) % 3 else "+") + "".join(rng.choices("IJ#+@5", k=len(line) - 1)) for j, line in enumerate(wrap(s, width))]
+                        fastq += [f"@{name}", *wrap(s, width), "+" if i % 2 else f"+{name}", *q]
+                    (tmp_path / "x.fq").write_bytes((end.join(fastq) + last).encode())
+                    got = R.read_fastq(spark, str(tmp_path / "x.fq"))
+                    assert {(r.name, r.seq) for r in got.collect()} == set(reads.items()) and got.count() == len(reads)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_sliding_minimum(spark):
+    rng = random.Random(1)
+    for width in (1, 2, 3, 7, 8, 11):
+        values = [rng.randrange(100) for _ in range(40)]
+        got = spark.range(1).select(K.sliding_minimum(F.array(*map(F.lit, values)), width).alias("m")).first().m
+        assert got == [min(values[i : i + width]) for i in range(40)]
+
+
 def test_superkmers_cover_every_kmer_once(spark):
     reads = frame(spark, CASES["random"])
     runs = K.superkmers(reads, 9, 4, 7)
@@ -173,6 +208,8 @@ def test_sinks_and_command_line(spark, tmp_path):
     assert all(0 < s.count() < v.count() and s.select("pid").distinct().count() == 1 for s in some)
     pieces = K.superkmer_sequences(K.superkmers(frame(spark, reads), 9, 4, 3), 9)
     S.write_superkmers(pieces, str(tmp_path / "sk"))
+    again = K.unpacked_pieces(S.read_superkmers(spark, str(tmp_path / "sk")))
+    assert rows(again, again) == rows(pieces, again)
     counted = V.count_pieces(S.read_superkmers(spark, str(tmp_path / "sk")), 9).drop("pid")
     assert rows(counted, counted) == rows(V.edge_counts(K.kmer_occurrences(frame(spark, reads).select("seq"), 9)), counted)
     assert {r.pid for r in S.read_superkmers(spark, str(tmp_path / "sk"), 1).collect()} == {1}
