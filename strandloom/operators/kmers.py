@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packed as B
 from ..functions.dna import default_p, reverse_complement
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What ``use`` makes of a value that is evaluated once, also where ``use`` has it in a lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def check_k(k: int, read_length: int | None = None) -> None:
     if k < 2 or (read_length is not None and k > read_length):
         raise ValueError(f"k must be between 2 and the read length, not {k}")
@@ -37,47 +34,82 @@ def kmer_occurrences(reads: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _least_with(values: Column, further: int) -> Column:
-    """Each value of an array, or the one so many places on if that is less."""
-    return let(values, lambda v: F.zip_with(v, F.slice(v, further + 1, F.size(v)), lambda a, b: F.least(a, b)))
+#: Bases that a task's kernel works on at once; a longer read is a batch of its own.
+KERNEL_BASES = 1 << 20
+CODES = np.zeros(256, np.int64)
+CODES[[ord(b) for b in B.BASES]] = range(4)
 
 
-def sliding_minimum(values: Column, width: int) -> Column:
-    """The least of each ``width`` values in a row of an array (of fewer towards its end), in steps that double the width."""
-    span = 1
-    while 2 * span <= width:
-        values, span = _least_with(values, span), 2 * span
-    return _least_with(values, width - span) if span < width else values
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row (of fewer at the end), by minima over spans that double."""
+    least, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        further = least.copy()
+        np.minimum(least[: len(least) - step], least[step:], out=further[: max(0, len(least) - step)])
+        least, span = further, span + step
+    return least
 
 
-def canonical_pmers(there: Column, back: Column, length: Column, p: int) -> Column:
-    """For each place of a read, by the words of both strands, the smaller number of the p-mer and its reverse complement (S-05)."""
-    places = F.sequence(F.lit(0), F.greatest(length - p, F.lit(0)))
-    return F.transform(places, lambda i: F.least(B.read_window(there, i, p)[0], B.read_window(back, F.greatest(length - p - i, F.lit(0)), p)[0]))
+def runs_of(data: np.ndarray, ends: np.ndarray, k: int, p: int, n_parts: int) -> tuple[np.ndarray, ...]:
+    """Maximal runs of k-mers of one partition in reads that lie one after the other: ``read, start`` (from 0)``, n_kmers, pid``.
+
+    Numbers of p-mers of both strands are built base by base for all places at once; a read's last p - 1 places have
+    numbers that reach into the next one, which no k-mer of the read looks at.
+    """
+    codes = CODES[data]
+    n = len(codes) - p + 1
+    there, back = np.zeros(max(n, 0), np.int64), np.zeros(max(n, 0), np.int64)
+    for j in range(p):
+        there = there << 2 | codes[j : j + n]
+        back |= 3 - codes[j : j + n] << 2 * j
+    least = sliding_minimum(np.minimum(there, back), k - p + 1)
+    begins = np.concatenate([[0], ends[:-1]])
+    kmers = np.maximum(ends - begins - k + 1, 0)  # of each read
+    read = np.repeat(np.arange(len(ends)), kmers)
+    first = np.cumsum(kmers) - kmers
+    start = np.arange(len(read)) - first[read]
+    smallest = least[begins[read] + start]
+    # partitions of the places where the minimizer changes; those between have the same
+    new = np.ones(len(read), bool)
+    new[1:] = (smallest[1:] != smallest[:-1]) | (start[1:] == 0)
+    at = np.flatnonzero(new)
+    pid = np.zeros(len(at), np.int64)
+    for j in range(p):  # the first base is the lowest digit in base 3
+        pid = (pid * 3 + (smallest[at] >> 2 * j & 3)) % n_parts
+    parts = np.ones(len(at), bool)
+    parts[1:] = (pid[1:] != pid[:-1]) | (start[at[1:]] == 0)
+    at, pid = at[parts], pid[parts]
+    return read[at], start[at], np.diff(np.append(at, len(read))), pid
 
 
 def superkmers(reads: DataFrame, k: int, p: int | None = None, n_parts: int = 512) -> DataFrame:
     """P-02, W-03: maximal runs of k-mers of one read with the same partition: ``start`` (from 1), ``n_kmers, pid``.
 
     Partitions come from the smallest p-mer on both strands. A run begins where a place's partition differs from the
-    one before it, which is found within the read's row.
+    one before it. Runs of a batch of reads are found together, on the bytes of their Arrow buffer.
     """
     check_k(k)
     p = p or default_p(k)
     if not 0 < p <= min(k, B.WORD):
         raise ValueError(f"p must be between 1 and {min(k, B.WORD)}, not {p}")
     keys = [c for c in reads.columns if c != "seq"]
-    length = F.length("seq")
-    kmers = F.sequence(F.lit(1), F.greatest(length - k + 1, F.lit(1)))  # in range wherever filters are moved to
-    held = reads.where(length >= k)
-    words = F.struct(B.read_words(B.digits(F.col("seq")), length).alias("there"), B.read_words(F.translate(F.reverse("seq"), "ACGT", "3210"), length).alias("back"))
-    smallest = let(words, lambda w: sliding_minimum(canonical_pmers(w["there"], w["back"], length, p), k - p + 1))
-    held = held.withColumn("pids", F.transform(F.slice(smallest, 1, F.greatest(length - k + 1, F.lit(1))), lambda m: B.partition_id(m, p, n_parts)))
-    differs = lambda pids: F.filter(kmers, lambda i: (i == 1) | (F.element_at(pids, i) != F.element_at(pids, F.greatest(i - 1, F.lit(1)))))
-    held = held.withColumn("starts", let(F.col("pids"), differs))
-    runs = held.select(*keys, "seq", "pids", "starts", F.posexplode("starts").alias("at", "start"))
-    end = F.when(F.col("at") + 1 < F.size("starts"), F.element_at("starts", F.least(F.col("at") + 2, F.size("starts")))).otherwise(F.size("pids") + 1)
-    return runs.select(*keys, "seq", F.col("start").cast("bigint").alias("start"), (end - F.col("start")).cast("bigint").alias("n_kmers"), F.element_at("pids", F.col("start")).cast("bigint").alias("pid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seq = batch.column(len(keys)).cast(pa.large_binary())
+            bounds = np.frombuffer(seq.buffers()[1], np.int64, len(seq) + 1, 8 * seq.offset)
+            data, lo = np.frombuffer(seq.buffers()[2] or b"", np.uint8), 0
+            while lo < len(seq):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + KERNEL_BASES, "right")) - 1)
+                read, start, n_kmers, pid = runs_of(data[bounds[lo] : bounds[hi]], bounds[lo + 1 : hi + 1] - bounds[lo], k, p, n_parts)
+                some = batch.slice(lo, hi - lo).take(pa.array(read))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(start + 1), pa.array(n_kmers), pa.array(pid)], [*some.schema.names, "start", "n_kmers", "pid"])
+                lo = hi
+
+    held = reads.where(F.length("seq") >= k).select(*keys, "seq")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    return held.mapInArrow(run, f"{schema}, start long, n_kmers long, pid long")
 
 
 def superkmer_sequences(runs: DataFrame, k: int) -> DataFrame:

@@ -140,12 +140,32 @@ def test_formats_with_carriage_returns_long_records_and_small_splits(spark, tmp_
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_sliding_minimum(spark):
+def test_sliding_minimum():
+    import numpy as np
+
     rng = random.Random(1)
-    for width in (1, 2, 3, 7, 8, 11):
+    for width in (1, 2, 3, 7, 8, 11, 60):
         values = [rng.randrange(100) for _ in range(40)]
-        got = spark.range(1).select(K.sliding_minimum(F.array(*map(F.lit, values)), width).alias("m")).first().m
-        assert got == [min(values[i : i + width]) for i in range(40)]
+        assert K.sliding_minimum(np.array(values), width).tolist() == [min(values[i : i + width]) for i in range(40)]
+
+
+@pytest.mark.parametrize("k,p", [(9, 4), (5, 5), (21, 11), (40, 31), (3, 1)])
+def test_runs_by_the_expressions_of_each_kmer(spark, monkeypatch, k, p):
+    """Partitions of all k-mers one by one, in reads of many lengths, some too short, some alone in a batch of the kernel."""
+    monkeypatch.setattr(K, "KERNEL_BASES", 100)
+    rng = random.Random(k)
+    reads = [genome(rng.choice([0, 1, k - 1, k, k + 1, 50, 300]), i) for i in range(40)] + ["A" * 70, "ACGT" * 20]
+    df = frame(spark, reads)
+    got = sorted((r.rid, r.start, r.n_kmers, r.pid) for r in K.superkmers(df, k, p, 17).collect())
+    each = K.kmer_occurrences(df, k).select("rid", "i", dna.partition_id(dna.minimizer(F.col("kmer"), p), p, 17).alias("pid")).collect()
+    want, before = [], None
+    for rid, i, pid in sorted(map(tuple, each)):
+        if before and before == (rid, i - 1, pid):
+            want[-1][2] += 1
+        else:
+            want.append([rid, i, 1, pid])
+        before = (rid, i, pid)
+    assert got == [tuple(w) for w in want]
 
 
 def test_superkmers_cover_every_kmer_once(spark):
