@@ -5,7 +5,7 @@ Slots ``oA..oT`` count the bases that follow the canonical k-mer, ``iA..iT`` tho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import packed as B
@@ -179,3 +179,15 @@ def degree_statistics(vertices: DataFrame, cutoff: int = 1) -> DataFrame:
     rows = classify(filter_vertices(vertices, cutoff), cutoff)
     low, high = F.least("out_deg", "in_deg"), F.greatest("out_deg", "in_deg")
     return rows.groupBy(low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"), F.sum("cov").alias("cov"))
+
+
+def observed(vertices: DataFrame, name: str = "graph") -> tuple[DataFrame, Observation]:
+    """A-04: ``vertices`` and what is counted of them while whatever is done with them runs, without a pass of its own.
+
+    Of the observation, ``get`` has ``vertices, edge_total`` (the sum of the counters)``, edge_slots`` (counters above 0)
+    and ``largest_counter`` as soon as one action over the rows has ended.
+    """
+    watch = Observation(name)
+    slots = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in SLOTS[1:]), F.when(F.col(SLOTS[0]) > 0, 1).otherwise(0))
+    metrics = (F.count(F.lit(1)).alias("vertices"), F.coalesce(F.sum(coverage()), F.lit(0)).alias("edge_total"), F.coalesce(F.sum(slots), F.lit(0)).alias("edge_slots"), F.coalesce(F.max(F.greatest(*SLOTS)), F.lit(0)).alias("largest_counter"))
+    return vertices.observe(watch, *metrics), watch

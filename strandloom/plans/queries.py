@@ -21,6 +21,7 @@ from ..operators import unitig_graph as U
 from ..operators import vertices as V
 from ..session import checkpoint_folder
 from ..sources.reads import LETTERS, filter_reads, read_fasta, read_fastq, read_lines, reads_from_text, spread
+from ..sources import stored as T
 from ..sources.sinks import fasta_records, gfa_lines, read_graph, read_superkmers, write_graph, write_superkmers
 
 KMER, MINIMIZER, PARTS = 21, 11, 512
@@ -229,6 +230,31 @@ def _gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(gfa_lines(compacted_graph(spark, sf_dir)), "rank")
 
 
+def _stored_reciprocal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-01 and J-03 over bucketed tables: reciprocal edges with their neighbours' ids."""
+    g, name = kept_graph(spark, sf_dir), f"graph_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    T.store_graph(g, V.vertex_ids(g, KMER, PARTS), name, scratch(spark, "buckets"), KMER, buckets)
+    kept = T.stored_vertex_ids(T.stored_reciprocal_edges(spark, name), spark, name)
+    return _by_head(B.unpacked(kept.select("kmer", "strand", "base", "nb", "nb_strand", "cnt", "nb_id"), KMER, "kmer", "nb"))
+
+
+def _stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-02 over a stored graph: the k-mers that begin with AC, looked up among the vertices of coverage 2 and more."""
+    counted, path = vertices(spark, sf_dir, packed=True).persist(StorageLevel.MEMORY_AND_DISK), scratch(spark, "vertices")
+    T.write_vertices(V.filter_vertices(counted, 2), path, KMER, PARTS, MINIMIZER)
+    wanted = B.unpacked(counted.select("kmer"), KMER).where("kmer like 'AC%'")
+    return _by_head(B.unpacked(T.lookup_stored(wanted, path, KMER, PARTS, MINIMIZER).select("kmer", "cov"), KMER))
+
+
+def _observed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-04: what is counted of the graph while it is written."""
+    watched, watch = V.observed(graph(spark, sf_dir, packed=True))
+    watched.write.parquet(scratch(spark, "observed"))
+    row = watch.get
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row))
+
+
 def _unitigs_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unitigs of reads that leave out no letter: the last ends with the text, and short texts are reads of their own."""
     whole = reads_from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), anchored=True)
@@ -290,6 +316,9 @@ QUERIES = {
     "unitig_links": lambda s, d: compacted_graph(s, d).links.select("a", F.col("a_forward").cast("int").alias("a_forward"), "b", F.col("b_forward").cast("int").alias("b_forward"), "overlap"),
     "unitig_degrees": lambda s, d: U.degrees(compacted_graph(s, d)),
     "gfa": _gfa,
+    "stored_reciprocal_edges": _stored_reciprocal_edges,
+    "stored_lookup": _stored_lookup,
+    "observed_statistics": _observed_statistics,
 }
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -574,4 +603,10 @@ lines as (
 )""",
         _digest_sql("lines", "line", "rank"),
     ),
+    "stored_reciprocal_edges": _with(
+        f"""{_IDS}{_RECIP[len(_graph_sql(1)) :]}""",
+        _digest_sql("(select r.*, i.gid as nb_id, substr(r.kmer, 1, 3) as head from recip r join ids i on r.nb = i.kmer)", "kmer, strand, base, nb, nb_strand, cnt, nb_id", "head"),
+    ),
+    "stored_lookup": _with(_VERT, _digest_sql(f"(select kmer, case when cov >= 2 then cov end as cov, {_HEAD} from vert where kmer like 'AC%')", "kmer, cov", "head")),
+    "observed_statistics": _with(_graph_sql(1), f"select count(*) as vertices, cast(sum(cov) as bigint) as edge_total, cast(sum(out_deg + in_deg) as bigint) as edge_slots, max(greatest({_ALL_SLOTS})) as largest_counter from graph"),
 }
