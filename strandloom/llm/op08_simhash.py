@@ -270,9 +270,11 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > FREQUENT:
             break
         least = r.level
-    top = [] if least is None else counts.where(F.col("level") >= least).select("n", "h").collect()
-    top.sort()
-    h = np.array([r.h for r in top], np.int64).view(np.uint64)
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.where(F.col("level") >= least).select("n", "h").toArrow()
+    n, h = top["n"].to_numpy(), top["h"].to_numpy()
+    h = h[np.lexsort((h, n))].view(np.uint64)
     order = np.argsort(h)
     return h[order], (order + 1).astype(np.int64)
 
@@ -407,8 +409,8 @@ def filter_of(rows: DataFrame) -> np.ndarray:
     at = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     words = rows.select(at.alias("at")).selectExpr("cast(at div 32 as int) as word", "shiftleft(1L, cast(at % 32 as int)) as bit")
     bits = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 32
-        bits[r.word] = r.bits
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 32 rows of 12 bytes
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
 
