@@ -53,6 +53,9 @@ def terms(text: bytes) -> np.ndarray:
         out[at : at + level] = 1
     return out
 
+#: Rows of the table of counts that are weighed at once.
+BLOCK_ROWS = 256
+
 
 @dataclass
 class Space:
@@ -76,9 +79,13 @@ class Space:
 
     @staticmethod
     def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 0) -> Space:
+        """The space of labelled texts; a float table of counts is overwritten."""
         n = len(counts)
         idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
-        a = Space.weigh(counts, idf)
+        # weighed in place and by blocks: the driver holds one table of this size, and no copies of it
+        a = counts.astype(np.float32, copy=False)
+        for lo in range(0, n, BLOCK_ROWS):
+            a[lo : lo + BLOCK_ROWS] = Space.weigh(a[lo : lo + BLOCK_ROWS], idf)
         dimensions = min(dimensions, *a.shape)
         y = a.T @ np.random.RandomState(seed).randn(n, dimensions + 16).astype(np.float32)
         for _ in range(4):  # power iterations of a randomised decomposition
@@ -86,7 +93,8 @@ class Space:
         y = np.linalg.qr(y)[0]
         projection = np.ascontiguousarray((y @ np.linalg.svd(a @ y, full_matrices=False)[2].T)[:, :dimensions])
         space = Space(idf, projection, np.zeros((0, dimensions), np.float32), labels.astype(np.float32))
-        space.voters = space.place(counts)
+        space.voters = a @ projection
+        space.voters /= np.linalg.norm(space.voters, axis=1, keepdims=True) + 1e-9
         return space
 
     def place(self, counts: np.ndarray) -> np.ndarray:
