@@ -9,6 +9,7 @@ with all of them by exact cosine, block by block, and its nearest vote with thei
 from __future__ import annotations
 
 import operator
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -127,15 +128,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
             made = [zlib.compress(terms(t).tobytes(), 1) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["label_id", "label", "terms"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        counts = np.zeros((rows.num_rows, TRIGRAMS + SHAPES * len(LEVELS)), np.float32)  # the one large table: 17 kB a row of the sample
+        order = np.argsort(rows["label_id"].to_numpy())
+        for i, at in enumerate(order.tolist()):
+            counts[i] = np.frombuffer(zlib.decompress(rows["terms"][at].as_py()), np.uint32)
+        space = Space.fit(counts, rows["label"].to_numpy()[order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(space)], pa.binary())], ["space"])
+
     slim = docs.select(F.col(doc_id).cast("long").alias("label_id"), F.col(text).cast("string").alias("text"))
     found = slim.join(F.broadcast(chosen), "label_id").select("label_id", "label", "text").mapInArrow(run, "label_id long, label int, terms binary")
-    rows = sorted(found.groupBy("label_id").agg(F.min(F.struct("terms", "label")).alias("x")).select("label_id", "x.*").collect())  # `sample` rows at most
-    if not rows:
-        return Space(np.zeros(0), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0))
-    counts = np.zeros((len(rows), TRIGRAMS + SHAPES * len(LEVELS)), np.float32)  # the one large table on the driver: 17 kB a row of the sample
-    for i, r in enumerate(rows):
-        counts[i] = np.frombuffer(zlib.decompress(r.terms), np.uint32)
-    return Space.fit(counts, np.array([r.label for r in rows]))
+    rows = found.groupBy("label_id").agg(F.min(F.struct("terms", "label")).alias("x")).select("x.terms", "x.label", "label_id")  # `sample` rows at most
+    space = rows.coalesce(1).mapInArrow(fit, "space binary").collect()  # one row, some 2 MB: one task fits, and the driver holds no table
+    return pickle.loads(space[0].space) if space else Space(np.zeros(0), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0))
 
 
 def scored(docs: DataFrame, space: Space, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
