@@ -2,8 +2,8 @@
 
 Segments that look variable (numbers, hex, mixtures) become wildcards at once; a segment whose node has too many
 different children becomes a wildcard as well. Branches of a node whose labels do not differ significantly from their
-siblings' are merged with them. A template's purity is its share of blocked labels, smoothed towards that of the same
-template over all hosts, which is smoothed towards its parent's, and so on up to the host's and the whole table's; so a
+siblings' are merged with them; a branch without labels stays by itself. A template's purity is its share of blocked
+labels, smoothed towards that of the same template over all hosts, which is smoothed towards its parent's, and so on up to the host's and the whole table's; so a
 host without labels is judged by what its templates are elsewhere. Templates at or above the threshold are rejected.
 
 Pages are reduced to counts of templates first; only these are generalised, and joined back once.
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments that a template tells apart; what follows is one wildcard, ``<rest>``.
-MAX_DEPTH = 8
 #: Different children above which a node's segments are variable, so that they become a wildcard.
 MAX_CHILDREN = 30
+#: Levels that are generalised before the lineage is cut.
+LEVELS_AT_ONCE = 4
 #: z below which a branch does not differ from its siblings; weight of the parent's purity; rejection threshold.
 SIMILAR_Z, PRIOR_WEIGHT, REJECT_AT = 1.96, 4.0, 0.5
 #: The contract's rules: verdict, host, path.
@@ -44,8 +44,8 @@ def rule_of(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def template(path: Column, depth: int = MAX_DEPTH) -> Column:
-    """The path's segments joined by ``/``, those that look variable as wildcards; ``~`` escapes others that look like one."""
+def template(path: Column) -> Column:
+    """All of the path's segments joined by ``/``, those that look variable as wildcards; ``~`` escapes others that look like one."""
     some = F.filter(F.split(path, "/"), lambda s: s != "")
     kind = lambda s: (
         F.when(s.rlike(r"^[0-9]+$"), F.lit("<n>"))
@@ -55,32 +55,48 @@ def template(path: Column, depth: int = MAX_DEPTH) -> Column:
         .when(s.rlike(r"^[<*~]"), F.concat(F.lit("~"), s))
         .otherwise(s)
     )
-    cut = F.when(F.size(some) > depth, F.concat(F.slice(some, 1, depth), F.array(F.lit("<rest>")))).otherwise(some)
-    return F.array_join(F.transform(cut, kind), "/")
+    return F.array_join(F.transform(some, kind), "/")
 
 
-def _depth(t: Column) -> Column:
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, "/")))
+def _segments(t: Column) -> Column:
+    return F.filter(F.split(t, "/"), lambda s: s != "")
+
+
+def generalised(leaves: DataFrame) -> DataFrame:
+    """``leaves`` with ``general``: the segments of ``template``, where a node has too many children ``*`` in their place.
+
+    From the top down, so that what lies below a wildcard counts as one branch. Only levels at which some host has so
+    many different segments are gone through, however long the paths are.
+    """
+    at = leaves.select("host", F.posexplode(_segments(F.col("template"))).alias("level", "segment")).distinct()
+    wide = at.groupBy("host", "level").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CHILDREN)
+    levels = sorted(r.level for r in wide.select("level").distinct().collect())  # no more than the longest path has
+    grown = leaves.withColumn("general", _segments(F.col("template")))
+    for i, level in enumerate(levels):
+        above = F.md5(F.array_join(F.slice("general", 1, level), "/"))
+        here = grown.withColumn("above", F.when(F.size("general") > level, above))
+        nodes = here.where("above is not null").select("host", "above", F.element_at("general", level + 1).alias("segment")).distinct()
+        wide = nodes.groupBy("host", "above").agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN)
+        starred = F.concat(F.slice("general", 1, level), F.array(F.lit("*")), F.slice("general", level + 2, F.greatest(F.size("general"), F.lit(1))))
+        grown = here.join(wide, ["host", "above"], "left").withColumn("general", F.when(F.col("children").isNotNull(), starred).otherwise(F.col("general"))).drop("above", "children")
+        if i % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
+            grown = checkpointed(grown)
+    return grown
+
+
+def _keys(general: Column) -> Column:
+    """A key for each node on the way from the host (an empty one) to the template; each is made of the one before."""
+    return F.aggregate(general, F.array(F.lit("")), lambda keys, s: F.concat(keys, F.array(F.md5(F.concat(F.element_at(keys, -1), F.lit("/"), s)))))
 
 
 def template_verdicts(leaves: DataFrame, threshold: float = REJECT_AT) -> DataFrame:
-    """``host, template, purity`` from ``host, template, n, labelled, blocked`` (one row for each lexical template)."""
-    deepest = leaves.agg(F.max(_depth(F.col("template")))).first()[0] or 0
-    grown = leaves.withColumn("general", F.lit(""))
-    for d in range(1, deepest + 1):
-        here = F.element_at(F.split("template", "/"), d)
-        with_segment = grown.withColumn("segment", F.when(_depth(F.col("template")) >= d, here))
-        wide = with_segment.where("segment is not null").groupBy("host", "general", "segment").agg(F.lit(1).alias("one")).groupBy("host", "general").agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN)
-        joined = with_segment.join(wide, ["host", "general"], "left")
-        step = F.when(F.col("children").isNotNull(), F.lit("*")).otherwise(F.col("segment"))
-        general = F.when(F.col("segment").isNull(), F.col("general")).otherwise(F.concat(F.col("general"), F.lit("/" if d > 1 else ""), step))
-        grown = joined.withColumn("general", general).drop("segment", "children")
-    leaves = checkpointed(grown)
-    tree = leaves.groupBy("host", "general").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked")])
-    # a row for each node on the way from the host to the template; depth 0 is the host
-    ways = tree.withColumn("depth", F.explode(F.sequence(F.lit(0), _depth(F.col("general")).cast("int")))).withColumn("node", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("substring_index(general, '/', depth)")))
-    nodes = ways.groupBy("host", "depth", "node").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked")])
-    nodes = nodes.withColumn("parent", F.when(F.col("depth") <= 1, F.lit("")).otherwise(F.expr("substring_index(node, '/', depth - 1)")))
+    """``host, template, general, purity, judged`` from ``host, template, n, labelled, blocked`` (one row for each lexical template)."""
+    leaves = checkpointed(generalised(leaves).withColumn("keys", _keys(F.col("general"))).withColumn("leaf", F.element_at("keys", -1)).withColumn("general", F.array_join("general", "/")))
+    tree = leaves.groupBy("host", "leaf").agg(F.min("keys").alias("keys"), *[F.sum(c).alias(c) for c in ("labelled", "blocked")])
+    # a row for each node on the way; depth 0 is the host, and a leaf's key is its last node's
+    steps = F.transform("keys", lambda k, i: F.struct(k.alias("node"), F.element_at("keys", F.greatest(i, F.lit(1))).alias("parent")))
+    ways = tree.select("host", "leaf", "labelled", "blocked", F.posexplode(steps).alias("depth", "step")).select("host", "leaf", "labelled", "blocked", "depth", F.col("step.node").alias("node"), F.col("step.parent").alias("parent"))
+    nodes = ways.groupBy("host", "depth", "node", "parent").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked")])
     siblings = Window.partitionBy("host", "depth", "parent")  # no more than MAX_CHILDREN rows
     others_n, others_b = (F.sum(c).over(siblings) - F.col(c) for c in ("labelled", "blocked"))
     pooled = (F.col("blocked") + others_b) / (F.col("labelled") + others_n)
@@ -92,12 +108,12 @@ def template_verdicts(leaves: DataFrame, threshold: float = REJECT_AT) -> DataFr
     nodes = nodes.select("host", "depth", "node", *[F.when(F.col("merged"), F.sum(c).over(merged)).otherwise(F.col(c)).alias(c) for c in ("labelled", "blocked")])
     anywhere = ways.groupBy("depth", "node").agg(*[F.sum(c).alias(f"any_{c}") for c in ("labelled", "blocked")])
     n, b = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    steps = ways.select("host", "general", "depth", "node").join(nodes, ["host", "depth", "node"]).join(anywhere, ["depth", "node"])
+    steps = ways.select("host", "leaf", "depth", "node").join(nodes, ["host", "depth", "node"]).join(anywhere, ["depth", "node"])
     path = F.array_sort(F.collect_list(F.struct("depth", "labelled", "blocked", "any_labelled", "any_blocked")))  # a node for each depth
     elsewhere = lambda p, x: (x["any_blocked"] + p * PRIOR_WEIGHT) / (x["any_labelled"] + PRIOR_WEIGHT)
     purity = F.aggregate("path", F.lit((b + 1.0) / (n + 2.0)), lambda p, x: (x["blocked"] + elsewhere(p, x) * PRIOR_WEIGHT) / (x["labelled"] + PRIOR_WEIGHT))
-    judged = steps.groupBy("host", "general").agg(path.alias("path")).select("host", "general", purity.alias("purity"))
-    return leaves.join(judged, ["host", "general"]).select("host", "template", "general", "purity", F.when(F.col("purity") >= threshold, "block").otherwise("allow").alias("judged"))
+    judged = steps.groupBy("host", "leaf").agg(path.alias("path")).select("host", "leaf", purity.alias("purity"))
+    return leaves.join(judged, ["host", "leaf"]).select("host", "template", "general", "purity", F.when(F.col("purity") >= threshold, "block").otherwise("allow").alias("judged"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, labelled: str | None = None, page_id: str = "page_id", url: str = "url", threshold: float = REJECT_AT) -> DataFrame:
@@ -106,8 +122,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     Labels are the verdicts of the rules that fit and, where none does and ``labelled`` names a column, its values
     (true or 1: block; null: none). Null urls and urls without ``://`` have empty host and path and share one
     template. Without any label the purity is a half, which rejects at the usual threshold only if it is not above
-    0.5; here it counts as allowed. Rows may repeat; other columns are not returned; an empty table gives none. A url
-    of more than MAX_DEPTH segments is judged by its first ones.
+    0.5; here it counts as allowed. Rows may repeat; other columns are not returned; an empty table gives none. Paths
+    are judged by all their segments, however many.
     """
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), (F.col(labelled).cast("int") if labelled else F.lit(None).cast("int")).alias("given"))
     host, path = host_and_path(F.col("url"))
