@@ -22,8 +22,6 @@ from .common import mix64, parts, strings_of
 K, SLOTS, TUPLE = 8, 32, 2
 #: Bytes of text that a range of ids is meant to hold, and the least number of ranges; the driver holds one id of each.
 RANGE_BYTES, RANGES = 512_000_000, 1024
-#: Parts that the rows of one id are dealt to if they are more than a range should hold.
-HOT_BITS = 6
 HOLD = 512
 
 
@@ -141,14 +139,16 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     Order: doc_id descending, nulls last, ties by a hash of the text, then by text. ``part`` numbers ranges of that
     order; each range ends with a copy (halo) of the first row of the next one that has rows, the last with the very
     first row. The texts move once. Ranges are cut at quantiles of doc_id, as many as the bytes ask for; an id (or null)
-    that has more rows than a range should is a range of its own, cut further by the hash of the text.
+    that has more rows or bytes than a range should is a range of its own, cut further by the hash of the text into as
+    many parts as its bytes ask for. Ranges and parts together are a few for each range's worth of bytes.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = ranges or parts(size, RANGE_BYTES, RANGES)
     cuts = {max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in slim.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}
-    many = slim.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(64, 2 * total // ranges))
-    hot = [r.doc_id for r in many.select("doc_id").collect()]  # fewer than the ranges
+    many = slim.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    many = many.where((F.col("n") > max(64, 2 * total // ranges)) | ((F.col("n") > 1) & (F.col("bytes") > 2 * RANGE_BYTES)))
+    hot = {r.doc_id: max(1, parts(r.bytes * ranges, max(1, size)).bit_length()) for r in many.collect()}  # fewer than the ranges
     cuts |= {x for i in hot if i is not None for x in (i, i + 1) if x < 1 << 63}
     cuts = sorted(cuts, reverse=True)
     dealt = slim.withColumn("part", F.lit(0))
@@ -159,10 +159,10 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             dealt = dealt.withColumn("part", F.when((at <= len(cuts)) & (F.element_at(cut, F.least(at, F.lit(len(cuts)))) > F.col("doc_id")), at).otherwise(F.col("part")))
     of_id = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.col("part")).cast("long")
     dealt = dealt.withColumn("tie", F.xxhash64("text"))
-    ids = [i for i in hot if i is not None]
-    is_hot = (F.col("doc_id").isin(ids) if ids else F.lit(False)) | (F.col("doc_id").isNull() & F.lit(None in hot))
-    within = F.when(F.coalesce(is_hot, F.lit(False)), F.shiftright("tie", 64 - HOT_BITS) + (1 << HOT_BITS - 1)).otherwise(0)
-    dealt = dealt.withColumn("part", of_id * (1 << HOT_BITS) + within)
+    bits = F.broadcast(docs.sparkSession.createDataFrame([*hot.items()], "hot_id long, bits int"))  # a row a hot id
+    dealt = dealt.join(bits, F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+    within = F.when(F.col("bits").isNotNull(), F.expr("shiftright(tie, 64 - bits) + shiftleft(1L, bits - 1)")).otherwise(F.lit(0))
+    dealt = dealt.withColumn("part", of_id * (1 << max(hot.values(), default=0)) + within).drop("hot_id", "bits")
     begins = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "tie")).alias("x")).select("part", "x.*").collect()  # a row a range
     if not begins:
         return dealt.select("part", F.lit(False).alias("halo"), "doc_id", "text")

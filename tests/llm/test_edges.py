@@ -143,6 +143,8 @@ def test_one_row_follows_another_through_hot_ids(spark, ranges):
     own = [r for r in rows if not r.halo]
     assert sorted((str(r.doc_id), r.text) for r in own) == sorted((str(i), t or "") for i, t in zip(ids, texts, strict=True))
     assert max(sum(r.part == p for r in own) for p in {r.part for r in own}) < 120
+    split = len({r.part for r in own if r.doc_id is None})  # by bytes: a third of 1,024 or of 7 ranges
+    assert 100 < split <= 200 if ranges is None else 3 <= split <= 4
     order = sorted(own, key=lambda r: r.part)
     seen = [r.doc_id for r in order]
     assert seen[-200:] == [None] * 200 and sorted((i for i in seen if i is not None), reverse=True) == sorted(seen[:-200], reverse=True)
