@@ -274,6 +274,17 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(map(str, want)) and want
 
 
+def test_filter_vertices_returns_every_vertex(spark):
+    from strandloom.plans.queries import KMER, QUERIES, reads
+
+    sf_dir = "/root/testdata/sf0.001"
+    want = {x: sum(e.values()) for x, e in count(reads(spark, sf_dir).select("seq").toArrow()["seq"].to_pylist(), KMER).items()}
+    got = QUERIES["filter_vertices"](spark, sf_dir)
+    assert got.columns == ["kmer", *V.SLOTS, "cov"]
+    rows = got.select("kmer", "cov").toArrow()
+    assert dict(zip(*(c.to_pylist() for c in rows.columns), strict=True)) == {x: n for x, n in want.items() if n >= 3} and rows.num_rows == 137_019
+
+
 def test_even_k_has_edges_to_remove(spark):
     g = V.classify(V.count_reads(frame(spark, ["ACGTACGGTTCAACCGTACGTTTACGT", "TTGCAACGTTGCATTGCAA"]), 4))
     assert E.reciprocal_edges(g).count() < E.edges(g).count()
