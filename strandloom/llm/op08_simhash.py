@@ -239,6 +239,8 @@ SHAPES = "row long, doc_id long, node long, fp long, n int, keys array<long>, b0
 CROWDED = 1_000
 #: Parity bits that a set has for each of its members, at least.
 ODD_BITS = 4
+#: Bytes of parity bits that a member of a list has with it; longer ones are folded to them.
+LISTED_BYTES = 256
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -361,8 +363,37 @@ def possible(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, similarity:
     return (np.abs(n[i] - n[j]) <= most) & (np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most)
 
 
+def folded(odd: bytes) -> bytes:
+    """Parity bits as of ``odd_bits``, folded to ``LISTED_BYTES``."""
+    x = np.frombuffer(odd, np.uint64)
+    while x.nbytes > LISTED_BYTES:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def listed_nodes(nodes: DataFrame) -> DataFrame:
+    """``node, n, b0, b1, b2, b3, odd`` of ``nodes``, the long parity bits folded to ``LISTED_BYTES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = pa.array([folded(x) for x in batch.column(6).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], odd], batch.schema.names)
+
+    return nodes.select("node", "n", "b0", "b1", "b2", "b3", "odd").mapInArrow(run, "node long, n int, b0 long, b1 long, b2 long, b3 long, odd binary")
+
+
+def alike(odd: np.ndarray, words: int, i: int, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the first ``words`` parity words of set i differ from those of each j, folded to as many, in ``most`` bits or fewer."""
+    other = np.bitwise_xor.reduce(odd[j].reshape(len(j), odd.shape[1] // words, words), axis=1)
+    return np.bitwise_count(other ^ odd[i, :words]).sum(axis=1) <= most
+
+
 def proposals(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """``x, y``: pairs of each list's members that may be similar: all of different labels, or a few to begin with."""
+    """``x, y``: pairs of each list's members of different labels that sizes and parity bits leave possible: all, or a forest.
+
+    The pairs that are ruled out never leave the list. A forest has at most one pair less than the list has labels: of
+    those to a label only the first, and what it would connect counts as connected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,14 +403,24 @@ def proposals(lists: DataFrame, similarity: float, every: bool) -> DataFrame:
             bits = np.stack([flat.field(f"b{i}").to_numpy() for i in range(4)], axis=1).view(np.uint64)
             for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 order = s + np.lexsort((node[s:e], n[s:e]))
+                of, own, size, short, at = node[order], label[order], n[order], bits[order], np.arange(e - s)
+                data = flat.field("odd").take(pa.array(order)).to_pylist()
+                odd = np.frombuffer(b"".join(x.ljust(LISTED_BYTES, b"\0") for x in data), np.uint64).reshape(e - s, -1)
                 x, y = [], []
-                for k, i in enumerate(order[:-1].tolist()):
-                    later = order[k + 1 :] if every or k == 0 else order[k + 1 : k + 2]
-                    later = later[label[later] != label[i]]
-                    later = later[possible(n, bits, i, later, similarity)]
-                    x.append(np.full(len(later), node[i]))
-                    y.append(node[later])
-                    if sum(map(len, x)) > 100_000 or k == len(order) - 2:
+                for i in range(e - s - 1):
+                    later = at[i + 1 :]
+                    later = later[own[later] != own[i]]
+                    later = later[possible(size, short, i, later, similarity)]
+                    if len(later):  # sets are in order of size, so that none of the later ones has fewer bits
+                        most = (size[i] + size[later]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                        later = later[alike(odd, len(data[i]) // 8, i, later, most)]
+                    if len(later) and not every:
+                        labels, first = np.unique(own[later], return_index=True)
+                        later = later[first]
+                        own[np.isin(own, labels)] = own[i]
+                    x.append(np.full(len(later), of[i]))
+                    y.append(of[later])
+                    if sum(map(len, x)) > 100_000 or i == e - s - 2:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["x", "y"])
                         x, y = [], []
 
@@ -467,7 +508,7 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     is the same in all that chains of links connect. Copies (equal words, A-Z lower-cased) are one node from the start.
     First the pairs that the Golay keys of the SimHashes propose are verified, on whole sets. Not every pair at 0.8 is
     within their three bits, but similar sets share a shingle of their prefixes, so the lists of nodes by such a
-    shingle hold every link: of each list that the links so far leave apart, a few pairs are verified, then all pairs
+    shingle hold every link: of each list that the links so far leave apart, a forest is verified, then all pairs
     that are still apart. Only pairs that sizes or parity bits rule out are spared. Frequent shingles stand last in the order
     of prefixes, so that lists are short: those that a batch shows to be, and those that many rows' prefixes turn out to hold.
     """
@@ -485,13 +526,13 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = lists.select("list", F.explode("members").alias("node"))
     nodes = rows.groupBy("node").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("fp", *columns, "odd")])
     slim = checkpointed(nodes.join(members.select("node").distinct(), "node", "left_semi"))
-    members = checkpointed(members.join(slim.drop("odd"), "node").select("list", "node", *columns))
+    members = checkpointed(members.join(listed_nodes(slim), "node").select("list", "node", *columns, "odd"))
     tried = checkpointed(fingerprint_pairs(slim, similarity))
     links = verified(tried, docs, slim, similarity)
 
     def listed(labelled: DataFrame) -> DataFrame:
         apart = F.min("label") < F.max("label")
-        whole = labelled.groupBy("list").agg(F.collect_list(F.struct("node", "label", *columns)).alias("members"), apart.alias("apart"))
+        whole = labelled.groupBy("list").agg(F.collect_list(F.struct("node", "label", *columns, "odd")).alias("members"), apart.alias("apart"))
         return whole.where("apart").select("members")
 
     for every in (False, True):

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from strandloom.llm import op07_bpe as o7
 from strandloom.llm import op08_simhash as o8
 from strandloom.llm import op09_debruijn as o9
 from strandloom.llm import op10_order_minhash as o10
+from strandloom.llm.graph import components
 
 from .test_operators import DOCS, WORD, docs_of, prose
 
@@ -196,3 +198,44 @@ def test_shuffled_hub_loses_no_link(spark):
     odd = o8.similar_documents(docs_of(spark, [None, "", "a b c", "a  B c"] * 2, ids=[None, 4, 3, 9] * 2)).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in odd) == [("3", 3)] * 2 + [("4", 4)] * 2 + [("9", 3)] * 2 + [("None", 4)] * 2
     assert not o8.similar_documents(df.limit(0)).collect()
+
+
+def listed(spark, sets, label=None):
+    """One list of these sets, each its own label unless given, as proposals takes it."""
+    fields = [(i, label[i] if label else i, len(h), *o8.parity(h).tolist(), bytearray(o8.folded(o8.odd_bits(h)))) for i, h in enumerate(sets)]
+    return spark.createDataFrame([(fields,)], "members array<struct<node long, label long, n int, b0 long, b1 long, b2 long, b3 long, odd binary>>")
+
+
+def similar(a, b, least=0.8):
+    both = len(np.intersect1d(a, b))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def test_dissimilar_pairs_never_leave_their_list(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 400, np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[:340], rng.integers(0, 2**64, 60, np.uint64)]) for _ in range(60)]
+    assert not any(similar(a, b) for i, a in enumerate(sets) for b in sets[:i])
+    got = o8.proposals(listed(spark, sets), 0.8, True).count()
+    assert got < 60  # of 1,770 pairs; the 256 short parity bits alone leave most
+
+
+def test_forest_of_near_copies_grows_with_their_number(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 400, np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[:395], rng.integers(0, 2**64, 5, np.uint64)]) for _ in range(60)]
+    pairs = o8.proposals(listed(spark, sets), 0.8, False).collect()
+    assert len(pairs) == 59
+    assert {r.label for r in components(spark.createDataFrame(pairs), "x", "y").collect()} == {0}
+
+
+def test_proposals_hold_every_similar_pair(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 6000, np.uint64)
+    sets = []
+    for n in (0, 0, 1, 1, 2, 5, 9, 10, 31, 33, 63, 64, 65, 127, 129, 400, 450, 511, 513, 600, 1023, 1025, 1100, 3000, 3300, 5900):
+        sets += [np.unique(np.r_[base[: n - n // 20 * k], rng.integers(0, 2**64, n // 20 * k, np.uint64)]) for k in (0, 1, 2)]
+    label = [i % 7 for i in range(len(sets))]
+    got = {(r.x, r.y) for r in o8.proposals(listed(spark, sets, label), 0.8, True).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and similar(sets[i], sets[j]) and len(sets[i])}
+    assert want and want <= got
