@@ -17,7 +17,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,10 @@ UNSURE = regex.compile(r"[^\x00-\u0557\u0590-\u082f\u0900-\u0bff\u0e00-\u0e7f\u1
 LEXICON_WORDS = 65_536
 #: Bytes up to which words are merged side by side, this many at once; longer ones go through a heap.
 FEW, TOGETHER = 48, 4096
-#: Words a worker remembers beside the lexicon before it forgets them all.
-MEMO_WORDS = 150_000
-#: Characters whose words a worker holds at once; a longer text is held alone.
-CHARS_AT_ONCE = 2_000_000
+#: Words a worker remembers beside the lexicon before it forgets them all, and counts before it hands them on.
+MEMO_WORDS, COUNTED_WORDS = 20_000, 150_000
+#: Characters whose words a worker holds at once, a longer text being held alone, and rows it takes from a batch at once.
+CHARS_AT_ONCE, ROWS_AT_ONCE = 400_000, 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -164,21 +164,18 @@ class Bpe:
     """A byte-level BPE with word ends, from the content of a tokenizers file."""
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(content)
-        model = spec["model"]
+        model = spec.pop("model")
         suffix = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
         merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
-        #: Rank of each pair of ids that merges, under both in one number, and the id that each rank gives.
-        self.rank = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(merges)}
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        self.pairs = np.sort(np.fromiter(self.rank, np.int64, len(self.rank)))
-        self.pair_ranks = np.array([self.rank[x] for x in self.pairs.tolist()], np.int32)
+        #: The pairs of ids that merge, both in one number and sorted, the last rank of each, and the id that each rank gives.
+        pairs = np.fromiter((vocab[a] << 32 | vocab[b] for a, b in merges), np.int64, len(merges))
+        self.pairs, at = np.unique(pairs[::-1], return_index=True)
+        self.pair_ranks = (len(pairs) - 1 - at).astype(np.int32)
+        self.merged = np.fromiter((vocab[a + b] for a, b in merges), np.int32, len(merges))
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
-        self.digits = {i: str(i) for i in self.names}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         letters = byte_letters()
         #: The id of each byte within a word and at its end, and the ranks of bytes side by side.
@@ -187,7 +184,19 @@ class Bpe:
         self.letter_ranks = self.rank_of(self.first[:, None], self.first)
         self.last_ranks = self.rank_of(self.first[:, None], self.last)
         self.bytes = {c: b for b, c in letters.items()}
-        self.library = Tokenizer.from_str(content)
+        #: The file without its vocabulary, for the library's normaliser and splitter.
+        self.spec = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
+    @cached_property
+    def rank(self) -> dict[int, int]:
+        """The rank of each pair, for words that are merged by themselves."""
+        return dict(zip(self.pairs.tolist(), self.pair_ranks.tolist(), strict=True))
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; an added token stands as itself with a NUL before it."""
@@ -309,24 +318,27 @@ class Encoder:
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
         self.memo: dict[str, tuple[int, str, str]] = {}
-        self.listed: dict[str, tuple[int, str, str]] = {}  # what the lexicon gave so far, which is kept
+        self.rare: list[str] = []  # those beside the lexicon, which are forgotten
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.memo.keys())
-        if len(self.memo) - len(self.listed) + len(new) > MEMO_WORDS:
-            self.memo = dict(self.listed)
-            new = list(words - self.memo.keys())
+        new = [w for w in words if w not in self.memo]
+        if len(self.rare) + len(new) > MEMO_WORDS:
+            for w in self.rare:
+                del self.memo[w]
+            self.rare = []
+            new = [w for w in words if w not in self.memo]
         if not new:
             return
-        digits, names, rest = self.bpe.digits.__getitem__, self.bpe.names.__getitem__, []
+        names, rest = self.bpe.names.__getitem__, []
         for w, rank in zip(new, self.lexicon.ranks([w.encode() for w in new]).tolist(), strict=True):
             if rank >= 0:
                 ids = self.lexicon.outputs(rank)
-                self.memo[w] = self.listed[w] = (len(ids), " ".join(map(digits, ids)), " ".join(map(names, ids)))
+                self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(map(names, ids)))
             else:
                 rest.append(w)
         for w, ids in zip(rest, self.bpe.merge(rest), strict=True):
-            self.memo[w] = (len(ids), " ".join(map(digits, ids)), " ".join(map(names, ids)))
+            self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(map(names, ids)))
+        self.rare += rest
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, the ids joined by spaces, and their tokens joined by spaces (the decoding)."""
@@ -350,10 +362,11 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for t in strings_of(batch.column(0)):
-                seen.update(bpe.words(t))
-                if len(seen) > MEMO_WORDS:
-                    yield flush()
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for t in strings_of(batch.column(0).slice(lo, ROWS_AT_ONCE)):
+                    seen.update(bpe.words(t))
+                    if len(seen) > COUNTED_WORDS:
+                        yield flush()
         if seen:
             yield flush()
 
@@ -398,10 +411,12 @@ def encode(docs: DataFrame, path: str, fields: Callable[[tuple[int, str, str]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(bpe_of(spec.value), Lexicon(lexicon.value))
         for whole in batches:
-            texts = strings_of(whole.column(1))
-            for lo, hi in by_size(texts, CHARS_AT_ONCE):
-                rows = [fields(x) for x in encoder.encode(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                some = whole.slice(at, ROWS_AT_ONCE)
+                texts = strings_of(some.column(1))
+                for lo, hi in by_size(texts, CHARS_AT_ONCE):
+                    rows = [fields(x) for x in encoder.encode(texts[lo:hi])]
+                    yield pa.RecordBatch.from_arrays([some.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     names = [doc_id, *(x.split()[0] for x in schema.split(","))]
     kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(",")]

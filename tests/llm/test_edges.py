@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,23 @@ def test_words_merged_side_by_side_and_a_small_memory(monkeypatch):
             assert ([int(i) for i in ids.split()], n, decoded) == (want, len(want), library.decode(want, skip_special_tokens=False))
 
 
+def test_an_encoding_worker_holds_little_of_a_batch(spark, monkeypatch):
+    run, rng, path = [], random.Random(5), o7.default_path()
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: run.append(f))
+    monkeypatch.setattr(o7, "lexicon_of", lambda *a: o7.Lexicon.compile({}))
+    o7.encode(spark.range(0).selectExpr("id doc_id", "'' text"), path, o7.ids_and_digest, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(3, 9))) for _ in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=150)) for _ in range(2000)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    o7.bpe_of(o7.content(path))
+    tracemalloc.start()
+    try:
+        rows, most = sum(out.num_rows for out in run[0](iter([batch]))), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and most < 30e6
+
+
 def test_encoding_of_odd_tables(spark):
     path, schema = o7.default_path(), "n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = [(1, "same text", "en", None, 9)] * 3 + [(None, None, None, None, None), (None, "x" * 30_000 + " y", "en", "s", 1)]
